@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbspark.llm import simhash
+from kbspark.llm import bpe, imatch, licenses, pii, simhash, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {"op3_simhash": simhash.op3}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {
+    "op2_pii": pii.op2,
+    "op3_simhash": simhash.op3,
+    "op4_imatch": imatch.op4,
+    "op5_vptree": vptree.op5,
+    "op7_bpe": bpe.op7,
+    "op10_licenses": licenses.op10,
+}
+SQL: dict[str, str] = {"op5_vptree": vptree.SQL5}
