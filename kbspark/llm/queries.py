@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbspark.llm import bpe, imatch, licenses, pii, simhash, toxicity, vptree
+from kbspark.llm import bpe, imatch, licenses, linededup, pii, simhash, toxicity, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ QUERIES: dict[str, Query] = {
     "op4_imatch": imatch.op4,
     "op5_vptree": vptree.op5,
     "op7_bpe": bpe.op7,
+    "op8_line_dedup": linededup.op8,
     "op9_toxicity": toxicity.op9,
     "op10_licenses": licenses.op10,
 }
