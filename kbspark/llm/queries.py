@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbspark.llm import bpe, imatch, licenses, linededup, pii, simhash, toxicity, vptree
+from kbspark.llm import bpe, imatch, licenses, linededup, mixing, pii, simhash, toxicity, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": simhash.op3,
     "op4_imatch": imatch.op4,
     "op5_vptree": vptree.op5,
+    "op6_mixing": mixing.op6,
     "op7_bpe": bpe.op7,
     "op8_line_dedup": linededup.op8,
     "op9_toxicity": toxicity.op9,
