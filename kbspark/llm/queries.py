@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbspark.llm import bpe, imatch, licenses, linededup, mixing, pii, simhash, toxicity, vptree
+from kbspark.llm import bpe, imatch, licenses, linededup, mixing, pii, secrets, simhash, toxicity, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_secrets": secrets.op1,
     "op2_pii": pii.op2,
     "op3_simhash": simhash.op3,
     "op4_imatch": imatch.op4,

@@ -35,16 +35,17 @@ def simhash(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``; ``fp`` holds the 64 bits as a signed long."""
+def fingerprints(texts: DataFrame, width: int = 3) -> DataFrame:
+    """``texts`` with ``text`` replaced by ``fp``, which holds the 64 bits as a signed long."""
+    names = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
-            fp = np.array([simhash(t, width) for t in utf8(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([simhash(t, width) for t in utf8(b.column("text"))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(fp)], [*names, "fp"])
 
-    few = keyed_text(docs, id_col, text_col)
-    return few.mapInArrow(run, f"doc_id {few.schema['doc_id'].dataType.simpleString()}, fp long")
+    kinds = [f"{c} {texts.schema[c].dataType.simpleString()}" for c in names]
+    return texts.mapInArrow(run, ", ".join([*kinds, "fp long"]))
 
 
 def ball(radius: int) -> list[int]:
@@ -83,22 +84,46 @@ def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
     return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
 
 
+def grouped(prints: DataFrame, first, distance: int) -> DataFrame:
+    """``(fp, first)``: for each fingerprint of ``prints`` the least ``first`` of its component.
+
+    Rows with equal fingerprints are one node, so a group of copies costs one row.
+    """
+    nodes = cut(prints.groupBy("fp").agg(F.min(first).alias("first")))
+    found = components(links(nodes.select("fp"), distance))
+    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    return rooted.join(least, "root").select("fp", F.col("least").alias("first"))
+
+
 def near_groups(
     docs: DataFrame, width: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(doc_id, fp, component_id)``, one row per input row.
 
-    Rows with equal fingerprints are one node, so a group of copies costs one row. Defined cases:
-    null or blank text has fingerprint zero and links like any other; a null id never becomes a
-    component id unless its whole group has null ids; repeated rows are kept.
+    Defined cases: null or blank text has fingerprint zero and links like any other; a null id never
+    becomes a component id unless its whole group has null ids; repeated rows are kept.
     """
-    prints = cut(fingerprints(docs, width, id_col, text_col))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(nodes.select("fp"), distance))
-    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    prints = cut(fingerprints(keyed_text(docs, id_col, text_col), width))
+    named = grouped(prints, F.col("doc_id"), distance)
+    return prints.join(named, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
+
+
+def representatives(
+    docs: DataFrame, width: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of near-duplicates the one of least id.
+
+    Null ids count as least, rows of one id go by a hash of id and text, and of rows equal in both
+    one stays. All columns are kept as they are.
+    """
+    both = [F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)), F.hash(F.col(id_col), F.col(text_col))]
+    marked = docs.withColumns({"__near_a": both[0], "__near_b": both[1]})
+    texts = marked.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), "__near_a", "__near_b")
+    prints = cut(fingerprints(texts, width))
+    kept = grouped(prints, F.struct("doc_id", "__near_a", "__near_b"), distance).select("first.__near_a", "first.__near_b").distinct()
+    keys = ["__near_a", "__near_b"]
+    return marked.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

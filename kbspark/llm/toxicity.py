@@ -11,6 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kbspark.llm.bpe import slices
 from kbspark.llm.common import keyed_text, table, utf8
@@ -171,27 +172,33 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return train(text[1], text[0])
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for each row; no shuffle of the texts.
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", to: str = "toxicity") -> DataFrame:
+    """``docs`` with the score of each row in a column ``to``; no shuffle of the texts.
 
     Null and empty texts are scored like any other, by features of no window. Repeated rows and null
-    ids pass through one by one; a null id is not held out. Rows of ``labels`` with a null id or
-    label are left out. If labels of a class are missing altogether, all scores are 0.
+    ids pass through one by one. Rows of ``labels`` with a null id or label are left out. If labels
+    of a class are missing altogether, all scores are 0.
     """
-    few = keyed_text(docs, id_col, text_col)
-    model = learn(few, labels)
-    sent = (model.ordinary, model.toxic, model.weights)
+    model = learn(keyed_text(docs, id_col, text_col), labels)
+    sent, at = (model.ordinary, model.toxic, model.weights), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = Model(*sent[:2])
         here.weights = sent[2]
-        for b in slices(batches, chars=2_000_000):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(here.scores(utf8(b.column(1))), pa.float64())], ["doc_id", "score"])
+        for b in slices(batches, text=at, chars=2_000_000):
+            score = pa.array(here.scores(utf8(b.column(at))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, score], [*b.schema.names, to])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(to, DoubleType())]))
+
 
-    kind = few.schema["doc_id"].dataType.simpleString()
-    return few.mapInArrow(run, f"doc_id {kind}, score double").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
-    )
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` for each row; a null id is not held out."""
+    found = scored(keyed_text(docs, id_col, text_col), labels)
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"),
+    )
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
