@@ -2,5 +2,28 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kbspark.plans.portable import PORTABLE
+from kbspark.sources.tables import TABLES, load
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def portable(text: str) -> Query:
+    """A query that runs ``text`` over views of just the tables it names."""
+    named = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", text)]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for name in named:
+            load(spark, sf_dir, name).createOrReplaceTempView(name)
+        return spark.sql(text)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {name: portable(text) for name, text in PORTABLE.items()}
+SQL: dict[str, str] = dict(PORTABLE)
