@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kbspark.plans import native
 from kbspark.plans.portable import PORTABLE
 from kbspark.sources.tables import TABLES, load
 
@@ -25,5 +26,5 @@ def portable(text: str) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {name: portable(text) for name, text in PORTABLE.items()}
-SQL: dict[str, str] = dict(PORTABLE)
+QUERIES: dict[str, Query] = {name: portable(text) for name, text in PORTABLE.items()} | native.QUERIES
+SQL: dict[str, str] = PORTABLE | native.SQL
