@@ -1,0 +1,282 @@
+"""The training-data operators against brute force and on awkward rows."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from kbspark.llm import bpe, imatch, licenses, linededup, mixing, pii, secrets, simhash, toxicity, vptree
+from kbspark.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def awkward(spark):
+    """Nulls, empties, repeated rows, a very long text, one-word texts, and clashing column names."""
+    long = " ".join(f"word{i % 97} tail" for i in range(20_000))
+    rows = [(1, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (None, None, None, None, None), (2, "", "en", None, 0), (3, long, None, "s", len(long)), (4, "one", "fr", "t", 3), (5, " \n\t ", "en", "s", 4), (None, "x\ny", "en", "s", 3)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    return frame.withColumns({c: F.lit(1) for c in ("fp", "score", "th", "pos", "fingerprint", "p", "ids", "labels", "a", "b", "node", "root", "first", "gone")})
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+
+
+OPERATORS = {
+    "secrets": lambda s, d: secrets.scan(d),
+    "pii": lambda s, d: pii.find(d),
+    "simhash": lambda s, d: simhash.near_groups(d),
+    "representatives": lambda s, d: simhash.representatives(d),
+    "imatch": lambda s, d: imatch.fingerprints(d, imatch.lexicon(d)),
+    "mixing": lambda s, d: mixing.mix(d.drop("p")),
+    "bpe": lambda s, d: bpe.encode(d, bpe.vocabulary()),
+    "linededup": lambda s, d: linededup.dedup_lines(d),
+    "toxicity": lambda s, d: toxicity.score(d, labels(s)),
+    "licenses": lambda s, d: licenses.scan(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_awkward_rows(spark, name):
+    docs = awkward(spark)
+    got = OPERATORS[name](spark, docs).collect()
+    assert len(got) == (5 if name == "representatives" else docs.count())
+    assert OPERATORS[name](spark, empty(spark)).collect() == []
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def texts(spark):
+    return {r.doc_id: r.text or "" for r in documents(spark).select("doc_id", "text").collect()}
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def test_simhash_brute_force(spark):
+    prints = {}
+    for i, t in texts(spark).items():
+        w = re.findall("[^\x20\x09-\x0d]+", lower(t))
+        s = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+    parent = {i: i for i in prints}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in prints:
+        for j in prints:
+            if i < j and (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op3(spark, SF).collect()}
+    assert got == {i: (f"{p:016x}", top(i)) for i, p in prints.items()}
+
+
+@pytest.mark.parametrize("distance", [1, 2, 3])
+def test_links_keep_every_connection(spark, distance):
+    rng = random.Random(distance)
+    base = [rng.getrandbits(63) for _ in range(4)]
+    points = list({b ^ sum(1 << rng.randrange(63) for _ in range(rng.randrange(5))) for b in base for _ in range(6)})
+    if distance == 3:
+        points = points[:10]
+    found = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(p,) for p in points], "fp long"), distance).collect()}
+    assert all((a ^ b).bit_count() <= distance for a, b in found)
+    reach = {p: {p} for p in points}
+    for a, b in found:
+        merged = reach[a] | reach[b]
+        for x in merged:
+            reach[x] = merged
+    assert all(b in reach[a] for a in points for b in points if (a ^ b).bit_count() <= distance)
+
+
+def test_components_on_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(5, 5), (7, 8)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({got[i] for i in range(61)}) == 1 and len({got[1000 + i] for i in range(40)}) == 1 and got[0] != got[1000]
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bpe_matches_the_library(spark):
+    from tokenizers import Tokenizer
+
+    mine, theirs = bpe.load(bpe.vocabulary()), Tokenizer.from_file(bpe.vocabulary())
+    rng = random.Random(3)
+    pieces = [*"abcdefgh'’ .,!éßÉİſ中文日本\x1c\x85\xa0ﬁ１²\n\tABC</>w12😀", "<|endoftext|>", "don't", "the", "ing"]
+    cases = ["".join(rng.choice(pieces) for _ in range(rng.randrange(50))) for _ in range(3000)] + ["", "a" * 4000, "ha" * 3000, *texts(spark).values()]
+    for text, (ids, decoded) in zip(cases, mine.encode_text(cases), strict=True):
+        want = theirs.encode(text, add_special_tokens=False).ids
+        assert ids == " ".join(map(str, want)), text
+        assert decoded == theirs.decode(want, skip_special_tokens=False)
+    assert mine.decode(mine.encode_batch(["hello world"])[0]) == theirs.decode(theirs.encode("hello world", add_special_tokens=False).ids)
+
+
+def base_pii(text):
+    out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 12 <= len(d) <= 19 and sum(v if i % 2 == 0 else 2 * v - 9 * (v > 4) for i, v in enumerate(d)) % 10 == 0:
+            out.append((m.start(), 2, m.end(), "card"))
+    out += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return [(k, s, e) for s, _, e, k in sorted(out)]
+
+
+def test_pii_base_spans(spark):
+    rng = random.Random(1)
+    pieces = [*"aZ0129.@+-_ %()\n", "4111 1111 1111 1111", "a@b.co", "1.2.3.4", "+1 (212) 555-0100", "٣", "é", "256.1.1.1.1.1"]
+    for text in ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(4000)] + list(texts(spark).values()):
+        assert pii.base_spans(text) == base_pii(text), text
+    assert len(pii.base_spans("1" * 200_000 + "a" * 200_000 + "@@")) == 0
+
+
+def test_pii_method_adds_and_keeps(spark):
+    text = "Contact Mr. John Smith, born 1980-01-02, SSN 123-45-6789, a@b.co. " * 3 + "Nothing At All"
+    row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert {s.kind for s in row.base} == {"email"} and {"person", "ssn"} <= {s.kind for s in row.added}
+    votes, counts = np.array([[1.0, 1, 1, 0], [-1, -1, -1, 0], [1, -1, 1, 0]]), np.array([50.0, 60, 5])
+    post, right, _ = pii.reliabilities(votes, counts)
+    assert post[0] > 0.9 and post[1] < 0.1 and right[1] < right[0]
+
+
+def test_licence_base_and_fuzzy(spark):
+    phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    got = {r.doc_id: r for r in licenses.op10(spark, SF).collect()}
+    for i, t in texts(spark).items():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        hits = [(k, label) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        r = got[i]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(hits), ",".join(sorted({x for _, x in hits})))
+        assert (r.first_word, r.last_word) == ((min(hits)[0], max(hits)[0]) if hits else (None, None))
+    found = lambda t: {f[0] for f in licenses.scanner().fuzzy(f" {t} ")}
+    assert found("x licensed undr the apache license version 2 0 y") == {"apache-2.0"}
+    assert found("released under the bsd license") == set()
+
+
+def test_vptree_is_exact_with_factor_one_and_close_beyond(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 16)) + 3 * rng.normal(size=(20, 16))[rng.integers(0, 20, 3000)]
+    ids, q = np.arange(3000), np.arange(0, 3000, 20)
+    want = x[q] @ x.T
+    want[np.arange(len(q)), q] = -np.inf
+    best = np.argsort(-want, axis=1, kind="stable")[:, :20]
+    for factor, least in ((1.0, 1.0), (1.5, 0.9)):
+        rows, found, _ = vptree.VpTree(x, leaf=64).search(x[q], q, ids, 20, factor)
+        recall = np.mean([len(set(found[rows == i]) & set(best[i])) / 20 for i in range(len(q))])
+        assert recall >= least
+
+
+def test_vptree_awkward_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [1.0]), (20, [0.5, 0.5]), (9, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("rank", F.lit(1))
+    got = [tuple(r) for r in vptree.nearest(frame, lambda v: v % 20 == 0, k=2, shard_rows=3, block_rows=1).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (20, 1, 0, 0.5), (20, 2, 1, 0.5)]
+    assert vptree.nearest(frame.limit(0), lambda v: v % 20 == 0).count() == 0
+
+
+def test_imatch_pairs_and_edits(spark):
+    docs = texts(spark)
+    order = sorted(docs, reverse=True)
+    got = {r.doc_id: r for r in imatch.op4(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for k, i in enumerate(order):
+        text, following = docs[i], docs[order[(k + 1) % len(order)]]
+        n = len(text) // 3
+        want = hashlib.sha256((text[: len(text) - n] + following[:n]).encode()).hexdigest()
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(text), want)
+    by_text = {}
+    for i, t in docs.items():
+        assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
+    assert np.mean([r.near_edited for r in got.values()]) > 10 * np.mean([r.near_next for r in got.values()])
+
+
+def test_imatch_lexicon_is_exact(spark):
+    docs = documents(spark)
+    seen = {}
+    for t in texts(spark).values():
+        for h in imatch.terms(t.encode()):
+            seen[h] = seen.get(h, 0) + 1
+    n = docs.count()
+    want = sorted(h for h, c in seen.items() if max(2, n / 1000) <= c <= n / 10)
+    for most in (imatch.MAX_SENT, 10):  # the shuffled way gives the same
+        assert imatch.lexicon(docs, most=most).tolist() == [int(h) for h in want]
+
+
+def test_line_dedup(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    many = "\n".join(f"header line number {i} of the licence text" for i in range(12))
+    rows = [(10, f"first\n{passage}\nend ten"), (20, f"second\n{passage}\nend twenty"), (30, f"a\n{many}\nb"), (40, f"c\n{many}\nd"), (50, "short same"), (60, "short same"), (70, f"first\n{passage}\nend ten"), (None, "nothing"), (80, None)]
+    got = {r.doc_id: (r.text, r.n_lines_deleted) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[10][1] == got[30][1] == got[50][1] == got[60][1] == 0
+    assert got[20] == ("second\nend twenty", 1) and got[40] == ("c\nd", 12) and got[80] == (None, 0)
+    assert got[70] == ("", 3)
+
+
+def test_mixing_meets_its_targets(spark):
+    docs = documents(spark)
+    got = mixing.mix(docs).select("source", "lang", "mix_topic", "mix_tokens", "mix_p", "mix_kept").toPandas()
+    for column, name in (("source", "source"), ("lang", "lang"), ("mix_topic", "topic")):
+        total = got.groupby(column).mix_tokens.sum()
+        goal = total.pow(mixing.POWERS[name]) / total.pow(mixing.POWERS[name]).sum()
+        drawn = (got.mix_tokens * got.mix_p).groupby(got[column]).sum()
+        assert (drawn / drawn.sum() - goal).abs().max() < 0.02
+    assert abs((got.mix_tokens * got.mix_p).sum() / got.mix_tokens.sum() - mixing.KEEP) < 1e-3
+    d = dict(zip(("source", "lang", "topic", "n_tokens"), mixing.describe(docs), strict=True))
+    cells = docs.select(*d.values()).groupBy(*mixing.MARGINS).agg(F.sum("n_tokens").alias("cell_tokens"))
+    near, far = (mixing.calibrate(cells.where("lang in ('en', 'fr')"), max_cells=m)[0].toPandas().sort_values([*mixing.MARGINS]) for m in (10**6, 1))
+    assert np.allclose(near.p.to_numpy(), far.p.to_numpy(), atol=2e-3)
+
+
+def test_toxicity_learns_and_holds_out(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("aeioulmnrst", k=rng.randint(3, 8))) for _ in range(3000)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    toxic = [f"{say(30)} worthless idiot {say(20)} disgusting scum {say(30)}" for _ in range(120)]
+    plain = [say(90) for _ in range(240)]
+    model = toxicity.train([t.encode() for t in toxic[:80]], [t.encode() for t in plain[:160]])
+    bad, good = (model.scores([t.encode() for t in x]) for x in (toxic[80:], plain[160:]))
+    assert (bad >= 0.7).mean() > 0.9 and (good >= 0.7).mean() < 0.05
+    got = toxicity.score(documents(spark), spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+
+
+def test_secrets_forest(spark):
+    findings = secrets.labelled_findings(2000, seed=99)
+    forest = secrets.default_forest()
+    hits = [(y, forest.predict(np.array([c[0][2]]))[0]) for t, p, y in findings if (c := secrets.candidates(t, p))]
+    assert np.mean([(s >= 0.5) == bool(y) for y, s in hits]) > 0.95
+    row = secrets.scan(spark.createDataFrame([(1, 'x token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" y', None)], "doc_id long, text string, source string")).first()
+    assert [(f.start, f.end) for f in row.findings] == [(11, 51)]
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = documents(spark)
+    columns, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns, name
+        after = docs.count()
+        assert 0 < after <= before, name
+        before = after
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == before
+    assert corpus_pipeline.run(spark, SF).count() == before
