@@ -342,3 +342,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     writer = apply_watch(stream).writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/log")
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{run}/out").groupBy("change").count()
+
+
+@query("E20_history_fuzzy")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with a token within two edits of a term; DuckDB counts edits by bytes, so there is no SQL."""
+    near = F.exists(T.tokens(doc()), lambda w: F.levenshtein(w, F.lit("therre"), 2) >= 0)
+    return load(spark, sf_dir, "conversations").where(near).select("conv_id", "turn")

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kbspark.plans import native
-from kbspark.plans.portable import PORTABLE
+from kbspark.plans.portable import PORTABLE as FIRST
+from kbspark.plans.portable_more import PORTABLE as MORE
 from kbspark.sources.tables import TABLES, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,5 +27,6 @@ def portable(text: str) -> Query:
     return run
 
 
+PORTABLE = FIRST | MORE
 QUERIES: dict[str, Query] = {name: portable(text) for name, text in PORTABLE.items()} | native.QUERIES
 SQL: dict[str, str] = PORTABLE | native.SQL
