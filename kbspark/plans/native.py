@@ -349,3 +349,61 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with a token within two edits of a term; DuckDB counts edits by bytes, so there is no SQL."""
     near = F.exists(T.tokens(doc()), lambda w: F.levenshtein(w, F.lit("therre"), 2) >= 0)
     return load(spark, sf_dir, "conversations").where(near).select("conv_id", "turn")
+
+
+# Sequential algorithms; rows only, tested against literals
+@query("D30_sentence_chunks")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kbspark.operators.diffs import sentence_chunks
+
+    chunks = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentence_chunks(doc())).alias("chunk_index", "content"))
+    return chunks.select("doc_id", "chunk_index", F.md5("content").alias("h"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prior = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    return load(spark, sf_dir, "conversations").withColumn("prior", prior).where("prior IS NOT NULL")
+
+
+@query("D43_similarity")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kbspark.operators.diffs import similarity
+
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.round(similarity("prior", "text"), 6).alias("ratio"))
+
+
+@query("D44_diff_counts")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kbspark.operators.diffs import diff_counts
+
+    return _turns(spark, sf_dir).select("conv_id", "turn", diff_counts("prior", "text").alias("d")).select("conv_id", "turn", "d.*")
+
+
+# Ordered text aggregates
+@query("E25_context_assembly", "SELECT conv_id, string_agg('[' || turn || '] ' || substring(text, 1, 50), ' ' ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 5 GROUP BY conv_id")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rn = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
+    few = load(spark, sf_dir, "conversations").withColumn("rn", rn).where("rn <= 5")
+    return few.groupBy("conv_id").agg(F.expr("listagg('[' || turn || '] ' || substring(text, 1, 50), ' ') WITHIN GROUP (ORDER BY turn)").alias("context"))
+
+
+@query("C27_table_group_read", "SELECT l_orderkey, string_agg(l_partkey || ':' || l_linenumber, ',' ORDER BY l_linenumber, l_partkey) AS cells FROM lineitem GROUP BY l_orderkey")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    grouped = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(cells.alias("parts"))
+    return grouped.select("l_orderkey", F.array_join(F.transform("parts", lambda c: F.concat_ws(":", c["l_partkey"].cast("string"), c["l_linenumber"].cast("string"))), ",").alias("cells"))
+
+
+@query("E36_knowledge_lookup", SQL["E05_hybrid_fusion"] + " ORDER BY score DESC, doc_id LIMIT 5")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["E05_hybrid_fusion"](spark, sf_dir).orderBy(F.desc("score"), "doc_id").limit(5)
+
+
+INDICATORS = ["是", "不是", "有", "没有", "可以", "不能", "应该", "不应该", "具体", "详细", "例如", "比如", "包括", "包含"]
+on("E15_accuracy", "conversations", f"SELECT conv_id, turn, least(len(list_filter({INDICATORS}, lambda w: contains(text, w))) / 10, 1) AS score FROM conversations", lambda: ["conv_id", "turn", F.least(F.size(F.filter(F.array(*map(F.lit, INDICATORS)), lambda w: F.contains(doc(), w))) / 10, F.lit(1.0)).alias("score")])
+on("I02_parse_datetime", "events", "SELECT event_id, try_strptime(substring(CAST(ts AS VARCHAR), 1, 19), '%Y-%m-%d %H:%M:%S') AS t FROM events", lambda: ["event_id", F.try_to_timestamp(F.substring(F.col("ts").cast("string"), 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")).alias("t")])
+on("I06_epoch", "events", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events", lambda: ["event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s")])
+on("I16_flatten", "part", "SELECT p_partkey, array_to_string(flatten([string_split(p_name, ' '), [p_brand]]), '|') AS s FROM part", lambda: ["p_partkey", F.array_join(F.flatten(F.array(F.split("p_name", " "), F.array("p_brand"))), "|").alias("s")])
+on("I17_remove_duplicates", "conversations", "SELECT conv_id, turn, CAST(len(list_distinct(string_split(text, ' '))) AS BIGINT) AS n FROM conversations", lambda: ["conv_id", "turn", F.size(F.array_distinct(F.split("text", " "))).cast("long").alias("n")])
+on("D04_keywords_zh", "documents", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[一-鿿]{2,4}')) AS BIGINT) AS n FROM documents", lambda: ["doc_id", F.size(F.regexp_extract_all(doc(), F.lit("([一-鿿]{2,4})"), F.lit(1))).cast("long").alias("n")])
+on("D20_toc_text", "documents", r"SELECT doc_id, regexp_matches(lower(replace(text, ' ', '')), '^(目录|tableofcontents)') OR regexp_matches(text, '[.·…]{2,}\s*[0-9]+') AS is_toc FROM documents", lambda: ["doc_id", (F.lower(F.replace(doc(), F.lit(" "), F.lit(""))).rlike("^(目录|tableofcontents)") | doc().rlike(r"[.·…]{2,}\s*[0-9]+")).alias("is_toc")])

@@ -50,3 +50,21 @@ def test_html(spark):
 
 def test_resolution():
     assert [resolution(h) for h in (1, 4, 5)] == ["1 minute", "5 minutes", "15 minutes"]
+
+
+def test_sentence_splitter_always_advances():
+    from kbspark.operators.diffs import split_sentences
+
+    assert split_sentences("One. Two three. Four", 10, 0) == ["One.", "Two three.", "Four"]
+    assert "".join(split_sentences("x" * 950, 100, 0)) == "x" * 950
+    assert len(split_sentences("y" * 500, 100, 99)) < 500
+    with pytest.raises(ValueError):
+        split_sentences("z", 100, 100)
+
+
+def test_diff_counts(spark):
+    from kbspark.operators.diffs import diff_counts, similarity
+
+    rows = spark.createDataFrame([("a\nb\nc", "a\nx\nc\nd"), (None, None)], "p string, q string")
+    got = rows.select(diff_counts("p", "q").alias("d"), similarity("p", "q").alias("s")).collect()
+    assert [tuple(r.d) for r in got] == [(2, 1, 1, 0.75), (0, 0, 0, 0.0)] and got[1].s == 1.0
