@@ -280,3 +280,13 @@ def test_pipeline(spark):
         before = after
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == before
     assert corpus_pipeline.run(spark, SF).count() == before
+
+
+def test_pipeline_keeps_what_is_left_of_a_cut_document(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, passage), (2, f"some words left\n{passage}"), (3, f"{passage}\n \t")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, docs, SF).collect()}
+    assert got == {1: (passage, len(passage)), 2: ("some words left", 15)}
