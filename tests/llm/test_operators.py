@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, imatch, licenses, linededup, mixing, pii, secrets, simhash, toxicity, vptree
+from kbspark.llm import bpe, imatch, licenses, linededup, mixing, pii, secrets, shingles, simhash, toxicity, vptree
 from kbspark.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -290,3 +290,36 @@ def test_pipeline_keeps_what_is_left_of_a_cut_document(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, docs, SF).collect()}
     assert got == {1: (passage, len(passage)), 2: ("some words left", 15)}
+
+
+def test_pipeline_drops_near_copies_as_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    rows = []
+    for i in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for edits in (0, 2, 4, 6, 9, 14):
+            copy = words[:]
+            for at in rng.sample(range(200), edits):
+                copy[at] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    parent = list(range(len(rows)))
+
+    def top(x):
+        return x if parent[x] == x else top(parent[x])
+
+    for i in sets:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, SF).select("doc_id").collect()}
+    assert got == {i for i in sets if top(i) == i} and len(got) < len(rows) - 12
+
+
+def test_shingle_representatives_on_awkward_rows(spark):
+    assert shingles.representatives(awkward(spark)).count() == 5
+    assert shingles.representatives(empty(spark)).collect() == []
