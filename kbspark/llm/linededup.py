@@ -1,10 +1,10 @@
-"""Line-level dedup by pairwise alignment of documents that share lines."""
+"""Line-level dedup by runs of lines that an earlier document has too."""
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import xxhash
@@ -13,105 +13,53 @@ from pyspark.sql import functions as F
 
 from kbspark.llm.common import keyed_text, rows, strings, table
 
-#: Words of an aligned block from which it is deleted; lines around an aligned line that are
-#: compared too.
-MIN_WORDS, REACH = 20, 3
+#: Words of a shared run of lines from which it is deleted.
+MIN_WORDS = 20
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """Rows ``(doc_id, th, pos, row, hi, lo, plain, nw, around)``, one for each non-blank line.
+def windows(sizes: list[int], min_words: int) -> list[tuple[int, int]]:
+    """The shortest runs of lines with ``min_words`` words that start at a line, and those that end
+    at one, as places of their first and last line. Lines have ``sizes`` words, one at least.
 
-    ``pos`` counts non-blank lines, ``row`` all lines. ``hi`` and ``lo`` hash the trimmed line and how
-    often it occurred before in the document, so that each is unique in its document; ``plain``
-    hashes the line alone, and ``around`` holds that of the nearest lines before and after.
+    They cover every longer run: from a line of it to its end there are enough words, or from its
+    start to the line, or else the shortest run from its start goes beyond the line.
+    """
+    sums = [0, *accumulate(sizes)]
+    least = max(1, min_words)
+    found = {(i, bisect_left(sums, sums[i] + least) - 1) for i in range(len(sizes)) if sums[-1] - sums[i] >= least}
+    found |= {(bisect_right(sums, sums[i + 1] - least) - 1, i) for i in range(len(sizes)) if sums[i + 1] >= least}
+    return sorted(found)
+
+
+def runs_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows ``(doc_id, th, hi, lo, rows)``, one for each window of non-blank lines of a document.
+
+    ``hi`` and ``lo`` hash the trimmed lines of the window, ``rows`` are their numbers among all lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.list_(pa.int64())]
-        names = ["pos", "row", "hi", "lo", "plain", "nw", "around"]
+        kinds = {"hi": pa.int64(), "lo": pa.int64(), "rows": pa.list_(pa.int32())}
         for b in rows(batches, 256):
             of, out = [], []
             for at, text in enumerate(strings(b.column(1))):
                 kept = [(i, x) for i, x in enumerate(map(str.strip, text.split("\n"))) if x]
-                times: dict[str, int] = defaultdict(int)
-                plain = [xxhash.xxh3_64_intdigest(x.encode()) - (1 << 63) for _, x in kept]
-                padded = [0] * REACH + plain + [0] * REACH
-                for pos, (row, line) in enumerate(kept):
-                    wide = xxhash.xxh3_128_intdigest(line.encode(), times[line])
-                    times[line] += 1
-                    around = padded[pos : pos + REACH] + padded[pos + REACH + 1 : pos + 2 * REACH + 1]
+                digests = [xxhash.xxh3_128_digest(x.encode()) for _, x in kept]
+                for first, last in windows([len(x.split()) for _, x in kept], min_words):
+                    wide = xxhash.xxh3_128_intdigest(b"".join(digests[first : last + 1]))
                     of.append(at)
-                    out.append((pos, row, (wide >> 64) - (1 << 63), (wide & (1 << 64) - 1) - (1 << 63), plain[pos], len(line.split()), around))
-            cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(names), kinds, strict=True)]
+                    out.append(((wide >> 64) - (1 << 63), (wide & (1 << 64) - 1) - (1 << 63), [i for i, _ in kept[first : last + 1]]))
+            cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds.values(), strict=True)]
             whose = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(whose), b.column(2).take(whose), *cols], ["doc_id", "th", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(whose), b.column(2).take(whose), *cols], ["doc_id", "th", *kinds])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "th").mapInArrow(
-        run, f"doc_id {kind}, th long, pos int, row int, hi long, lo long, plain long, nw int, around array<long>"
-    )
+    return docs.select("doc_id", "text", "th").mapInArrow(run, f"doc_id {kind}, th long, hi long, lo long, rows array<int>")
 
 
-def rising(pairs: list[tuple[int, int]]) -> list[int]:
-    """Indices of a longest subsequence of ``(a, b)``, sorted by a, in which b rises (patience piles)."""
-    tops: list[int] = []
-    at: list[int] = []
-    back = [-1] * len(pairs)
-    for i, (_, b) in enumerate(pairs):
-        pile = bisect_left(tops, b)
-        back[i] = at[pile - 1] if pile else -1
-        tops[pile : pile + 1] = [b]
-        at[pile : pile + 1] = [i]
-    chain, i = [], at[-1] if at else -1
-    while i >= 0:
-        chain.append(i)
-        i = back[i]
-    return chain[::-1]
-
-
-def duplicate_lines(shared: list[dict], min_words: int = MIN_WORDS) -> set[int]:
-    """Positions of a document's lines that lie in blocks it shares with an earlier document.
-
-    ``shared``: its lines that an earlier document has, each with the earliest holder ``e`` and the
-    place there. For each holder the anchors are the longest common rising sequence; from anchor to
-    anchor and up to ``REACH`` lines around one, lines that agree with the holder's are taken in. A
-    block is a run of lines consecutive in both documents; it counts from ``min_words`` words.
-    """
-    own = {s["pos"]: s for s in shared}
-    by_holder: dict[tuple, list[dict]] = defaultdict(list)
-    for s in sorted(shared, key=lambda s: s["pos"]):
-        by_holder[s["e_id"], s["e_th"]].append(s)
-    found: set[int] = set()
-    # Holders that share the rarest lines come first.
-    for lines in sorted(by_holder.values(), key=lambda v: min(s["df"] for s in v)):
-        chain = [lines[i] for i in rising([(s["pos"], s["e_pos"]) for s in lines])]
-        placed = {s["pos"]: s["e_pos"] for s in chain}
-        for s in chain:
-            for side in (range(REACH - 1, -1, -1), range(REACH, 2 * REACH)):
-                for k in side:
-                    step = k - REACH if k < REACH else k - REACH + 1
-                    near = own.get(s["pos"] + step)
-                    if near is None or near["plain"] != s["e_around"][k]:
-                        break
-                    if placed.setdefault(near["pos"], s["e_pos"] + step) != s["e_pos"] + step:
-                        break
-        block: list[int] = []
-        for pos in [*sorted(placed), None]:
-            if block and (pos is None or pos != block[-1] + 1 or placed[pos] != placed[block[-1]] + 1):
-                if sum(own[p]["nw"] for p in block) >= min_words:
-                    found.update(block)
-                block = []
-            if pos is not None:
-                block.append(pos)
-    return found
-
-
-def blocks(shared: list[dict], min_words: int = MIN_WORDS) -> list[dict]:
-    """The lines to delete as ranges of row numbers, both ends included."""
-    found = duplicate_lines(shared, min_words)
-    gone = sorted({s["row"] for s in shared if s["pos"] in found})
+def ranges(found: list[list[int]]) -> list[dict]:
+    """Row numbers of windows as ranges, both ends included."""
     out: list[dict] = []
-    for row in gone:
+    for row in sorted(set(chain.from_iterable(found))):
         if out and out[-1]["b"] == row - 1:
             out[-1]["b"] = row
         else:
@@ -122,32 +70,31 @@ def blocks(shared: list[dict], min_words: int = MIN_WORDS) -> list[dict]:
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, th, gone)``: ranges of lines to delete, for documents ``(doc_id, text, th)`` that have any.
 
-    Every line goes to its earliest holder (least id, then text hash), found by an algebraic minimum
-    that is summed before the shuffle; so a line of any frequency, rare or in a third of all
-    documents, gives each later document one link and no pairs within its group. A join then brings
-    the holder's place to the later documents, where the lines of one document are aligned.
+    A line goes if it lies in a run of lines of ``min_words`` words or more that an earlier document
+    has too, whichever this is. Every window goes to its earliest holder (least id, then text hash),
+    found by an algebraic minimum that is summed before the shuffle; so a passage of any frequency
+    gives each later document one link for each window and no pairs within its group.
     """
-    lines = lines_of(docs)
+    runs = runs_of(docs, min_words)
     key = F.struct("doc_id", "th")
     holders = (
-        lines.groupBy("hi", "lo")
-        .agg(F.min(F.struct("doc_id", "th", "pos", "around")).alias("e"), F.max(key).alias("last"), F.count("*").alias("df"))
+        runs.groupBy("hi", "lo")
+        .agg(F.min(key).alias("e"), F.max(key).alias("last"))
         .where(~(F.col("e.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("e.th") == F.col("last.th"))))
-        .select("hi", "lo", *[F.col(f"e.{c}").alias(f"e_{c}") for c in ("doc_id", "th", "pos", "around")], "df")
+        .select("hi", "lo", *[F.col(f"e.{c}").alias(f"e_{c}") for c in ("doc_id", "th")])
     )
-    later = lines.drop("around").join(holders, ["hi", "lo"])
+    later = runs.join(holders, ["hi", "lo"])
     later = later.where(~(F.col("doc_id").eqNullSafe(F.col("e_doc_id")) & (F.col("th") == F.col("e_th"))))
-    parts = F.struct("pos", "row", "nw", "plain", F.col("e_doc_id").alias("e_id"), "e_th", "e_pos", "e_around", "df")
-    grouped = later.groupBy("doc_id", "th").agg(F.collect_set(parts).alias("shared"))  # a set: repeated rows count once
+    grouped = later.groupBy("doc_id", "th").agg(F.collect_set("rows").alias("found"))  # a set: repeated rows count once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for b in rows(batches, 64):
-            gone = [blocks(shared, min_words) for shared in b.column(2).to_pylist()]
+            gone = [ranges(found) for found in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, kind)], ["doc_id", "th", "gone"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return grouped.mapInArrow(run, f"doc_id {kind}, th long, gone array<struct<a: int, b: int>>").where(F.size("gone") > 0)
+    return grouped.mapInArrow(run, f"doc_id {kind}, th long, gone array<struct<a: int, b: int>>")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,7 +103,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     All columns and rows of ``docs`` stay, in whatever number. Documents are ordered by id, null ids
     first, and rows of one id by a hash of their texts; rows equal in both are one document. Blank
     lines and blocks under ``min_words`` words stay, as do repetitions within one document. Null
-    texts stay null, empty ones empty. What is deleted is kept by an earlier document, since the
+    texts stay null, empty ones empty. Each deleted line is kept by an earlier document, since the
     earliest holder of a line never loses it.
     """
     mark = "__line_hash"

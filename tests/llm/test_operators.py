@@ -323,3 +323,37 @@ def test_pipeline_drops_near_copies_as_brute_force(spark):
 def test_shingle_representatives_on_awkward_rows(spark):
     assert shingles.representatives(awkward(spark)).count() == 5
     assert shingles.representatives(empty(spark)).collect() == []
+
+
+def test_line_dedup_of_passages_with_scattered_holders(spark):
+    lines = [" ".join(f"menu{i}x{k}" for k in range(5)) for i in range(12)]
+    rows = [(i, line) for i, line in enumerate(lines)] + [(100, "\n".join(lines)), (200, "own words\n" + "\n \n".join(lines))]
+    got = {r.doc_id: (r.text, r.n_lines_deleted) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == (t, 0) for i, t in rows[:-1])
+    assert got[200] == ("own words" + "\n " * 11, 12)
+
+
+def test_line_dedup_brute_force(spark):
+    rng = random.Random(5)
+    pool = [" ".join(f"l{i}w{k}" for k in range(rng.choice([1, 1, 2, 4, 7, 11, 25]))) for i in range(30)]
+    docs = []
+    for _ in range(60):
+        doc = []
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(30)
+            doc += pool[at : at + rng.randrange(1, 12)] + [f"own{rng.randrange(10**6)}"] * rng.randrange(2)
+        docs.append(doc)
+    want = {}
+    for i, doc in enumerate(docs):
+        gone = set()
+        for earlier in docs[:i]:
+            for a in range(len(doc)):
+                for b in range(len(earlier)):
+                    n = 0
+                    while a + n < len(doc) and b + n < len(earlier) and doc[a + n] == earlier[b + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in doc[a : a + n]) >= linededup.MIN_WORDS:
+                        gone.update(range(a, a + n))
+        want[i] = ("\n".join(x for k, x in enumerate(doc) if k not in gone), len(gone))
+    frame = spark.createDataFrame([(i, "\n".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    assert {r.doc_id: (r.text, r.n_lines_deleted) for r in linededup.dedup_lines(frame).collect()} == want
