@@ -18,10 +18,19 @@ from kbspark.llm.common import keyed_text, table, utf8
 from kbspark.llm.licenses import WORD_BYTES
 
 #: Bounds of the labelled sample that is learnt from: documents of each class, and their length.
-TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_CHARS = 3_000, 6_000, 20_000
+TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_CHARS = 3_000, 3_000, 20_000
 #: Words of a window, bytes of the dictionaries, and the score from which a document counts as toxic.
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES, THRESHOLD = 24, 98_304, 8_192, 0.7
+WINDOW, ORDINARY_BYTES, TOXIC_BYTES, THRESHOLD = 24, 65_536, 512, 0.7
+#: Segment and matching lengths of the library's trainer for the toxic dictionary. Its samples are
+#: short words; segments of several words keep most of them whole.
+SEGMENT, MATCH = 64, 6
+#: What ends the tables of a trained dictionary (RFC 8878): three offsets; its content follows.
+OFFSETS = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))
 STEMS = range(3, 8)
+#: By how much a false alarm among ordinary texts weighs more than a miss among toxic ones.
+FALSE_COST = 2.0
+#: Share of the toxic documents in which a word must occur to be a sample of their dictionary.
+COMMON = 0.05
 
 
 def normal(text: bytes) -> bytes:
@@ -64,10 +73,11 @@ def lengths(content: bytes, parts: list[bytes]) -> np.ndarray:
 
 
 class Model:
-    """Two dictionaries and a calibrated rule on the gains of the toxic one over a text's windows.
+    """Two trained dictionaries and a calibrated rule on the gains of the toxic one over a text's windows.
 
-    Toxic documents are mostly ordinary language, so the toxic dictionary is the ordinary one, its
-    entropy tables included, with the toxic words behind it: the two differ by these words alone.
+    Toxic documents are mostly ordinary language. A toxic dictionary of its own would shorten ordinary
+    words badly, and that noise would hide the few toxic ones; so windows are compressed with the
+    ordinary dictionary, and with the same one followed by the content of the toxic dictionary.
     """
 
     def __init__(self, ordinary: bytes, toxic: bytes):
@@ -94,12 +104,15 @@ class Model:
         return out
 
     def fit(self, texts: list[bytes], labels: np.ndarray) -> None:
-        """Logistic regression by Newton steps with a small ridge."""
+        """Logistic regression by Newton steps with a small ridge, both classes of equal weight, then
+        shifted so that the threshold separates the given texts best."""
         x, w = self.features(texts), np.zeros(8)
+        weight = np.where(labels > 0, (labels == 0).sum() / max((labels > 0).sum(), 1), 1.0)
         for _ in range(30):
             p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
             ridge = 1e-2 * np.eye(8)
-            w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (labels - p) - ridge @ w)
+            w += np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (labels - p)) - ridge @ w)
+        w[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(x @ w, labels)
         self.weights = w
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -108,6 +121,19 @@ class Model:
         return 1 / (1 + np.exp(-(self.features(texts) @ self.weights).clip(-30, 30)))
 
 
+def best_cut(value: np.ndarray, labels: np.ndarray) -> float:
+    """The value from which on toxic texts are told from others best: the rate of toxic ones above
+    it less ``FALSE_COST`` times the rate of others above it is greatest. Mislabelled texts lower
+    both alike. Of cuts nearly as good (by one text of the rarer class) the middle one."""
+    order = np.argsort(-value, kind="stable")
+    hit, n = labels[order] > 0, [max(int((labels > 0).sum()), 1), max(int((labels == 0).sum()), 1)]
+    gap = np.cumsum(hit) / n[0] - FALSE_COST * np.cumsum(~hit) / n[1]
+    good = np.flatnonzero(gap >= gap.max() - 1 / min(n))
+    at = int(good[len(good) // 2])
+    after = value[order[min(at + 1, len(order) - 1)]]
+    return float((value[order[at]] + after) / 2)
+
+
 def unlike(texts: list[bytes], share: float = 0.3) -> list[bytes]:
     """Texts of which at most ``share`` of the word triples occurred before: copies tell nothing new."""
     seen: set[int] = set()
@@ -132,26 +158,26 @@ def telling_stems(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
 def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     """Dictionaries from the even documents of each class, calibration on the odd ones.
 
-    Most of a toxic document is ordinary language; only its words with telling stems are samples for
-    the toxic dictionary. Without samples of both classes the model scores everything 0.
+    Both dictionaries come from the library's trainer: the ordinary one from the windows of ordinary
+    documents, the toxic one from the toxic part of toxic documents, that is their words with
+    telling stems. Without samples of both classes the model scores everything 0.
     """
     toxic, ordinary = [[normal(x) for x in c] for c in (toxic, ordinary)]
     parts = [w for x in ordinary[::2] for w in windows(x, 24)]
     learnt = unlike(toxic[::2])
     telling = telling_stems(learnt, unlike(ordinary))
-    words = [[w for w in x.split() if w + b"$" in telling or any(w[:n] in telling for n in STEMS)] for x in learnt]
-    often = Counter(w for h in words for w in h)
-    if len(parts) < 50 or not often:
+    known = Counter(w for x in learnt for w in set(x.split()))
+    often = max(3, len(learnt) * COMMON)
+    words = [[w for w in x.split() if known[w] >= often and (w + b"$" in telling or any(w[:n] in telling for n in STEMS))] for x in learnt]
+    samples = [b" " + b" ".join(w) + b" " for w in words if w]
+    if len(parts) < 50 or not samples:
+        return Model(b"", b"")
+    try:
+        held = zstandard.train_dictionary(max(1024, min(ORDINARY_BYTES, sum(map(len, parts)) // 8)), parts).as_bytes()
+        toxic_held = zstandard.train_dictionary(TOXIC_BYTES, samples, k=SEGMENT, d=MATCH).as_bytes()
+    except zstandard.ZstdError:  # fewer samples than the library trains on
         return Model(b"", b"")
-    step = max(1, len(parts) // 60_000)
-    size = min(ORDINARY_BYTES, sum(map(len, parts)) // 8)
-    held = zstandard.train_dictionary(max(1024, size), parts[::step]).as_bytes()
-    # The library's trainer cuts segments across such short words, so this dictionary is laid out
-    # here: whole words, the most frequent last, where references to them are cheapest.
-    ranked = sorted(often, key=lambda w: (-often[w], w))
-    fits = np.cumsum([len(w) + 1 for w in ranked]) < TOXIC_BYTES
-    content = b" " + b" ".join([w for w, ok in zip(ranked, fits, strict=True) if ok][::-1]) + b" "
-    model = Model(held, content)
+    model = Model(held, b" " + toxic_held[toxic_held.index(OFFSETS) + len(OFFSETS) :] + b" ")
     model.fit(toxic[1::2] + ordinary[1::2], np.repeat([1.0, 0.0], [len(toxic[1::2]), len(ordinary[1::2])]))
     return model
 
