@@ -1,17 +1,18 @@
-"""Line-level dedup by runs of lines that an earlier document has too."""
+"""Line-level dedup: documents that share rare runs of lines are aligned in pairs, common blocks deleted."""
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import keyed_text, rows, strings, table
+from kbspark.llm.common import cut, keyed_text, lookup, rows, strings, table
 
 #: Words of a shared run of lines from which it is deleted.
 MIN_WORDS = 20
@@ -56,10 +57,65 @@ def runs_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return docs.select("doc_id", "text", "th").mapInArrow(run, f"doc_id {kind}, th long, hi long, lo long, rows array<int>")
 
 
-def ranges(found: list[list[int]]) -> list[dict]:
-    """Row numbers of windows as ranges, both ends included."""
+def chains(places: list[int]) -> list[list[int]]:
+    """Increasing chains that together hold every index of ``places``: first the longest one there
+    is, by patience sorting, then the rest greedily, each place behind the nearest lower chain end."""
+    tops: list[int] = []
+    ends: list[int] = []
+    before = [-1] * len(places)
+    for i, place in enumerate(places):
+        at = bisect_left(tops, place)
+        before[i] = ends[at - 1] if at else -1
+        tops[at : at + 1], ends[at : at + 1] = [place], [i]
+    longest, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        longest.append(i)
+        i = before[i]
+    taken = set(longest)
+    lasts: list[int] = []  # ends of the further chains, ascending
+    names: list[int] = []
+    out = [longest[::-1]] if longest else []
+    for i, place in enumerate(places):
+        if i in taken:
+            continue
+        at = bisect_left(lasts, place)
+        if at:
+            out[names[at - 1]].append(i)
+            lasts[at - 1] = place
+        else:
+            lasts.insert(0, place)
+            names.insert(0, len(out))
+            out.append([i])
+    return out
+
+
+def align(found: list[tuple[int, list[int]]]) -> list[tuple[int, int, int]]:
+    """Blocks ``(first, last, at)`` of a document's lines that stand from line ``at`` on in another.
+
+    ``found`` holds their shared windows, each with its place there and its line numbers here. Windows
+    that are unique in this document come first: the longest sequence of them that rises in both
+    documents is the patience alignment. Windows beside it, repeated or moved ones, are aligned in
+    further passes, so none is lost. Windows of one pass that overlap or follow on in both documents make one block.
+    """
+    often = Counter(at for at, _ in found)
+    blocks: list[tuple[int, int, int]] = []
+    for part in ([f for f in found if often[f[0]] == 1], [f for f in found if often[f[0]] > 1]):
+        part.sort(key=lambda f: (f[1][0], f[1][-1], f[0]))
+        for chain in chains([at for at, _ in part]):
+            made: list[list[int]] = []
+            for at, lines in (part[i] for i in chain):
+                if made and (lines[0] <= made[-1][1] or at - made[-1][2] == lines[0] - made[-1][0]):
+                    made[-1][1] = max(made[-1][1], lines[-1])
+                else:
+                    made.append([lines[0], lines[-1], at])
+            blocks += [(first, last, at) for first, last, at in made]
+    return sorted(blocks)
+
+
+def ranges(rows: set[int]) -> list[dict]:
+    """Row numbers as ranges, both ends included."""
     out: list[dict] = []
-    for row in sorted(set(chain.from_iterable(found))):
+    for row in sorted(rows):
         if out and out[-1]["b"] == row - 1:
             out[-1]["b"] = row
         else:
@@ -68,55 +124,75 @@ def ranges(found: list[list[int]]) -> list[dict]:
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, th, gone)``: ranges of lines to delete, for documents ``(doc_id, text, th)`` that have any.
-
-    A line goes if it lies in a run of lines of ``min_words`` words or more that an earlier document
-    has too, whichever this is. Every window goes to its earliest holder (least id, then text hash),
-    found by an algebraic minimum that is summed before the shuffle; so a passage of any frequency
-    gives each later document one link for each window and no pairs within its group.
+    """``(doc_id, th, gone, blocks)`` for documents ``(doc_id, text, th)`` that have lines to delete.
+
+    Single lines such as headings are common; a run of lines that just reaches ``min_words`` words is
+    the rare line by which overlapping documents find each other. Each window goes to its earliest
+    holder (least id, then text hash), found by an algebraic minimum that is summed before the
+    shuffle, so a passage of any frequency gives each later document one partner for each window and
+    no pairs within its group; the windows of very frequent passages are dealt over many tasks.
+    Then every pair of a document and a partner is aligned. A document's windows, two for each of
+    its lines at most, are one row of that step.
     """
     runs = runs_of(docs, min_words)
-    key = F.struct("doc_id", "th")
-    holders = (
+    key = F.struct("doc_id", "th", F.col("rows")[0].alias("at"))
+    holders = cut(
         runs.groupBy("hi", "lo")
-        .agg(F.min(key).alias("e"), F.max(key).alias("last"))
+        .agg(F.min(key).alias("e"), F.max(key).alias("last"), F.count("*").alias("n_runs"))
         .where(~(F.col("e.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("e.th") == F.col("last.th"))))
-        .select("hi", "lo", *[F.col(f"e.{c}").alias(f"e_{c}") for c in ("doc_id", "th")])
+        .select("hi", "lo", "n_runs", *[F.col(f"e.{c}").alias(f"e_{c}") for c in ("doc_id", "th", "at")])
     )
-    later = runs.join(holders, ["hi", "lo"])
+    later = lookup(runs, holders, ["hi", "lo"], "n_runs")
     later = later.where(~(F.col("doc_id").eqNullSafe(F.col("e_doc_id")) & (F.col("th") == F.col("e_th"))))
-    grouped = later.groupBy("doc_id", "th").agg(F.collect_set("rows").alias("found"))  # a set: repeated rows count once
+    pair = F.struct(F.col("e_doc_id").alias("doc_id"), F.col("e_th").alias("th"), F.col("e_at").alias("at"), "rows")
+    grouped = later.groupBy("doc_id", "th").agg(F.collect_set(pair).alias("found"))  # a set: repeated rows count once
+    names = {"gone": pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), "blocks": None}
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for b in rows(batches, 64):
-            gone = [ranges(found) for found in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, kind)], ["doc_id", "th", "gone"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return grouped.mapInArrow(run, f"doc_id {kind}, th long, gone array<struct<a: int, b: int>>")
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated blocks cut from ``text_col``, and a column ``n_lines_deleted`` (long).
-
-    All columns and rows of ``docs`` stay, in whatever number. Documents are ordered by id, null ids
-    first, and rows of one id by a hash of their texts; rows equal in both are one document. Blank
-    lines and blocks under ``min_words`` words stay, as do repetitions within one document. Null
-    texts stay null, empty ones empty. Each deleted line is kept by an earlier document, since the
-    earliest holder of a line never loses it.
+            gone, blocks = [], []
+            for found in b.column(2).to_pylist():
+                pairs: dict[tuple, list[tuple[int, list[int]]]] = {}
+                for f in found:
+                    pairs.setdefault((f["doc_id"], f["th"]), []).append((f["at"], f["rows"]))
+                gone.append(ranges({r for f in found for r in f["rows"]}))
+                blocks.append([{"first": a, "last": z, "doc_id": p[0], "at": at} for p, w in pairs.items() for a, z, at in align(w)])
+            block = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("doc_id", b.column(0).type), ("at", pa.int32())])
+            cols = [pa.array(gone, names["gone"]), pa.array(blocks, pa.list_(block))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "th", *names])
+
+    block = f"array<struct<first: int, last: int, doc_id: {kind}, at: int>>"
+    return grouped.mapInArrow(run, f"doc_id {kind}, th long, gone array<struct<a: int, b: int>>, blocks {block}")
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", blocks: bool = False) -> DataFrame:
+    """``docs`` with the repeated blocks cut from ``text_col``, and a column ``n_lines_deleted`` (long)
+    behind them; with ``blocks`` also ``deleted_blocks``: first and last line, and the earlier
+    document and its line from which the same lines stand there.
+
+    All columns and rows of ``docs`` stay, in whatever number; a column of these two names is
+    replaced. Documents are ordered by id, null ids first, and rows of one id by a hash of their
+    texts; rows equal in both are one document. Blank lines and blocks under ``min_words`` words
+    stay, as do repetitions within one document. Null texts stay null, empty ones empty. Each
+    deleted line is kept by an earlier document, since the earliest holder never loses it.
     """
+    made = ["n_lines_deleted", *["deleted_blocks"] * blocks]
+    docs = docs.drop(*made)
     mark = "__line_hash"
     hashed = docs.withColumn(mark, F.xxhash64(F.col(text_col).cast("string")))
     few = keyed_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
-    gone = deletions(few, min_words).select(F.col("doc_id").alias("__line_doc"), F.col("th").alias("__line_th"), F.col("gone").alias("__line_gone"))
+    gone = deletions(few, min_words)
+    gone = gone.select(F.col("doc_id").alias("__line_doc"), F.col("th").alias("__line_th"), F.col("gone").alias("__line_gone"), F.col("blocks").alias("__line_blocks"))
     both = hashed.join(gone, hashed[id_col].eqNullSafe(gone["__line_doc"]) & (hashed[mark] == gone["__line_th"]), "left")
     inside = lambda i: F.exists("__line_gone", lambda g: (i >= g["a"]) & (i <= g["b"]))
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~inside(i))
     text = F.when(F.col("__line_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     count = F.coalesce(F.aggregate("__line_gone", F.lit(0).cast("long"), lambda n, g: n + g["b"] - g["a"] + 1), F.lit(0).cast("long"))
-    return both.select(*[text.alias(c) if c == text_col else hashed[c] for c in docs.columns], count.alias("n_lines_deleted"))
+    extra = [count.alias(made[0]), *[F.col("__line_blocks").alias(c) for c in made[1:]]]
+    return both.select(*[text.alias(c) if c == text_col else hashed[c] for c in docs.columns], *extra)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its text without the blocks that earlier ones have, and how many lines went."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))

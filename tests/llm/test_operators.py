@@ -357,3 +357,38 @@ def test_line_dedup_brute_force(spark):
         want[i] = ("\n".join(x for k, x in enumerate(doc) if k not in gone), len(gone))
     frame = spark.createDataFrame([(i, "\n".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
     assert {r.doc_id: (r.text, r.n_lines_deleted) for r in linededup.dedup_lines(frame).collect()} == want
+
+
+def test_line_dedup_aligns_pairs(spark):
+    """The lines of a passage occur alone before, blocks are moved, and the source is reported."""
+    line = [" ".join(f"m{i}x{k}" for k in range(8)) for i in range(9)]
+    rows = [(1, line[0]), (2, line[1]), (3, line[2]), (5, "\n".join(line)), (9, "\n".join(["own", *line[6:9], "mid", *line[:3], line[5]]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in linededup.dedup_lines(frame, blocks=True).collect()}
+    assert got[9].text == f"own\nmid\n{line[5]}" and got[9].n_lines_deleted == 6
+    assert sorted((b.first, b.last, b.doc_id, b["at"]) for b in got[9].deleted_blocks) == [(1, 3, 5, 6), (5, 7, 5, 0)]
+    assert got[5].text == "\n".join(line)
+    rng = random.Random(3)
+    for _ in range(200):
+        places = [rng.randrange(12) for _ in range(rng.randrange(12))]
+        made = linededup.chains(places)
+        assert sorted(i for c in made for i in c) == list(range(len(places)))
+        assert all(a < b and places[a] < places[b] for c in made for a, b in zip(c, c[1:], strict=False))
+        most = max((len(c) for c in _rising(places)), default=0)
+        assert len(made[0] if made else []) == most
+
+
+def _rising(places):
+    found = [[]]
+    for p in places:
+        found += [[*c, p] for c in found if not c or c[-1] < p]
+    return found
+
+
+def test_lookup_splits_hot_keys(spark):
+    from kbspark.llm.common import lookup
+
+    rows = spark.createDataFrame([(i % 3 if i % 2 else 7, i) for i in range(500)], "k long, v long")
+    found = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("first"))
+    got = sorted((r.k, r.v, r.first) for r in lookup(rows, found, ["k"], "n", shares=20).collect())
+    assert got == sorted((r.k, r.v, r.first) for r in rows.join(found, "k").collect())
