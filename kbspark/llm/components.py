@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kbspark.llm.common import cut
@@ -17,9 +17,9 @@ def components(edges: DataFrame) -> DataFrame:
     one row per map task. Only the contracted edges and the node maps are kept, both checkpointed.
     Nodes without edges do not appear. Self-loops and repeated edges are allowed.
     """
-    left = cut(edges.select("a", "b").where("a <> b").distinct())
+    left, n = counted(edges.select("a", "b").where("a <> b").distinct())
     maps: list[DataFrame] = []
-    while not left.isEmpty():
+    while n:
         seed = F.lit(len(maps))
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         order = lambda c: F.struct(F.xxhash64(seed, F.col(c)).alias("o"), F.col(c).alias("n"))
@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         maps.append(moved)
         ends = [moved.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
-        left = cut(
+        left, n = counted(
             left.join(ends[0], "a")
             .join(ends[1], "b")
             .where("ra <> rb")
@@ -44,3 +44,10 @@ def components(edges: DataFrame) -> DataFrame:
         then = later.select(F.col("node").alias("root"), F.col("root").alias("next"))
         found = found.join(then, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     return found
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` materialised, and the number of its rows, counted while it is written."""
+    seen = Observation()
+    held = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return held, seen.get["n"]

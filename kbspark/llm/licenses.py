@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,8 @@ NOTICES = (
 #: One error is allowed for so many letters of a notice.
 LETTERS_PER_ERROR = 12
 
+SPACE = regex.compile(" ")
+
 #: A-Z become a-z; ASCII letters, digits and all bytes from 0x80 stay; the rest parts words.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -75,12 +78,12 @@ class Scanner:
         self.automaton.make_automaton()
 
     def base_places(self, line: bytes) -> list[tuple[int, str]]:
-        """Word indices and labels of the exact phrases; ``line``: words with a space around each."""
+        """Offsets and labels of the exact phrases; ``line``: words with a space around each."""
         found = []
         for phrase, label in self.base:
             at = line.find(phrase)
             while at >= 0:
-                found.append((line.count(b" ", 0, at), label))
+                found.append((at, label))
                 at = line.find(phrase, at + 1)
         return found
 
@@ -135,12 +138,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 words = text.translate(WORD_BYTES).split()
                 line = b" " + b" ".join(words) + b" "
                 places = s.base_places(line)
+                if places:  # the space before word k is the k-th of the line
+                    number = np.searchsorted(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), [at for at, _ in places])
+                    places = [(int(k), label) for k, (_, label) in zip(number, places, strict=True)]
                 spoken = line.decode()
                 fuzzy = s.fuzzy(spoken)
                 spans = []
+                spaces = np.array([m.start() for m in SPACE.finditer(spoken)]) if fuzzy else None
                 for label, start, end, errors, _ in sorted(fuzzy, key=lambda x: (x[1], x[2], x[0])):
-                    first = spoken.count(" ", 0, start + 1) - 1
-                    last = max(first, spoken.count(" ", 0, max(start + 1, end - 1)) - 1)
+                    first = int(np.searchsorted(spaces, start + 1)) - 1
+                    last = max(first, int(np.searchsorted(spaces, max(start + 1, end - 1))) - 1)
                     spans.append({"label": label, "first": first, "last": last, "errors": errors})
                 exact = {label for _, label in places}
                 closeness = [1 - f[3] / len(s.notices[f[4]][0]) for f in fuzzy] + [1.0] * bool(places)
@@ -172,4 +179,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base places, labels of exact and fuzzy finds, and the closest find's score for each document."""
     return scan(table(spark, sf_dir, "documents")).drop("spans")

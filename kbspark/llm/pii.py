@@ -1,4 +1,4 @@
-"""Personal data by weak supervision: labelers vote, EM weighs them, a classifier decides on spans."""
+"""Personal data by weak supervision: labelers vote, EM weighs them, a classifier trained on it decides."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.llm.bpe import slices
@@ -48,17 +48,18 @@ CANDIDATES = {
     "iban": re.compile(r"\b([A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?)\b"),
     "birth": re.compile(r"(?<![0-9])((?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3]?[0-9][/.][01]?[0-9][/.](?:19|20)[0-9]{2})(?![0-9])"),
 }
-#: What must occur in a text for a kind of candidate to be possible; spares most texts the search.
-GATES = {
-    "person": re.compile(r"\b(?:(?i:" + "|".join((*TITLES, *(w for w in CUES["person"]))) + r")\b|(?i:" + "|".join(GIVEN) + r") )"),
-    "street": re.compile(r"(?i)[0-9] .{2,80}\b(?:" + "|".join(STREETS) + r")\b"),
-    "ssn": re.compile(r"[0-9]-[0-9]{2}-[0-9]"),
-    "iban": re.compile(r"[A-Z]{2}[0-9]{2}"),
-    "birth": re.compile(r"(?:19|20)[0-9]{2}"),
-}
+#: Capitalised words that stand in titles, licences and addresses, not in names of persons.
+NOT_NAMES = frozenset(
+    "the a an and or of for in on at by to with from this that it is license licence public general apache software "
+    "rights reserved copyright version university street avenue road new north south east west saint united states "
+    "january february march april may june july august september october november december monday tuesday wednesday "
+    "thursday friday saturday sunday der die das und ein eine le la les un une des et el los las una y".split()
+)
 WORD = re.compile(r"\w+")
 LABELERS = ("pattern", "gazetteer", "context", "form")
-NEAR = 48  # code points around a span in which the context labeler reads
+NEAR = 48  # code points before a span in which the context labeler reads
+#: Candidates of each kind and vote pattern that the span classifier is fitted on, about.
+FIT_PER_PATTERN = 500
 
 
 def digits(text: str) -> str:
@@ -118,118 +119,157 @@ def form(kind: str, span: str) -> bool | None:
         year = int(re.search(r"(?:19|20)[0-9]{2}", span)[0])
         return 1900 <= year <= 2025
     if kind == "person":
-        return None if all(w.istitle() for w in span.split()) else False
+        words = [w.lower() for w in span.split()]
+        return None if all(w.istitle() for w in span.split()) and len(set(words)) == len(words) else False
     return None
 
 
-def candidates(text: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
-    """``(kind, start, end, votes)``; each vote is 1 for, -1 against, 0 for no opinion."""
+def vote(kind: str, titled: bool, words: list[str], cued: bool, span: str) -> tuple[int, ...]:
+    """The votes of the labelers on a candidate: 1 for, -1 against, 0 for no opinion."""
+    if kind == "person":
+        known = 1 if any(w in GIVEN for w in words) else -1 if any(w in NOT_NAMES for w in words) else 0
+        pattern = 1 if titled else 0
+    else:  # a pattern that all candidates of the kind have says nothing about any of them
+        known = (1 if words[-1] != "st" else 0) if kind == "street" else 0
+        pattern = 0
+    checked = form(kind, span)
+    return pattern, known, 1 if cued else -1, 0 if checked is None else 1 if checked else -1
+
+
+def describe(kind: str, span: str, before: str, after: str, words: list[str], cue_at: int) -> list[float]:
+    """Features of a span and its surroundings; those of the labelers are not among them."""
+    n = len(span)
+    return [
+        math.log(n), len(words) / 4, sum(c.isupper() for c in span) / n, sum(c.isdigit() for c in span) / n,
+        sum(map(len, words)) / max(len(words), 1) / 10, float(len(set(words)) < len(words)), float(span.isupper()),
+        float(all(w[:1].isupper() or w[:1].isdigit() for w in WORD.findall(span))), float(before[-1:] in ("", "\n")),
+        float(before.rstrip()[-1:] in (":", ",", "(")), float(before.rstrip()[-1:] in (".", "!", "?", "")),
+        float(after[:1] in (".", ",", ")", ";", "\n", "")), 1 / (1 + cue_at) if cue_at >= 0 else 0.0,
+        max((v for w in words for v in [sum(c in "aeiouyáéíóúäöüèêà" for c in w) / len(w)]), default=0.0),
+    ]
+
+
+def candidates(text: str) -> list[tuple[str, int, int, tuple[int, ...], list[float]]]:
+    """``(kind, start, end, votes, features)`` of all candidates of the added kinds in a whole text."""
     found = []
     for kind, pattern in CANDIDATES.items():
-        if not GATES[kind].search(text):
-            continue
         for m in pattern.finditer(text):
             start, end = m.span(1)
             span = m[1]
             words = [w.lower() for w in WORD.findall(span)]
-            titled = kind == "person" and m.start() < start
-            known = any(w in GIVEN for w in words) if kind == "person" else words[-1] in STREETS[:1] + STREETS[2:] if kind == "street" else None
-            around = {w.lower() for w in WORD.findall(text[max(0, start - NEAR) : start])}
-            cued = not around.isdisjoint(CUES[kind])
-            checked = form(kind, span)
-            votes = (
-                1 if kind != "person" or titled else 0,
-                0 if known is None else 1 if known else -1,
-                1 if cued else -1 if kind in ("person", "birth") else 0,
-                0 if checked is None else 1 if checked else -1,
-            )
-            found.append((kind, start, end, votes))
+            before = text[max(0, start - NEAR) : start]
+            near = [w.lower() for w in WORD.findall(before)][::-1]
+            cue_at = next((i for i, w in enumerate(near) if w in CUES[kind]), -1)
+            votes = vote(kind, kind == "person" and m.start() < start, words, cue_at >= 0, span)
+            found.append((kind, start, end, votes, describe(kind, span, before, text[end : end + 2], words, cue_at)))
     return found
 
 
-def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM on counted vote patterns: posteriors, each labeler's accuracy where it votes, the prior.
+def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 50, kinds: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
+    """EM on counted vote patterns: posteriors, each labeler's accuracy where it votes, a prior for
+    each kind (all of one kind where none are given).
 
     Every labeler is right with its own probability, alike for both classes, and independent of the
-    others given the class. It starts from the majority of the votes and is smoothed by one
-    right and one wrong vote, so that no labeler becomes certain.
+    others given the class. It starts at 0.7 and is smoothed by ten votes of which seven are right,
+    a prior by one candidate of each class, so that neither becomes certain.
     """
-    if not len(votes):
-        return np.zeros(0), np.full(votes.shape[1], 0.7), 0.5
-    right, prior = np.full(votes.shape[1], 0.7), 0.5
-    for _ in range(rounds):
+    kinds = kinds or [""] * len(votes)
+    right, prior = np.full(votes.shape[1], 0.7), {k: 0.5 for k in kinds}
+    post, of = np.zeros(len(votes)), np.array(kinds)
+    for _ in range(rounds if len(votes) else 0):
         strength = np.log(right / (1 - right))
-        post = 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + votes @ strength)))
+        odds = np.array([math.log(prior[k] / (1 - prior[k])) for k in kinds])
+        post = 1 / (1 + np.exp(-(odds + votes @ strength)))
         for j in range(votes.shape[1]):
             v = votes[:, j]
             agree = (counts * np.where(v > 0, post, np.where(v < 0, 1 - post, 0))).sum()
             right[j] = (agree + 7) / ((counts * (v != 0)).sum() + 10)
         right = right.clip(0.55, 0.98)
-        prior = float(((counts * post).sum() + 1) / (counts.sum() + 2))
-        prior = min(max(prior, 0.05), 0.95)
+        for k in prior:
+            at = of == k
+            prior[k] = float(((counts[at] * post[at]).sum() + 1) / (counts[at].sum() + 2))
     return post, right, prior
 
 
-def features(kinds: list[str], votes: np.ndarray) -> np.ndarray:
+def design(kinds: list[str], seen: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    """Rows of the classifier: kind, span and surroundings, votes."""
     names = list(CANDIDATES)
     one_hot = np.array([[k == n for n in names] for k in kinds], float).reshape(-1, len(names))
-    return np.hstack([one_hot, votes, (votes > 0).sum(1, keepdims=True) - (votes < 0).sum(1, keepdims=True)])
+    return np.hstack([one_hot, seen, votes])
 
 
-def span_classifier(x: np.ndarray, soft: np.ndarray, counts: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Logistic regression on the EM posteriors, weighted by how often each pattern occurs."""
-    w = np.zeros(x.shape[1])
-    share = counts / max(counts.sum(), 1)
+def span_classifier(x: np.ndarray, soft: np.ndarray, weight: np.ndarray, steps: int = 30) -> np.ndarray:
+    """Weights of a logistic regression on the EM posteriors, by Newton steps with a small ridge."""
+    w, share = np.zeros(x.shape[1]), weight / max(weight.sum(), 1e-9)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ w))
-        w -= 1.0 * (x.T @ (share * (p - soft)) + 1e-3 * w)
+        p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
+        hessian = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
+        w += np.linalg.solve(hessian, x.T @ (share * (soft - p)) - 1e-3 * w)
     return w
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``(doc_id, base, added)``: arrays of ``(kind, start, end[, p])``, offsets in code points.
-
-    One pass over the texts finds base spans and candidates with their votes; what it finds is
-    checkpointed, as it is small beside the texts. Votes are counted by pattern, of which there are
-    at most kinds times 3 to the power of labelers, and only these counts reach the driver.
-    Null and empty texts have no spans; repeated rows and null ids pass through one by one. Where a
-    corpus has no candidates at all, nothing is added.
+    """``(doc_id, base, added)``: arrays of ``(kind, start, end)``, ``added`` with the classifier's
+    ``p`` behind them; offsets in code points.
+
+    One pass over the texts finds base spans and candidates with votes and features; what it finds is
+    checkpointed, as it is small beside the texts. Vote patterns, at most kinds times 3 to the power
+    of labelers, are counted over all documents, and EM runs on these counts. The classifier is fitted
+    on about ``FIT_PER_PATTERN`` candidates of each pattern, chosen by a hash and weighted to stand
+    for all of them, and then scores every candidate. Null and empty texts have no spans; repeated
+    rows and null ids pass through one by one. Where a corpus has no candidates, nothing is added.
     """
     few = keyed_text(docs, id_col, text_col)
     kind = few.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        cand_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("votes", pa.list_(pa.int32()))]))
+        place = [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]
+        cand_type = pa.list_(pa.struct([*place, ("votes", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))]))
         for b in slices(batches):
             base, cand = [], []
             for text in strings(b.column(1)):
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in base_spans(text)])
-                cand.append([{"kind": k, "start": s, "end": e, "votes": list(v)} for k, s, e, v in candidates(text)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, base_type), pa.array(cand, cand_type)], ["doc_id", "base", "cand"])
+                cand.append([{"kind": k, "start": s, "end": e, "votes": list(v), "x": x} for k, s, e, v, x in candidates(text)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.list_(pa.struct(place))), pa.array(cand, cand_type)], ["doc_id", "base", "cand"])
 
     span = "kind: string, start: long, end: long"
-    seen = cut(few.mapInArrow(run, f"doc_id {kind}, base array<struct<{span}>>, cand array<struct<{span}, votes: array<int>>>"))
-    counted = seen.select(F.explode("cand").alias("c")).groupBy("c.kind", "c.votes").count().collect()
-    counted.sort(key=lambda r: (r["kind"], r["votes"]))
-    votes = np.array([r["votes"] for r in counted], float).reshape(-1, len(LABELERS))
-    counts = np.array([r["count"] for r in counted], float)
-    post, _, _ = reliabilities(votes, counts)
-    x = features([r["kind"] for r in counted], votes)
-    p = 1 / (1 + np.exp(-x @ span_classifier(x, post, counts))) if len(counted) else []
-    kept = [F.lit(f"{r['kind']}:{','.join(map(str, r['votes']))}") for r, q in zip(counted, p, strict=True) if q >= threshold]
-    good = F.filter("cand", lambda c: F.array_contains(F.array(*kept), F.concat(c["kind"], F.lit(":"), F.array_join(c["votes"].cast("array<string>"), ",")))) if kept else F.slice("cand", 1, 0)
-    added = F.transform(good, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return seen.select("doc_id", "base", added.alias("added"))
+    seen = cut(few.mapInArrow(run, f"doc_id {kind}, base array<struct<{span}>>, cand array<struct<{span}, votes: array<int>, x: array<double>>>"))
+    each = seen.select("doc_id", F.explode("cand").alias("c"))
+    counted = sorted(each.groupBy("c.kind", "c.votes").count().collect(), key=lambda r: (r["kind"], r["votes"]))
+    if not counted:
+        return seen.select("doc_id", "base", F.expr(f"CAST(array() AS array<struct<{span}, p: double>>)").alias("added"))
+    votes, counts = np.array([r["votes"] for r in counted], float), np.array([r["count"] for r in counted], float)
+    post, _, _ = reliabilities(votes, counts, kinds=[r["kind"] for r in counted])
+    number = {(r["kind"], tuple(r["votes"])): i for i, r in enumerate(counted)}
+    pattern = F.concat_ws(":", "c.kind", F.array_join(F.col("c.votes").cast("array<string>"), ","))
+    rate = F.create_map(*[F.lit(v) for r in counted for v in (f"{r['kind']}:{','.join(map(str, r['votes']))}", min(1.0, FIT_PER_PATTERN / r["count"]))])
+    draw = F.xxhash64("doc_id", "c.start", "c.end", "c.kind").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    sample = each.where(draw < rate[pattern]).select("c.kind", "c.votes", "c.x").collect()
+    if not sample:  # so few candidates that the hash drew none: all of them
+        sample = each.select("c.kind", "c.votes", "c.x").collect()
+    which = np.array([number[r["kind"], tuple(r["votes"])] for r in sample])
+    x = design([r["kind"] for r in sample], np.array([r["x"] for r in sample]), np.array([r["votes"] for r in sample], float))
+    drawn = np.bincount(which, minlength=len(counts))
+    w = span_classifier(x, post[which], counts[which] / drawn[which]).tolist()
+
+    def p(c: Column) -> Column:
+        kinds = F.create_map(*[F.lit(v) for pair in zip(CANDIDATES, w, strict=False) for v in pair])
+        values = F.concat(c["x"], c["votes"].cast("array<double>"))
+        terms = F.zip_with(values, F.array(*[F.lit(v) for v in w[len(CANDIDATES) :]]), lambda a, b: a * b)
+        return 1 / (1 + F.exp(-F.aggregate(terms, kinds[c["kind"]], lambda a, b: a + b)))
+
+    marked = F.transform("cand", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), p(c).alias("p")))
+    return seen.select("doc_id", "base", F.filter(marked, lambda c: c["p"] >= threshold).alias("added"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans of each document, and all spans, the method's included."""
     found = find(table(spark, sf_dir, "documents"))
     rank = F.array(*[F.lit(k) for k in (*KINDS, *CANDIDATES)])
     of_kind = lambda k: lambda s: s["kind"] == k
     text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     place = lambda s: F.struct(s["start"].alias("at"), F.array_position(rank, s["kind"]).alias("k"), s["end"].alias("to"), s["kind"].alias("kind"))
-    joined = F.array_sort(F.transform(F.concat("base", "added"), place))
+    joined = F.array_sort(F.concat(F.transform("base", place), F.transform("added", place)))
     everything = F.array_join(F.transform(joined, lambda s: F.concat_ws(":", s["kind"], s["at"].cast("string"), s["to"].cast("string"))), ",")
     return found.select(
         "doc_id",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
 import string
 import uuid
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,19 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm.bpe import slices
+from kbspark.llm.bpe import slices, vocabulary
 from kbspark.llm.common import strings, table
 
-#: Shape of a candidate: a run of key characters of this length with letters and digits in it.
-LEAST = 16
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{%d,}" % LEAST)
+#: Shapes of candidates: a run of key characters of this length with letters and digits in it, with
+#: padding behind; or whatever is assigned to a name with a secret word in it, from a lower length.
+LEAST, LEAST_ASSIGNED = 16, 6
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{%d,}={0,2}" % LEAST)
+ASSIGNED = re.compile(
+    r"(?i:passwor[dt]|passwd|pwd|secret|token|api_?key|credential)[\w-]{0,20}[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"'<>,;]{%d,})"
+    % LEAST_ASSIGNED
+)
 DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
-WORD = re.compile(r"[a-z]+")
+WORD, CASE_RISES = re.compile(r"[a-z]+"), re.compile(r"([a-z])([A-Z])")
 
 #: Words that stand near secrets, words that stand near other random strings, and words of names.
 NEAR_SECRET = ("token", "secret", "key", "apikey", "api", "password", "passwd", "pwd", "auth", "bearer", "credential", "private", "access")
 NEAR_OTHER = ("commit", "sha", "md5", "checksum", "digest", "uuid", "guid", "hash", "etag", "revision", "image", "id", "version", "example", "sample", "placeholder", "dummy")
-DICTIONARY = (
+NAMES = (
     "account", "admin", "application", "article", "background", "button", "change", "class", "client", "code", "color",
     "config", "content", "data", "default", "document", "element", "error", "example", "file", "form", "function", "header",
     "html", "image", "index", "input", "item", "key", "label", "library", "link", "list", "main", "message", "module",
@@ -40,6 +47,8 @@ DICTIONARY = (
 RISKY_PATH, TAME_PATH = re.compile(r"(?i)\.env|config|settings|credential|deploy|\.ya?ml|\.ini|\.tf"), re.compile(r"(?i)test|example|sample|docs?/|fixture|mock|\.md|lock")
 #: Code points before and after a candidate in which neighbouring words are read.
 BEFORE, AFTER = 40, 20
+#: Lengths of the dictionary's words; they are those of the public tokenizer's vocabulary.
+SHORTEST, LONGEST = 4, 14
 
 #: The forest, and how many labelled findings it is fitted on at most.
 TREES, DEPTH, LEAF, MOST_FINDINGS = 40, 8, 4, 20_000
@@ -50,17 +59,29 @@ def kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def coverage(run: str) -> float:
-    """Share of the letters of a candidate that dictionary words cover, longest word first."""
-    letters = sum(map(len, WORD.findall(run)))
-    if not letters:
-        return 0.0
-    left, covered = run, 0
-    for word in sorted(DICTIONARY, key=len, reverse=True):
-        if word in left:
-            covered += len(word) * left.count(word)
-            left = left.replace(word, " ")
-    return covered / letters
+@lru_cache(maxsize=2)
+def dictionary(path: str) -> frozenset[str]:
+    """The whole words in ASCII letters of a tokenizer's vocabulary."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    ends = model["end_of_word_suffix"]
+    words = (t[: -len(ends)] for t in model["vocab"] if t.endswith(ends))
+    return frozenset(w for w in words if SHORTEST <= len(w) <= LONGEST and WORD.fullmatch(w))
+
+
+def coverage(run: str) -> tuple[float, float, float]:
+    """How dictionary words cover the letters of a candidate, from the left and longest first, words
+    also ending where the case rises: their share, that of the longest, and the letters in none by
+    word found."""
+    words, letters, found = dictionary(vocabulary()), 0, []
+    for part in WORD.findall(CASE_RISES.sub(r"\1 \2", run).lower()):
+        letters, at = letters + len(part), 0
+        while at < len(part):
+            n = next((k for k in range(min(LONGEST, len(part) - at), SHORTEST - 1, -1) if part[at : at + k] in words), 0)
+            found += [n] * bool(n)
+            at += max(n, 1)
+    covered = sum(found)
+    return (covered / letters, max(found, default=0) / letters, (letters - covered) / (1 + len(found))) if letters else (0.0, 0.0, 0.0)
 
 
 def features(run: str, before: str, after: str, path: str) -> list[float]:
@@ -74,7 +95,7 @@ def features(run: str, before: str, after: str, path: str) -> list[float]:
     vowels = sum(c in "aeiou" for c in lower) / max(1, sum(c.isalpha() for c in lower))
     near = WORD.findall((before + " " + after).lower())
     return [
-        math.log(len(run)), *share, moves, entropy, len(pairs) / (len(run) - 1), vowels, coverage(lower),
+        math.log(len(run)), *share, moves, entropy, len(pairs) / (len(run) - 1), vowels, *coverage(run),
         float(bool(re.fullmatch(r"[0-9a-fA-F]+", run))), float(len(run) in (32, 40, 64, 128)), float(run.count("-")),
         float(sum(any(w.endswith(k) for k in NEAR_SECRET) for w in near)), float(sum(w in NEAR_OTHER for w in near)),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before[-1:] in "\"'" and before != ""),
@@ -83,48 +104,76 @@ def features(run: str, before: str, after: str, path: str) -> list[float]:
 
 
 def candidates(text: str, path: str) -> list[tuple[int, int, list[float]]]:
-    found = []
+    """``(start, end, features)`` of all candidates of a text, those of the two shapes that overlap once."""
+    places = []
     for m in CANDIDATE.finditer(text):
-        run = m[0].rstrip("=-/")
+        run = m[0].rstrip("-/")
         if len(run) >= LEAST and DIGIT.search(run) and LETTER.search(run):
-            a, b = m.start(), m.start() + len(run)
-            found.append((a, b, features(run, text[max(0, a - BEFORE) : a], text[b : b + AFTER], path)))
+            places.append((m.start(), m.start() + len(run)))
+    runs = len(places)
+    for m in ASSIGNED.finditer(text):
+        a, b = m.start(1), m.start(1) + len(m[1].rstrip(".)]}"))
+        if b - a >= LEAST_ASSIGNED:
+            i = bisect_left(places, (a, 0), 0, runs)
+            if not any(x < b and a < y for x, y in places[max(0, i - 1) : min(runs, i + 1)]):
+                places.append((a, b))
+    found = []
+    for a, b in sorted(places):
+        found.append((a, b, features(text[a:b], text[max(0, a - BEFORE) : a], text[b : b + AFTER], path)))
     return found
 
 
-def labelled_findings(n: int = 6_000, seed: int = 11) -> list[tuple[str, str, int]]:
-    """Synthetic labelled findings ``(text, path, is_secret)``: keys in their usual company, and look-alikes."""
+#: Makers of the values of synthetic findings, by family: ``r`` draws, ``t(alphabet, n)`` a text.
+ALNUM, HEX = string.ascii_letters + string.digits, "0123456789abcdef"
+SECRET_FAMILIES = {
+    "cloud": lambda r, t: "AKIA" + t(string.ascii_uppercase + string.digits, 16),
+    "forge": lambda r, t: r.choice(("ghp_", "gho_", "glpat-")) + t(ALNUM, r.choice((20, 36))),
+    "payment": lambda r, t: r.choice(("sk_live_", "rk_live_")) + t(ALNUM, 24),
+    "chat": lambda r, t: "xoxb-" + t(string.digits, 12) + "-" + t(ALNUM, 24),
+    "maps": lambda r, t: "AIza" + t(ALNUM + "_-", 35),
+    "hex": lambda r, t: t(HEX, r.choice((32, 40, 64))),
+    "base64": lambda r, t: t(ALNUM + "+/", r.choice((22, 40, 43))) + r.choice(("", "=", "==")),
+    "alnum": lambda r, t: t(ALNUM, r.randint(18, 48)),
+    "password": lambda r, t: "".join(r.sample(t(string.ascii_letters, r.randint(5, 9)) + t(string.digits, 2) + t("!$%&*?#@", 2), k=9)),
+    "token_pair": lambda r, t: "eyJ" + t(ALNUM, r.randint(30, 60)),
+}
+OTHER_FAMILIES = {
+    "uuid": lambda r, t: str(uuid.UUID(int=r.getrandbits(128))),
+    "digest": lambda r, t: t(HEX, r.choice((32, 40, 64))),
+    "kebab": lambda r, t: "-".join(r.choices(NAMES, k=3)) + str(r.randint(1, 99)),
+    "snake": lambda r, t: "_".join(r.choices(NAMES, k=4)) + "_" + str(r.randint(0, 9)),
+    "camel": lambda r, t: "".join(w.title() for w in r.choices(NAMES, k=4)) + str(r.randint(0, 99)),
+    "filler": lambda r, t: r.choice(("x", "0a", "abc123")) * r.randint(8, 20) + "1",
+    "hint": lambda r, t: r.choice(("your_", "insert_", "my_")) + r.choice(NAMES) + r.choice(("_token_here1", "_key_goes_here2", "_0000_value")),
+    "prose": lambda r, t: t(string.ascii_lowercase, r.randint(14, 24)) + str(r.randint(0, 99)),
+    "time": lambda r, t: f"{r.randint(2000, 2030)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T1{t(string.digits, 7)}",
+    "path": lambda r, t: "/".join(r.choices(NAMES, k=4)) + f"/v{r.randint(1, 9)}",
+    "word": lambda r, t: r.choice(NAMES) + r.choice(("", "s", "_value", "()", ".get")),
+}
+
+
+def labelled_findings(n: int = 6_000, seed: int = 11, secret: tuple[str, ...] = tuple(SECRET_FAMILIES), other: tuple[str, ...] = tuple(OTHER_FAMILIES)) -> list[tuple[str, str, int]]:
+    """Synthetic labelled findings ``(text, path, is_secret)`` of the named families: keys in their
+    usual company, and look-alikes, a third of which stand where a secret would."""
     r = random.Random(seed)
-    pick = lambda alphabet, k: "".join(r.choices(alphabet, k=k))
-    alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
-    filler = lambda: " ".join(pick(string.ascii_lowercase, r.randint(2, 9)) for _ in range(r.randint(2, 6)))
+    t = lambda alphabet, k: "".join(r.choices(alphabet, k=k))
+    filler = lambda: " ".join(t(string.ascii_lowercase, r.randint(2, 9)) for _ in range(r.randint(2, 6)))
+    assigned = ("{n} = '{s}'", "{n}: {s}", '"{n}": "{s}"', "export {n}={s}", "{n}={s}", "--{n} {s}", "{n} = \"{s}\"")
     out = []
     for i in range(n):
-        secret = i % 2
-        if secret:
-            run = r.choice(
-                [
-                    lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36),
-                    lambda: "sk_live_" + pick(alnum, 24), lambda: pick(hexa, r.choice((32, 40, 64))),
-                    lambda: pick(alnum + "+/", 40), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), lambda: pick(alnum, r.randint(20, 48)),
-                ]
-            )()
-            name = r.choice(NEAR_SECRET)
-            form = r.choice(('{n} = "{s}"', "{n}: {s}", "{n}='{s}'", 'export X_{n}="{s}"', "{n}={s}", 'token = "{s}"'))
-            path = r.choice(("src/app/config.py", ".env", "deploy/settings.yml", "src0", "notes.txt", "src7", ""))
+        family = r.choice(secret if i % 2 else other)
+        value = (SECRET_FAMILIES if i % 2 else OTHER_FAMILIES)[family](r, t)
+        alone = family in ("cloud", "forge", "payment", "chat", "maps") and r.random() < 0.3
+        # A value that looks random either way is told by its company alone.
+        tempting = family not in ("uuid", "digest") and r.random() < 0.33
+        if i % 2 and not alone or tempting or family == "word":
+            name = r.choice(("", "app_", "db_", "service_")) + r.choice(NEAR_SECRET)
+            name, form = r.choice((name, name.upper())), r.choice(assigned)
         else:
-            run = r.choice(
-                [
-                    lambda: str(uuid.UUID(int=r.getrandbits(128))), lambda: pick(hexa, r.choice((32, 40, 64))),
-                    lambda: "-".join(r.choices(DICTIONARY, k=3)) + str(r.randint(1, 99)), lambda: "_".join(r.choices(DICTIONARY, k=4)) + "_" + str(r.randint(0, 9)),
-                    lambda: "x" * r.randint(16, 30) + "1", lambda: "your_" + r.choice(DICTIONARY) + "_token_here1", lambda: pick(string.ascii_lowercase, r.randint(14, 24)) + str(r.randint(0, 99)),
-                    lambda: str(r.randint(2000, 2030)) + "-0" + str(r.randint(1, 9)) + "-1" + str(r.randint(0, 9)) + "T1" + pick(string.digits, 7),
-                ]
-            )()
-            name = r.choice(NEAR_OTHER)
-            form = r.choice(("{n} {s}", "{n}: {s}", '{n} = "{s}"', "see {s}", "{s}", "({s})", 'class="{s}"'))
-            path = r.choice(("tests/test_app.py", "docs/readme.md", "package.lock", "src/main.c", "src3", "src0", ""))
-        out.append((f"{filler()} {form.format(n=name, s=run)} {filler()}", path, secret))
+            name, form = r.choice(NEAR_OTHER), r.choice(("{n} {s}", "{n}: {s}", '{n} = "{s}"', "see {s}", "{s}", "({s})", 'class="{s}"'))
+        risky = r.random() < (0.5 if i % 2 else 0.2)
+        path = r.choice(("app/config.py", ".env", "deploy/settings.yml") if risky else ("tests/test_app.py", "docs/readme.md", "main.c", "crawl", ""))
+        out.append((f"{filler()} {form.format(n=name, s=value)} {filler()}", path, i % 2))
     return out
 
 
@@ -215,6 +264,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, id_col: str = "doc_id",
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and places of the candidates that the forest keeps in each document, and the highest score."""
     found = scan(table(spark, sf_dir, "documents"))
     place = lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))
     return found.select(

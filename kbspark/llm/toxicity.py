@@ -187,15 +187,30 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from labelled rows that are not held out, a bounded sample in the order of a hash."""
+    """A model from labelled rows that are not held out, a bounded sample in the order of a hash.
+
+    The sample, at most the documents and characters stated above, goes to one task, which trains
+    there; only dictionaries and weights come to the driver.
+    """
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
-    text = {}
+    samples = []
     for value, most in ((1, TOXIC_DOCS), (0, ORDINARY_DOCS)):
         few = known.where(F.col("toxic") == value).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
         found = docs.join(F.broadcast(few), docs["doc_id"] == few["id"], "left_semi").where(F.length("text").between(1, SAMPLE_CHARS))
-        found = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most).select("text")
-        text[value] = utf8(found.toArrow()["text"].combine_chunks())
-    return train(text[1], text[0])
+        found = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most)
+        samples.append(found.select("text", F.xxhash64("doc_id").alias("place"), F.xxhash64("text").alias("th"), F.lit(value).alias("toxic")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("toxic", "place", "th", "text")], strict=True)))
+        model = train(*[[t.encode() for kind, _, _, t in rows if kind == value] for value in (1, 0)])
+        weights = [] if model.weights is None else model.weights.tolist()
+        yield pa.RecordBatch.from_pydict({"ordinary": [model.ordinary], "toxic": [model.toxic], "weights": [weights]}, pa.schema([("ordinary", pa.binary()), ("toxic", pa.binary()), ("weights", pa.list_(pa.float64()))]))
+
+    one = samples[0].unionByName(samples[1]).repartition(1)
+    found = one.mapInArrow(run, "ordinary binary, toxic binary, weights array<double>").first()
+    model = Model(bytes(found["ordinary"]), bytes(found["toxic"])) if found else Model(b"", b"")
+    model.weights = np.array(found["weights"]) if found and found["weights"] else None
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", to: str = "toxicity") -> DataFrame:
