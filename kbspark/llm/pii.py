@@ -40,9 +40,11 @@ CUES = {
     "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
     "birth": ("born", "birth", "dob", "birthday", "geboren", "né", "née", "nacido", "nacida"),
 }
+#: Capitalised words before a name that are no part of it.
+GREETINGS = ("dear", "hello", "hi", "contact", "name", "author", "signed", "nom", "nombre")
 #: Candidates of the kinds that the method adds; the group is the span.
 CANDIDATES = {
-    "person": re.compile(r"\b(?:(?i:" + "|".join(TITLES) + r")\.? )?([A-ZÀ-Þ][\w’'-]{1,24} [A-ZÀ-Þ][\w’'-]{1,24})\b"),
+    "person": re.compile(r"\b(?:(?i:" + "|".join(TITLES) + r")\.? |(?:" + "|".join(w.title() for w in GREETINGS) + r") )?([A-ZÀ-Þ][\w’'-]{1,24} [A-ZÀ-Þ][\w’'-]{1,24})\b"),
     "street": re.compile(r"\b([0-9]{1,5} (?:[A-ZÀ-Þ][\w’'-]{1,24} ){1,3}(?i:" + "|".join(STREETS) + r"))\b"),
     "ssn": re.compile(r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"),
     "iban": re.compile(r"\b([A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?)\b"),
@@ -117,7 +119,7 @@ def form(kind: str, span: str) -> bool | None:
         return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
     if kind == "birth":
         year = int(re.search(r"(?:19|20)[0-9]{2}", span)[0])
-        return 1900 <= year <= 2025
+        return None if 1900 <= year <= 2025 else False  # most dates of today pass, so passing says nothing
     if kind == "person":
         words = [w.lower() for w in span.split()]
         return None if all(w.istitle() for w in span.split()) and len(set(words)) == len(words) else False
@@ -133,7 +135,8 @@ def vote(kind: str, titled: bool, words: list[str], cued: bool, span: str) -> tu
         known = (1 if words[-1] != "st" else 0) if kind == "street" else 0
         pattern = 0
     checked = form(kind, span)
-    return pattern, known, 1 if cued else -1, 0 if checked is None else 1 if checked else -1
+    # Names mostly stand without any cue, the other kinds mostly with one.
+    return pattern, known, 1 if cued else 0 if kind == "person" else -1, 0 if checked is None else 1 if checked else -1
 
 
 def describe(kind: str, span: str, before: str, after: str, words: list[str], cue_at: int) -> list[float]:
@@ -160,7 +163,8 @@ def candidates(text: str) -> list[tuple[str, int, int, tuple[int, ...], list[flo
             before = text[max(0, start - NEAR) : start]
             near = [w.lower() for w in WORD.findall(before)][::-1]
             cue_at = next((i for i, w in enumerate(near) if w in CUES[kind]), -1)
-            votes = vote(kind, kind == "person" and m.start() < start, words, cue_at >= 0, span)
+            titled = kind == "person" and m.start() < start and text[m.start() : start - 1].lower() not in GREETINGS
+            votes = vote(kind, titled, words, cue_at >= 0, span)
             found.append((kind, start, end, votes, describe(kind, span, before, text[end : end + 2], words, cue_at)))
     return found
 
@@ -170,11 +174,11 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 50, kinds
     each kind (all of one kind where none are given).
 
     Every labeler is right with its own probability, alike for both classes, and independent of the
-    others given the class. It starts at 0.7 and is smoothed by ten votes of which seven are right,
+    others given the class. It starts at 0.7, the prior at 0.3, and is smoothed by ten votes of which seven are right,
     a prior by one candidate of each class, so that neither becomes certain.
     """
     kinds = kinds or [""] * len(votes)
-    right, prior = np.full(votes.shape[1], 0.7), {k: 0.5 for k in kinds}
+    right, prior = np.full(votes.shape[1], 0.7), {k: 0.3 for k in kinds}
     post, of = np.zeros(len(votes)), np.array(kinds)
     for _ in range(rounds if len(votes) else 0):
         strength = np.log(right / (1 - right))
