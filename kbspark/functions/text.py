@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,17 +82,28 @@ def mask(text: Column, words: list[str]) -> Column:
 
 def section_hint(line: Column) -> Column:
     """heading, divider or paragraph for one line of plain text."""
-    t = F.trim(line)
+    t = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
     return (
-        F.when(t.rlike(r"^#+ "), "heading")
-        .when(t.rlike(r"^[-=*_]{3,}$"), "divider")
-        .when(t.rlike(r"^[0-9]+(\.[0-9]+)*[.)]? \S"), "heading")
-        .when((F.length(t) <= 80) & (t == F.upper(t)) & t.rlike("[A-Z]"), "heading")
+        F.when(t == "", "paragraph")
+        .when(t.startswith("#"), "heading")
+        .when(t.rlike(r"^[=-]{3,}$"), "divider")
+        .when(t.rlike(r"^[0-9]+(\.[0-9]+)*\s"), "heading")
+        .when((F.length(t) <= 80) & (t == F.upper(t)) & (t != F.lower(t)), "heading")
         .when((F.length(t) <= 60) & t.endswith(":"), "heading")
         .otherwise("paragraph")
     )
 
 
+def top_terms(words: Column, n: int, least: int = 1) -> Column:
+    """``array<struct<term, n>>`` of the most frequent of an array of words that occur ``least`` times,
+    earlier ones first where equal. One document is one row, so nothing is shuffled."""
+
+    def run(found: list | None) -> list:
+        return [(w, c) for w, c in Counter(found or []).most_common(n) if c >= least]
+
+    return F.udf(run, "array<struct<term: string, n: long>>", useArrow=True)(words)
+
+
 def format_bytes(n: Column) -> Column:
     """Whole bytes in base 1024 with one decimal, B to PB; exact ties go to the even digit."""
 

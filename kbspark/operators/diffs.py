@@ -34,17 +34,38 @@ def _diff_counts(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
 
 def split_sentences(text: str, size: int, overlap: int) -> list[str]:
-    """Pieces of at most ``size``, ended after the last full stop where there is one; always advances."""
+    """Pieces of at most ``size`` characters without blanks around them, ended after the last full stop
+    where there is one. Blanks before a piece are skipped first, so they take no room; it always
+    advances."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
     out, start = [], 0
-    while start < len(text):
+    while (start := start + len(text[start:]) - len(text[start:].lstrip())) < len(text):
         end = min(start + size, len(text))
         if end < len(text) and (stop := text.rfind(".", start, end)) > start:
             end = stop + 1
         out.append(text[start:end].strip())
         start = len(text) if end == len(text) else max(end - overlap, start + 1)
-    return [x for x in out if x]
+    return out
+
+
+DIFF = "array<struct<type: string, old_line: int, new_line: int, content: string>>"
+
+
+def line_diff(a: str, b: str) -> Column:
+    """The lines of two text columns as kept, deleted and inserted, with their numbers in either."""
+
+    def run(x: str | None, y: str | None) -> list[tuple]:
+        old, new = (x or "").splitlines(), (y or "").splitlines()
+        out: list[tuple] = []
+        for tag, i, j, k, m in difflib.SequenceMatcher(None, (x or "").splitlines(True), (y or "").splitlines(True)).get_opcodes():
+            if tag == "equal":
+                out += [("equal", i + n + 1, k + n + 1, old[i + n]) for n in range(j - i)]
+            else:
+                out += [("delete", n + 1, None, old[n]) for n in range(i, j)] + [("insert", None, n + 1, new[n]) for n in range(k, m)]
+        return out
+
+    return F.udf(run, DIFF, useArrow=True)(a, b)
 
 
 def sentence_chunks(text: Column, size: int = 1000, overlap: int = 100) -> Column:

@@ -85,6 +85,25 @@ def boolean_query(text: str, words: Column) -> Column:
     return found
 
 
+def compatible_query(text: str, words: Column) -> Column:
+    """The way the service itself reads a Boolean query: split at ``NOT`` first, then the rest at ``OR``,
+    else at ``AND``, upper case only. Parentheses mean nothing, and an ``AND`` group inside an ``OR`` list
+    must hold as a whole. Queries without an operator match any of their terms."""
+    has = lambda part: reduce(Column.__or__, [F.array_contains(words, w.lower()) for w in part.split()], F.lit(False))
+    wanted, *unwanted = re.split(r"\s*\bNOT\b\s*", text)
+    must: list[Column] = []
+    should: list[Column] = []
+    if " OR " in wanted:
+        for part in wanted.split(" OR "):
+            terms = part.split(" AND ")
+            (must if len(terms) > 1 else should).extend(has(t) for t in terms)
+    elif wanted.strip():
+        must = [has(t) for t in wanted.split(" AND ")]
+    if should and not must:
+        must = [reduce(Column.__or__, should)]
+    return reduce(Column.__and__, [*must, *[~has(u) for u in unwanted if u.strip()]], F.lit(True))
+
+
 def any_term(words: Column, pattern: str) -> Column:
     """Whether some term matches a wildcard pattern with ``*`` and ``?`` as a whole."""
     expression = "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern.lower()) + "$"

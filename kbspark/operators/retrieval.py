@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from kbspark.functions.text import tokens
+from kbspark.operators.skew import join_found
 
 K1, B = 1.2, 0.75
 
@@ -17,23 +17,43 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it uses it and wherever the optimizer
+    puts it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def term_counts(text: Column, terms: list[str]) -> Column:
+    """``struct<dl, tf0, tf1, ...>``: the tokens of a text and how often each term is one of them.
+
+    The text is reduced once to its tokens with two blanks between; a term with its own two blanks is
+    then counted by what removing it takes away, so no array of tokens is made.
+    """
+    spaced = F.concat(F.lit(" "), F.replace(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")), F.lit(" "), F.lit("  ")), F.lit(" "))
+    taken = lambda t, w: F.length(t) - F.length(F.replace(t, F.lit(w), F.lit("")))
+    counts = lambda t: [(taken(t, f" {w} ") / (len(w) + 2)).cast("int").alias(f"tf{i}") for i, w in enumerate(terms)]
+    dl = lambda t: F.when(F.trim(t) == "", 0).otherwise((taken(t, " ") / 2).cast("int")).alias("dl")
+    return let(spaced, lambda t: F.struct(dl(t), *counts(t)))
+
+
 def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score)`` of the documents with any of the terms, by Robertson's formula.
 
     Only lengths and the counts of the query's terms leave the scan; the corpus statistics are one
-    aggregated row, so nothing but that row is shuffled.
+    aggregated row, so nothing but that row is shuffled. Documents are tokenised for the statistics,
+    and again only where a term occurs in the text at all.
     """
-    words = tokens(F.col(text_col))
-    counts = [F.size(F.filter("k", _is(t))) for t in terms]
-    seen = docs.select(F.col(id_col).alias("doc_id"), words.alias("k")).select("doc_id", F.size("k").alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
-    stats = seen.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    terms = [t.lower() for t in terms]
+    text = F.col(text_col)
+    counted = term_counts(text, terms).alias("c")
+    stats = docs.select(counted).agg(F.count("*").alias("n"), F.avg("c.dl").alias("avgdl"), *[F.count_if(F.col(f"c.tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    maybe = F.lit(False)
+    for t in terms:
+        maybe = maybe | F.contains(F.lower(text), F.lit(t))
+    seen = docs.where(maybe).select(F.col(id_col).alias("doc_id"), counted).select("doc_id", "c.*")
     score = sum((_term_score(i) for i in range(len(terms))), F.lit(0.0))
-    hit = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0
-    return seen.where(hit).crossJoin(F.broadcast(stats)).select("doc_id", score.alias("score"))  # one row
-
-
-def _is(term: str):
-    return lambda w: w == term
+    scored = seen.crossJoin(F.broadcast(stats)).select("doc_id", score.alias("score"))  # one row
+    return scored.where("score > 0")
 
 
 def _term_score(i: int) -> Column:
@@ -75,11 +95,15 @@ def passing_or_all(hits: DataFrame, least: float) -> DataFrame:
 
 
 def duplicates(docs: DataFrame, id_col: str, hash_col: Column, name_col: str, size_col: str) -> DataFrame:
-    """Each row with the least id of equal hash and of equal name and size, and the kind of match."""
-    h = W.partitionBy("h")
-    ns = W.partitionBy(name_col, size_col)
-    seen = docs.select(id_col, hash_col.alias("h"), name_col, size_col)
-    seen = seen.withColumn("by_hash", F.min(id_col).over(h)).withColumn("by_name_size", F.min(id_col).over(ns))
+    """Each row with the least id of equal hash and of equal name and size, and the kind of match.
+
+    Both least ids are minima that are summed before the shuffle; groups of any size are joined back
+    with their rows dealt over several tasks.
+    """
+    seen = docs.select(id_col, hash_col.alias("h"), F.coalesce(F.col(name_col).cast("string"), F.lit("")).alias("name_"), F.coalesce(F.col(size_col), F.lit(-1)).alias("size_"))
+    for keys, to in ((["h"], "by_hash"), (["name_", "size_"], "by_name_size")):
+        least = seen.groupBy(*keys).agg(F.min(id_col).alias(to), F.count("*").alias("n_"))
+        seen = join_found(seen, least, keys, "n_")
     label = (
         F.when((F.col("by_hash") < F.col(id_col)) & (F.col("by_hash") == F.col("by_name_size")), "exact_match")
         .when((F.col("by_hash") < F.col(id_col)) & (F.col("by_name_size") < F.col(id_col)), "hash_match_different_name")

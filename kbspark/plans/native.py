@@ -72,11 +72,8 @@ on("D02_bare", "documents", r"SELECT doc_id, md5(trim(regexp_replace(regexp_repl
     c AS (SELECT doc_id, term, count(*) AS n, min(pos) AS first_pos FROM e WHERE length(term) > 2 AND NOT list_contains({STOPS}, term) GROUP BY ALL)
     SELECT doc_id, term, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS rn FROM c) WHERE rn <= 5""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.tokens(doc())).alias("pos", "term"))
-    terms = terms.where((F.length("term") > 2) & ~F.col("term").isin(*T.STOP_WORDS))
-    counted = terms.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "first_pos"))
-    return counted.withColumn("rn", rank).where("rn <= 5").select("doc_id", "term", "n")
+    words = F.filter(T.tokens(doc()), lambda w: (F.length(w) > 2) & ~w.isin(*T.STOP_WORDS))
+    return load(spark, sf_dir, "documents").select("doc_id", F.explode(T.top_terms(words, 5)).alias("t")).select("doc_id", "t.term", "t.n")
 
 
 SHORT = "[" + ", ".join(f"'{w}'" for w in T.SHORT_STOP_WORDS) + "]"
@@ -88,11 +85,9 @@ SHORT = "[" + ", ".join(f"'{w}'" for w in T.SHORT_STOP_WORDS) + "]"
     c AS (SELECT doc_id, term, count(*) AS n, min(pos) AS first_pos FROM e WHERE NOT list_contains({SHORT}, term) GROUP BY ALL)
     SELECT doc_id, term, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS rn FROM c) WHERE rn <= 10 AND n > 1""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(T.tokens(doc()), lambda w: w.rlike("^[a-z]{2,10}$"))
-    terms = load(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.posexplode(words).alias("pos", "term"))
-    counted = terms.where(~F.col("term").isin(*T.SHORT_STOP_WORDS)).groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "first_pos"))
-    return counted.withColumn("rn", rank).where("rn <= 10 AND n > 1").select("doc_id", "term", "n")
+    words = F.filter(T.tokens(doc()), lambda w: w.rlike("^[a-z]{2,10}$") & ~w.isin(*T.SHORT_STOP_WORDS))
+    found = load(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(T.top_terms(words, 10, 2)).alias("t"))
+    return found.select("doc_id", "t.term", "t.n")
 
 
 SIX = ["的", "是", "在", "有", "和", "the", "is", "in", "and"]
@@ -122,10 +117,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("D24_section_hint", r"""
-    SELECT hint, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(t, '^#+ ') THEN 'heading' WHEN regexp_matches(t, '^[-=*_]{3,}$') THEN 'divider'
-      WHEN regexp_matches(t, '^[0-9]+(\.[0-9]+)*[.)]? \S') THEN 'heading' WHEN length(t) <= 80 AND t = upper(t) AND regexp_matches(t, '[A-Z]') THEN 'heading'
+    SELECT hint, count(*) AS n FROM (SELECT CASE WHEN t = '' THEN 'paragraph' WHEN starts_with(t, '#') THEN 'heading' WHEN regexp_matches(t, '^[=-]{3,}$') THEN 'divider'
+      WHEN regexp_matches(t, '^[0-9]+([.][0-9]+)*\s') THEN 'heading' WHEN length(t) <= 80 AND t = upper(t) AND t <> lower(t) THEN 'heading'
       WHEN length(t) <= 60 AND suffix(t, ':') THEN 'heading' ELSE 'paragraph' END AS hint
-    FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS t FROM documents)) GROUP BY hint""")
+    FROM (SELECT regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS t FROM documents)) GROUP BY hint""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load(spark, sf_dir, "documents").select(F.explode(F.split(doc(), "\n")).alias("line"))
     return lines.groupBy(T.section_hint(F.col("line")).alias("hint")).agg(F.count("*").alias("n"))
@@ -140,10 +135,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("D33_window_stats", """
-    WITH r AS (SELECT l_orderkey, l_extendedprice, floor((row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1) / 2) AS w FROM lineitem)
+    WITH r AS (SELECT l_orderkey, l_extendedprice, floor((row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1) / 2) AS w FROM lineitem)
     SELECT l_orderkey, CAST(w AS BIGINT) AS win, round(min(l_extendedprice), 4) AS lo, round(max(l_extendedprice), 4) AS hi, count(*) AS n FROM r GROUP BY ALL""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rn = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    rn = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", F.floor((rn - 1) / 2).alias("win"))
     return rows.groupBy("l_orderkey", "win").agg(F.round(F.min("l_extendedprice"), 4).alias("lo"), F.round(F.max("l_extendedprice"), 4).alias("hi"), F.count("*").alias("n"))
 
@@ -161,7 +156,26 @@ QUERIES["D36_first_element"] = lambda s, d: (
 )
 SQL["D36_first_element"] = "SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY conv_id"
 DATES, NUMBERS = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", r"[0-9]+\.?[0-9]*"
-on("D37_entities", "documents", rf"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{NUMBERS}'))), ',') AS numbers, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z]+ [A-Z][a-z]+\b'))), ',') AS persons FROM documents", lambda: ["doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(doc(), F.lit(f"({NUMBERS})"), F.lit(1)))), ",").alias("numbers"), F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(doc(), F.lit(r"(\b[A-Z][a-z]+ [A-Z][a-z]+\b)"), F.lit(1)))), ",").alias("persons")])
+#: Unicode letters count as word characters at the border of a name, as in the fixed patterns.
+NAMES = [r"[A-Z][a-z]+ [A-Z][a-z]+", r"(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]+"]
+PLACES = [r"[A-Z][a-z]+ (?:City|Town|State|Country|Province)"]
+DAYS = [r"[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日", r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", DATES]
+COUNTS = [NUMBERS, r"[0-9]{1,3}(?:,[0-9]{3})*"]
+
+
+def _entities_sql(patterns: list[str], border: str = "") -> str:
+    text = r"regexp_replace(text, '[^\x00-\x7F\P{L}]', '_', 'g')" if border else "text"
+    every = ", ".join(f"regexp_extract_all({text}, '{border}{p}{border}')" for p in patterns)
+    return f"array_to_string(list_sort(list_distinct(flatten([{every}]))), ',')"
+
+
+def _entities(patterns: list[str], border: str = "") -> Column:
+    every = [F.regexp_extract_all(doc(), F.lit(f"({border}{p}{border})"), F.lit(1)) for p in patterns]
+    return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.array(*every)))), ",")
+
+
+on("D37_entities", "documents", rf"SELECT doc_id, {_entities_sql(COUNTS)} AS numbers, {_entities_sql(DAYS)} AS dates, {_entities_sql(NAMES, chr(92) + 'b')} AS persons, {_entities_sql(PLACES, chr(92) + 'b')} AS places FROM documents",
+    lambda: ["doc_id", _entities(COUNTS).alias("numbers"), _entities(DAYS).alias("dates"), _entities(NAMES, r"\b").alias("persons"), _entities(PLACES, r"\b").alias("places")])
 on("D38_person_place", "documents", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+')) AS BIGINT) AS persons, CAST(len(regexp_extract_all(text, '[A-Z][a-z]+( [A-Z][a-z]+)*')) AS BIGINT) AS places FROM documents", lambda: ["doc_id", F.size(F.regexp_extract_all(doc(), F.lit("([A-Z][a-z]+ [A-Z][a-z]+)"), F.lit(1))).cast("long").alias("persons"), F.size(F.regexp_extract_all(doc(), F.lit("([A-Z][a-z]+(?: [A-Z][a-z]+)*)"), F.lit(1))).cast("long").alias("places")])
 on("D39_intent", "conversations", "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'what') THEN 'factual_qa' WHEN contains(lower(text), 'how') THEN 'operation_guide' WHEN contains(lower(text), 'compare') THEN 'comparison_analysis' ELSE 'factual_qa' END AS intent FROM conversations", lambda: ["conv_id", "turn", F.when(F.lower(doc()).contains("what"), "factual_qa").when(F.lower(doc()).contains("how"), "operation_guide").when(F.lower(doc()).contains("compare"), "comparison_analysis").otherwise("factual_qa").alias("intent")])
 on("D40_mask", "documents", "SELECT doc_id, md5(replace(replace(text, 'idiot', '*****'), 'trash', '*****')) AS h FROM documents", lambda: ["doc_id", F.md5(T.mask(doc(), ["idiot", "trash"])).alias("h")])
@@ -244,10 +258,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("E08_exact_phrase", SQL["B11_phrase_match"] + " ORDER BY doc_id LIMIT 1000")(lambda s, d: QUERIES["B11_phrase_match"](s, d).orderBy("doc_id").limit(1000))
 query("E09_advanced_search", f"SELECT doc_id FROM (SELECT doc_id, {TOK} AS k FROM documents) WHERE list_contains(k, 'the') AND len(list_filter(k, lambda w: regexp_matches(w, '^lic.*e$'))) > 0")(
-    lambda s, d: load(s, d, "documents").select("doc_id", T.tokens(doc()).alias("k")).where(filters.boolean_query("the", F.col("k")) & filters.any_term(F.col("k"), "lic*e")).select("doc_id")
+    lambda s, d: load(s, d, "documents").where(retrieval.let(T.tokens(doc()), lambda k: filters.boolean_query("the", k) & filters.any_term(k, "lic*e"))).select("doc_id")
 )
 query("E10_boolean_query", f"SELECT doc_id FROM (SELECT doc_id, {TOK} AS k FROM documents) WHERE (list_contains(k, 'license') OR list_contains(k, 'reserved')) AND NOT list_contains(k, 'mit')")(
-    lambda s, d: load(s, d, "documents").select("doc_id", T.tokens(doc()).alias("k")).where(filters.boolean_query("(license OR reserved) AND NOT mit", F.col("k"))).select("doc_id")
+    lambda s, d: load(s, d, "documents").where(retrieval.let(T.tokens(doc()), lambda k: filters.boolean_query("(license OR reserved) AND NOT mit", k))).select("doc_id")
 )
 on("E13_token_overlap", "documents", "SELECT doc_id, round(len(list_intersect(['the', 'license', 'version'], list_distinct(string_split(text, ' ')))) / 3, 6) AS score FROM documents", lambda: ["doc_id", F.round(T.overlap(F.array(F.lit("the"), F.lit("license"), F.lit("version")), F.split(doc(), " ")), 6).alias("score")])
 def _dots() -> Column:
@@ -327,21 +341,25 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", F.array_join(found, " ").alias("links"))
 
 
-@query("H05_watch_apply")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stateful stream over the events, run to its end into a table of the shared folder."""
-    import tempfile
-    import uuid
+WATCH = "SELECT user_id, event_id, CASE WHEN event_id % 17 = 0 THEN 'deleted' ELSE event_type END AS state FROM events WHERE user_id IS NOT NULL"
 
+
+@query("H05_watch_apply", f"""
+    WITH s AS ({WATCH}), p AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY event_id) AS prior FROM s)
+    SELECT CASE WHEN state = 'deleted' THEN CASE WHEN prior IS NULL OR prior = 'deleted' THEN 'none' ELSE 'deleted' END
+      WHEN prior IS NULL OR prior = 'deleted' THEN 'created' WHEN prior = state THEN 'none' ELSE 'updated' END AS change, count(*) AS count FROM p GROUP BY 1""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stateful stream over the events, a part of them deletions, run to its end into a table."""
+    from kbspark.sources.scratch import folder
     from kbspark.streaming.changes import apply_watch
 
-    source = f"{sf_dir}/events.parquet"
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kbspark-stream-")
-    run = f"{shared}/watch-{uuid.uuid4().hex}"
+    source, run = f"{sf_dir}/events.parquet", folder(spark, "watch")
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    writer = apply_watch(stream).writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/log")
+    state = F.when(F.col("event_id") % 17 == 0, "deleted").otherwise(F.col("event_type"))
+    changes = apply_watch(stream.select("user_id", "event_id", state.alias("state")), state="state")
+    writer = changes.writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/log")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{run}/out").groupBy("change").count()
+    return spark.read.schema("user_id long, event_id long, change string").parquet(f"{run}/out").groupBy("change").count()
 
 
 @query("E20_history_fuzzy")
@@ -380,11 +398,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Ordered text aggregates
-@query("E25_context_assembly", "SELECT conv_id, string_agg('[' || turn || '] ' || substring(text, 1, 50), ' ' ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 5 GROUP BY conv_id")
+@query("E25_context_assembly", "SELECT conv_id, string_agg('[' || turn || '] ' || text, ' ' ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 5 GROUP BY conv_id")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rn = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
     few = load(spark, sf_dir, "conversations").withColumn("rn", rn).where("rn <= 5")
-    return few.groupBy("conv_id").agg(F.expr("listagg('[' || turn || '] ' || substring(text, 1, 50), ' ') WITHIN GROUP (ORDER BY turn)").alias("context"))
+    return few.groupBy("conv_id").agg(F.expr("listagg('[' || turn || '] ' || text, ' ') WITHIN GROUP (ORDER BY turn)").alias("context"))
 
 
 @query("C27_table_group_read", "SELECT l_orderkey, string_agg(l_partkey || ':' || l_linenumber, ',' ORDER BY l_linenumber, l_partkey) AS cells FROM lineitem GROUP BY l_orderkey")
