@@ -293,4 +293,5 @@ def vocabulary() -> str:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of the token ids of every document, and a digest of what they decode to."""
     return digests(table(spark, sf_dir, "documents"), vocabulary())

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.operators.skew import join_found as lookup  # noqa: F401  (the operators take it from here)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,16 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share; a temporary one is made only
-    where that is unset, as in local tests."""
+    where that is unset and Spark runs on this machine alone, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kbspark-checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="kbspark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage. Spark's cleaner removes the files
-    once the frame is unreachable."""
+    """Materialise ``df`` in the shared folder and cut its lineage. Spark removes the files once the frame
+    is unreachable if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on; else they stay."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -63,21 +68,3 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def hex64(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(value)), 16, "0")
 
-
-def lookup(rows: DataFrame, found: DataFrame, on: list[str], count: str, how: str = "inner", shares: int = 1000) -> DataFrame:
-    """``rows`` joined to ``found``, which has one row for each key ``on`` and in ``count`` the number
-    of ``rows`` with it.
-
-    Keys that hold more than one in ``shares`` of all rows are hot: at most ``shares`` of them exist,
-    whatever the input, so their list is small enough to broadcast. Rows of a hot key are dealt by a
-    hash of their other columns over as many parts as it has shares (the same after a lost task), and
-    its row of ``found`` is repeated once for each part.
-    """
-    total = found.agg(F.sum(count)).first()[0] or 0
-    least = max(1, -(-total // shares))
-    parts = F.ceil(F.col(count) / F.lit(least)).cast("int")
-    hot = found.where(F.col(count) > least).select(*on, parts.alias("__parts"))
-    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
-    spread = F.when(F.col(count) > least, parts).otherwise(F.lit(1))
-    copied = found.withColumn("__part", F.explode(F.sequence(F.lit(0), spread - 1))).drop(count)
-    return dealt.join(copied, [*on, "__part"], how).drop("__part")

@@ -189,6 +189,7 @@ def edited(text: str, following: str) -> str:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness; null texts are empty."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sent = spark.sparkContext.broadcast(lexicon(docs))
 

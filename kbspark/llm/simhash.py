@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kbspark.llm.common import cut, hex64, keyed_text, rows, table, utf8
+from kbspark.llm.common import cut, hex64, keyed_text, lookup, rows, table, utf8
 from kbspark.llm.components import components
 
 SEED = 42
@@ -85,15 +85,16 @@ def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def grouped(prints: DataFrame, first, distance: int) -> DataFrame:
-    """``(fp, first)``: for each fingerprint of ``prints`` the least ``first`` of its component.
+    """``(fp, first, n)``: for each fingerprint of ``prints`` the least ``first`` of its component, and
+    how many rows have it.
 
     Rows with equal fingerprints are one node, so a group of copies costs one row.
     """
-    nodes = cut(prints.groupBy("fp").agg(F.min(first).alias("first")))
+    nodes = cut(prints.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")))
     found = components(links(nodes.select("fp"), distance))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    return rooted.join(least, "root").select("fp", F.col("least").alias("first"))
+    return rooted.join(least, "root").select("fp", F.col("least").alias("first"), "n")
 
 
 def near_groups(
@@ -105,8 +106,8 @@ def near_groups(
     becomes a component id unless its whole group has null ids; repeated rows are kept.
     """
     prints = cut(fingerprints(keyed_text(docs, id_col, text_col), width))
-    named = grouped(prints, F.col("doc_id"), distance)
-    return prints.join(named, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
+    named = cut(grouped(prints, F.col("doc_id"), distance))
+    return lookup(prints, named, ["fp"], "n").select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
 def representatives(
@@ -127,6 +128,7 @@ def representatives(
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return near_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id"
     )

@@ -243,4 +243,5 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction for every document, and whether it is held out."""
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -10,8 +10,9 @@ from pyspark.sql import Window as W
 
 from kbspark.llm.common import table
 
-#: Production parameters: rows of a shard and of a block of queries, rows of a leaf, pruning factor.
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS, FACTOR = 16_384, 1_024, 512, 1.0
+#: Production parameters: rows of a shard and of a block of queries, queries that walk a tree at once,
+#: rows of a leaf, pruning factor.
+SHARD_ROWS, BLOCK_ROWS, WALK_ROWS, LEAF_ROWS, FACTOR = 16_384, 16_384, 1_024, 512, 1.0
 SLACK = 1e-9  # rounding allowed before the exact score decides
 
 
@@ -135,7 +136,8 @@ def nearest(
     """``(query_id, rank, vec_id, score)`` of the ``k`` largest inner products of each query.
 
     Rows are dealt to shards and queries to blocks by a hash; one task has one shard and one block,
-    both of bounded size, builds the shard's tree and searches it. Each tile gives at most k rows a
+    both of bounded size, builds the shard's tree once and searches it for the block, some queries
+    at a time. Each tile gives at most k rows a
     query, and a rank over the tiles gives the result. Vectors that are null, empty, zero or hold
     null or non-finite components take no part, nor do rows with a null id; vectors meet only those
     of their own length. Ties go to the smaller id; an id that is repeated is several candidates,
@@ -156,9 +158,14 @@ def nearest(
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names)
         matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        ids = right["vec_id"].to_numpy()
-        q, i, s = VpTree(matrix(left)).search(matrix(right), ids, left["vec_id"].to_numpy(), k, factor)
-        return pa.table([pa.array(ids[q]), pa.array(i), pa.array(s)], names)
+        tree, members = VpTree(matrix(left)), left["vec_id"].to_numpy()
+        parts = []
+        for at in range(0, right.num_rows, WALK_ROWS):
+            some = right.slice(at, WALK_ROWS)
+            ids = some["vec_id"].to_numpy()
+            q, i, s = tree.search(matrix(some), ids, members, k, factor)
+            parts.append(pa.table([pa.array(ids[q]), pa.array(i), pa.array(s)], names))
+        return pa.concat_tables(parts)
 
     key = ["dim", "shard", "block"]
     found = base.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(tile, "query_id long, vec_id long, score double")
@@ -169,6 +176,7 @@ def nearest(
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors with the largest inner product for every twentieth one, exactly."""
     return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 

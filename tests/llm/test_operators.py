@@ -22,7 +22,7 @@ def awkward(spark):
     long = " ".join(f"word{i % 97} tail" for i in range(20_000))
     rows = [(1, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (None, None, None, None, None), (2, "", "en", None, 0), (3, long, None, "s", len(long)), (4, "one", "fr", "t", 3), (5, " \n\t ", "en", "s", 4), (None, "x\ny", "en", "s", 3)]
     frame = spark.createDataFrame(rows, SCHEMA)
-    return frame.withColumns({c: F.lit(1) for c in ("fp", "score", "th", "pos", "fingerprint", "p", "ids", "labels", "a", "b", "node", "root", "first", "gone")})
+    return frame.withColumns({c: F.lit(1) for c in ("fp", "score", "th", "pos", "fingerprint", "p", "ids", "labels", "a", "b", "node", "root", "first", "gone", "n_lines_deleted", "mix_p", "n_docs", "blocks", "toxic")})
 
 
 def empty(spark):
@@ -39,7 +39,7 @@ OPERATORS = {
     "simhash": lambda s, d: simhash.near_groups(d),
     "representatives": lambda s, d: simhash.representatives(d),
     "imatch": lambda s, d: imatch.fingerprints(d, imatch.lexicon(d)),
-    "mixing": lambda s, d: mixing.mix(d.drop("p")),
+    "mixing": lambda s, d: mixing.mix(d),
     "bpe": lambda s, d: bpe.encode(d, bpe.vocabulary()),
     "linededup": lambda s, d: linededup.dedup_lines(d),
     "toxicity": lambda s, d: toxicity.score(d, labels(s)),
@@ -511,3 +511,70 @@ def test_licence_fuzzy_brute_force(spark):
     began = __import__("time").time()
     row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (row.n_base, row.first_word, row.last_word) == (40_000, 0, 119_997) and __import__("time").time() - began < 60
+
+
+def test_imatch_pairs_on_awkward_rows(spark):
+    """Null ids and texts, repeated ids and an empty table: each row is followed by the next document."""
+    rows = [(3, "c"), (3, "b"), (1, None), (None, "n"), (9, ""), (7, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = imatch.with_next(docs, per_bin=2).collect()
+    bins = {}
+    for r in got:
+        bins.setdefault(r.bin, []).append(r)
+    follows = set()
+    for found in bins.values():
+        own = [r for r in found if not r.guest]
+        guests = sorted((r for r in found if r.guest), key=lambda r: r.guest)
+        own.sort(key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.text))
+        follows |= {((a.doc_id, a.text), (b.doc_id, b.text)) for a, b in zip(own, own[1:], strict=False)}
+        follows |= {((own[-1].doc_id, own[-1].text), (guests[0].doc_id, guests[0].text))} if own and guests else set()
+    order = sorted(docs.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.text))
+    assert {a[0] for a, _ in follows} == {r.doc_id for r in order} and len(follows) == len(order)
+    assert imatch.with_next(docs.limit(0)).count() == 0
+
+
+def test_imatch_signatures_brute_force():
+    """Each signature depends on the chosen terms alone: the set, not order or number, within the lexicon."""
+    words = [f"w{i}" for i in range(300)]
+    lexicon = np.sort(np.concatenate([imatch.terms(w.encode()) for w in words[:200]]))
+    rng = random.Random(6)
+    for _ in range(50):
+        a = rng.sample(words, 40)
+        text, shuffled = " ".join(a), " ".join(rng.sample(a, 40) + a[:5] + ["unknown"])
+        assert imatch.written(imatch.fingerprint(text.encode(), lexicon)) == imatch.written(imatch.fingerprint(shuffled.encode(), lexicon))
+        known = [w for w in a if w in words[:200]]
+        other = imatch.fingerprint(" ".join(known[1:]).encode(), lexicon)
+        mine = imatch.fingerprint(text.encode(), lexicon)
+        assert mine[0] != other[0] and 0 <= imatch.likeness(mine, other) <= 1 and imatch.likeness(mine, mine) == 1.0
+        for k in range(len(imatch._SEEDS)):  # a subset that does not hold the dropped term keeps its signature
+            h = imatch.terms(known[0].encode())
+            held = not int(imatch.mix(h ^ imatch._SEEDS[k])[0] & imatch._MASKS[k])
+            assert held or mine[1 + k] == other[1 + k]
+
+
+def test_pipeline_stages_on_awkward_and_empty_rows(spark):
+    """Every stage keeps its contract; survivors against lists made by hand."""
+    import corpus_pipeline
+
+    docs = awkward(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    for rows in (docs, empty(spark)):
+        for name in ("toxicity", "line_dedup", "simhash_near_dedup", "source_mixing"):
+            got = stages[name](spark, rows, SF)
+            assert got.columns == rows.columns and got.count() <= rows.count()
+        assert stages["bpe"](spark, rows, SF).count() == rows.count()
+    key = lambda f: sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in f.select("doc_id", "text").collect())
+    assert key(stages["toxicity"](spark, docs, SF)) == key(docs)
+    assert key(stages["line_dedup"](spark, docs, SF)) == key(docs)
+    near = stages["simhash_near_dedup"](spark, docs, SF)
+    # Null, empty and blank texts are one group, whose least id is null; repeated rows are one.
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in near.collect()) == [(False, 1), (False, 3), (False, 4), (True, 0), (True, 0)]
+
+
+def test_toxic_stage_keeps_what_the_score_says(spark):
+    import corpus_pipeline
+
+    docs = documents(spark)
+    scores = {r.doc_id: r.score for r in toxicity.op9(spark, SF).collect()}
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, SF).collect()}
+    assert kept == {i for i, s in scores.items() if s < toxicity.THRESHOLD}
