@@ -155,7 +155,7 @@ PORTABLE: dict[str, str] = {
     # Order, windows, sets, hierarchy
     "G01_newest_page": "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 20",
     "G02_page_envelope": "SELECT total, CAST(CEIL(total / 20.0E0) AS BIGINT) AS pages, 3 * 20 < total AS has_next, 3 > 1 AS has_prev FROM (SELECT COUNT(*) AS total FROM orders) v",
-    "G03_filter_then_page": "SELECT c_custkey, total FROM (SELECT c_custkey, COUNT(*) OVER () AS total FROM customer WHERE c_mktsegment = 'BUILDING') v ORDER BY c_custkey LIMIT 20",
+    "G03_filter_then_page": "SELECT c_custkey, (SELECT COUNT(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS total FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 20",
     "G04_latest_per_key": "SELECT user_id, event_id, event_type FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) v WHERE rn = 1",
     "G05_latest_version": "SELECT conv_id, MAX_BY(role, turn) AS role, MAX(turn) AS version FROM conversations GROUP BY conv_id",
     "G06_previous_version": "SELECT conv_id, turn, LAG(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_version FROM conversations",
@@ -184,15 +184,15 @@ PORTABLE: dict[str, str] = {
     "G20_session_prefix": "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) v WHERE rn <= 3",
     "G21_cleanup": f"SELECT event_id FROM events WHERE NOT ts < {ANCHOR} - INTERVAL '10' DAY",
     "G22_element_order": """
-        SELECT kind, id, ROW_NUMBER() OVER (ORDER BY CASE WHEN idx IS NULL THEN 1 ELSE 0 END, idx, kind, id) AS pos FROM (
-          SELECT 'chunk' AS kind, conv_id * 100 + turn AS id, CASE WHEN role = 'system' THEN NULL ELSE turn END AS idx FROM conversations WHERE conv_id < 5
-          UNION ALL SELECT 'image', vec_id, CAST(label AS BIGINT) FROM embeddings WHERE vec_id < 20) v""",
+        SELECT doc, kind, id, ROW_NUMBER() OVER (PARTITION BY doc ORDER BY CASE WHEN idx IS NULL THEN 1 ELSE 0 END, idx, kind, id) AS pos FROM (
+          SELECT conv_id AS doc, 'chunk' AS kind, turn AS id, CASE WHEN role = 'system' THEN NULL ELSE turn END AS idx FROM conversations
+          UNION ALL SELECT vec_id % 100, 'image', vec_id, CAST(label AS BIGINT) FROM embeddings) v""",
     "G23_type_filter_page": "SELECT conv_id, turn FROM conversations WHERE role = 'user' ORDER BY conv_id, turn LIMIT 20 OFFSET 20",
     "G25_recent_snapshots": f"SELECT user_id, event_id, rn <= 5 AS timeline FROM (SELECT user_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE ts >= {ANCHOR} - INTERVAL '24' HOUR) v WHERE rn <= 10",
     "G26_iteration_list": "SELECT conv_id, turn FROM conversations WHERE conv_id = 2 ORDER BY turn",
-    "G27_session_page": "SELECT conv_id, n, COUNT(*) OVER () AS total FROM (SELECT conv_id, COUNT(*) AS n FROM conversations GROUP BY conv_id HAVING COUNT(*) > 2) v ORDER BY conv_id LIMIT 20",
+    "G27_session_page": "WITH v AS (SELECT conv_id, COUNT(*) AS n FROM conversations GROUP BY conv_id HAVING COUNT(*) > 2) SELECT conv_id, n, (SELECT COUNT(*) FROM v) AS total FROM v ORDER BY conv_id LIMIT 20",
     "G28_latest_questions": "SELECT conv_id, turn FROM (SELECT conv_id, turn, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations WHERE role = 'user') v WHERE rn <= 10",
-    "G29_snapshot_page": "SELECT event_id, total FROM (SELECT event_id, ts, COUNT(*) OVER () AS total FROM events WHERE user_id = 5 AND event_type = 'view') v ORDER BY ts DESC, event_id LIMIT 50",
+    "G29_snapshot_page": "WITH v AS (SELECT event_id, ts FROM events WHERE user_id = 5 AND event_type = 'view') SELECT event_id, (SELECT COUNT(*) FROM v) AS total FROM v ORDER BY ts DESC, event_id LIMIT 50",
     "G30_export_page": "SELECT o_orderkey FROM orders WHERE o_custkey = 10 AND o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20",
     "G31_user_page": "SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey LIMIT 20 OFFSET 40",
     # Observability

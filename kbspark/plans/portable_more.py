@@ -15,7 +15,9 @@ PORTABLE: dict[str, str] = {
     "D18_page_noise": "SELECT text, COUNT(DISTINCT conv_id) AS pages FROM conversations WHERE LENGTH(text) <= 80 GROUP BY text HAVING COUNT(DISTINCT conv_id) >= 2",
     "D25_heading_parent": """
         WITH h AS (SELECT conv_id, turn AS pos, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS lvl FROM conversations)
-        SELECT a.conv_id, a.pos, MAX(b.pos) AS parent_pos FROM h a LEFT JOIN h b ON b.conv_id = a.conv_id AND b.pos < a.pos AND b.lvl < a.lvl GROUP BY a.conv_id, a.pos""",
+        SELECT conv_id, pos, CASE WHEN lvl = 2 THEN l1 WHEN lvl = 3 THEN GREATEST(COALESCE(l1, l2), COALESCE(l2, l1)) END AS parent_pos FROM (
+          SELECT conv_id, pos, lvl, MAX(CASE WHEN lvl = 1 THEN pos END) OVER w AS l1, MAX(CASE WHEN lvl = 2 THEN pos END) OVER w AS l2
+          FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) v""",
     "D32_row_windows": """
         WITH r AS (SELECT p_brand, p_partkey, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part)
         SELECT p_brand, w, COUNT(*) AS n FROM (

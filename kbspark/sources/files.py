@@ -1,7 +1,7 @@
 """Sources of files and of captured service answers, as DataFrames.
 
-Files come as rows ``(path, content)`` of ``spark.read.format("binaryFile")``; each is parsed where it
-lies. Answers of services come as rows with one JSON text; built-in functions take them apart.
+Files come as rows ``(path, content)`` of ``spark.read.format("binaryFile")``, which leaves out empty
+ones; each is parsed where it lies. Answers of services come as rows with one JSON text; built-in functions take them apart.
 """
 
 from __future__ import annotations
