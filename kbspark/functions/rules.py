@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import BooleanType
+
+from kbspark.operators.folds import fold
 
 #: Fixed word lists and matrices.
 HEDGES = ("可能", "大概", "或许", "也许", "似乎", "看起来", "估计", "推测")
@@ -45,19 +48,17 @@ def is_error_line(line: Column) -> Column:
 def lockouts(logins: DataFrame) -> DataFrame:
     """``(user_id, id, locked)`` of ``logins(user_id, ts, id, ok)``: from the fifth failure in a row an
     account is locked for half an hour; a success resets it, attempts while locked change nothing.
-    Each account is folded over its attempts in order."""
-    tries = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "id", "ok")))
-
-    def step(s: Column, r: Column) -> Column:
-        held = r["t"] < s["until"]
-        fails = F.when(r["ok"], 0).otherwise(s["fails"] + 1)
-        state = lambda f, u, locked: F.struct(f.cast("int").alias("fails"), u.alias("until"), F.concat(s["out"], F.array(F.struct(r["id"].alias("id"), locked.alias("locked")))).alias("out"))
-        locks = fails >= FAILS
-        return F.when(held, state(s["fails"], s["until"], F.lit(True))).otherwise(state(F.when(locks, 0).otherwise(fails), F.when(locks, r["t"] + LOCK_MINUTES * 60_000_000).otherwise(F.lit(0).cast("long")), F.lit(False)))
-
-    begin = F.struct(F.lit(0).alias("fails"), F.lit(0).cast("long").alias("until"), F.array().cast("array<struct<id: bigint, locked: boolean>>").alias("out"))
-    folded = logins.groupBy("user_id").agg(F.aggregate(tries, begin, step, lambda s: s["out"]).alias("out"))
-    return folded.select("user_id", F.explode("out").alias("o")).select("user_id", "o.id", "o.locked")
+    The attempts of an account pass in order."""
+
+    def step(state: tuple[int, int], t: int, ok: bool) -> tuple[tuple[int, int], bool]:
+        fails, until = state
+        if t < until:
+            return state, True
+        fails = 0 if ok else fails + 1
+        return ((0, t + LOCK_MINUTES * 60_000_000) if fails >= FAILS else (fails, 0)), False
+
+    timed = logins.withColumn("t_", F.unix_micros(F.col("ts").cast("timestamp")))
+    return fold(timed, "user_id", ["t_", "id"], ["t_", "ok"], (0, 0), step, "locked", BooleanType()).select("user_id", "id", "locked")
 
 
 def log_context(lines: DataFrame, most: int, by: str = "user_id") -> DataFrame:

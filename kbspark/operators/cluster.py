@@ -7,6 +7,9 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import BooleanType
+
+from kbspark.operators.folds import fold
 
 #: Fixed names and limits of the rules.
 OWNERS = ("deployment", "statefulset", "daemonset")
@@ -153,18 +156,32 @@ def final_confidence(first: Column, knowledge: Column, has_refs: Column, extende
 
 def claim(requests: DataFrame, seconds: int = 600) -> DataFrame:
     """``requests(key, ts, id)`` with ``granted``: a keyed lock is held for ``seconds`` from each grant.
-    Grants follow one another, so each key is folded over its requests in order."""
-    took = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "id")))
-    grant = lambda s, r: F.when(s["until"].isNull() | (r["t"] >= s["until"]), F.struct((r["t"] + seconds * 1_000_000).alias("until"), F.concat(s["ids"], F.array(r["id"])).alias("ids"))).otherwise(s)
-    begin = F.struct(F.lit(None).cast("long").alias("until"), F.array().cast("array<long>").alias("ids"))
-    granted = requests.groupBy("key").agg(F.aggregate(took, begin, grant, lambda s: s["ids"]).alias("ids"))
-    ids = granted.select(F.explode("ids").alias("id"), F.lit(True).alias("granted"))
-    return requests.join(ids, "id", "left").withColumn("granted", F.coalesce("granted", F.lit(False)))
+    Grants follow one another, so each key's requests pass in order."""
+    wait = seconds * 1_000_000
+
+    def step(until: int | None, t: int) -> tuple[int | None, bool]:
+        granted = until is None or t >= until
+        return (t + wait if granted else until), granted
+
+    timed = requests.withColumn("t_", F.unix_micros(F.col("ts").cast("timestamp")))
+    return fold(timed, "key", ["t_", "id"], ["t_"], None, step, "granted", BooleanType()).drop("t_")
 
 
 def cached(requests: DataFrame, seconds: int = 300) -> DataFrame:
     """``requests(params, ts, id)`` with the ``cache_key`` of their parameters and ``hit``: an answer is
     held for ``seconds`` from the request that made it."""
-    keyed = requests.withColumn("cache_key", F.sha2("params", 256))
-    made = claim(keyed.withColumnRenamed("cache_key", "key"), seconds)
+    made = claim(requests.withColumn("key", F.sha2("params", 256)), seconds)
     return made.withColumnRenamed("key", "cache_key").withColumn("hit", ~F.col("granted")).drop("granted")
+
+
+def limited(requests: DataFrame, most: int, seconds: int = 3600) -> DataFrame:
+    """``requests(key, ts, id)`` with ``limited``: more than ``most`` since the counter of the key began; it
+    begins with a request and is forgotten ``seconds`` later."""
+    wait = seconds * 1_000_000
+
+    def step(state: tuple[int, int] | None, t: int) -> tuple[tuple[int, int], bool]:
+        begun, n = (t, 1) if state is None or t >= state[0] + wait else (state[0], state[1] + 1)
+        return (begun, n), n > most
+
+    timed = requests.withColumn("t_", F.unix_micros(F.col("ts").cast("timestamp")))
+    return fold(timed, "key", ["t_", "id"], ["t_"], None, step, "limited", BooleanType()).drop("t_")

@@ -260,3 +260,48 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = F.transform("s", lambda x: F.struct(x["text"].alias("text"), F.lit(False).alias("is_title")))
     found = slides.select("conv_id", F.size("s").cast("long").alias("n"), files.slide_text(shapes).alias("t"))
     return found.select("conv_id", F.nullif("t.title", F.lit("")).alias("title"), "n")
+
+
+# Office files: written of the tables and read again
+SHORT = "text <> '' AND NOT regexp_matches(text, '[^ -~]') AND length(text) < 3000"
+
+
+@query("A08_xlsx_source", "SELECT p_brand, count(*) + 1 AS n_rows, sum(p_size) AS total FROM part GROUP BY p_brand")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = F.array_sort(F.collect_list(F.array(F.col("p_partkey").cast("string"), "p_name", F.lit(""), F.col("p_size").cast("string"))))
+    sheets = load(spark, sf_dir, "part").groupBy("p_brand").agg(F.concat(F.array(F.array(*map(F.lit, ("key", "name", "none", "size")))), cells).alias("r"))
+    found = files.xlsx(sheets.select(F.col("p_brand").alias("path"), sinks.xlsx_file(F.lit("parts & more"), F.col("r")).alias("content")))
+    total = F.aggregate(F.slice("rows", 2, 1 << 30), F.lit(0).cast("long"), lambda s, r: s + r[3].cast("long"))
+    return found.select(F.col("path").alias("p_brand"), F.size("rows").cast("long").alias("n_rows"), total.alias("total"))
+
+
+@query("A09_docx_source", f"SELECT conv_id * 1000 + turn AS id, 1 AS headings, md5(trim(text, ' ')) AS h FROM conversations WHERE {SHORT}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").where("text <> '' AND NOT rlike(text, '[^ -~]') AND length(text) < 3000")
+    made = turns.select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("path"), sinks.docx_file(F.col("role"), F.array("text")).alias("content"))
+    found = files.docx(made).groupBy(F.col("path").cast("long").alias("id"))
+    return found.agg(F.count_if(F.col("style") == "Heading1").cast("int").alias("headings"), F.max(F.when(F.col("style") == "", F.md5("text"))).alias("h"))
+
+
+@query("A10_pdf_source", f"SELECT conv_id * 1000 + turn AS id, md5(trim(text, ' ')) AS h FROM conversations WHERE {SHORT}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").where("text <> '' AND NOT rlike(text, '[^ -~]') AND length(text) < 3000")
+    made = turns.select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("path"), sinks.pdf_file(F.array("text")).alias("content"))
+    return files.pdf(made).select(F.col("path").cast("long").alias("id"), F.md5(F.trim("text")).alias("h"))
+
+
+@query("A11_pptx_source", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS slide, role AS title FROM conversations")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slide = F.struct("turn", F.col("role").alias("title"), F.col("text").alias("body"))
+    decks = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(slide)).alias("s"))
+    slides = F.transform("s", lambda x: F.struct(x["title"].alias("title"), x["body"].alias("body")))
+    found = files.pptx(decks.select(F.col("conv_id").cast("string").alias("path"), sinks.pptx_file(slides).alias("content")))
+    return found.select(F.col("path").cast("long").alias("conv_id"), F.col("slide").cast("long").alias("slide"), "title")
+
+
+@query("A29_fetch_with_fallback", "SELECT conv_id AS doc_id, turn AS chunk_index, CASE WHEN conv_id % 2 = 0 THEN 'index' ELSE 'table' END AS origin FROM conversations WHERE conv_id < 40")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index holds every second document; the others come from the table."""
+    rows = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"))
+    asked = rows.where("doc_id < 40").select("doc_id").distinct()
+    return sinks.fetch_chunks(asked, rows.where("doc_id % 2 = 0").withColumn("origin", F.lit("index")), rows.withColumn("origin", F.lit("table")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from kbspark.functions.vectors import feature_similarity
-from kbspark.operators import search
+from kbspark.operators import cluster, search
 from kbspark.plans.native import TERMS, _probe, doc, on, query
 from kbspark.plans.search import HYBRID
 from kbspark.sources.tables import load
@@ -89,17 +89,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN e.t >= g.begun + 3600000000 THEN e.t ELSE g.begun END, CASE WHEN e.t >= g.begun + 3600000000 THEN 1 ELSE g.n + 1 END FROM g JOIN e ON e.user_id = g.user_id AND e.i = g.i + 1)
     SELECT event_id, n > 2 AS limited FROM g""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A counter per user that starts with a request and is forgotten an hour later; folded in order."""
-    tries = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")))
-
-    def step(s, r):
-        anew = r["t"] >= s["begun"] + 3_600_000_000
-        n = F.when(anew, 1).otherwise(s["n"] + 1)
-        return F.struct(F.when(anew, r["t"]).otherwise(s["begun"]).alias("begun"), n.cast("int").alias("n"), F.concat(s["out"], F.array(F.struct(r["event_id"].alias("event_id"), (n > 2).alias("limited")))).alias("out"))
-
-    begin = F.struct(F.lit(-(1 << 60)).cast("long").alias("begun"), F.lit(0).alias("n"), F.array().cast("array<struct<event_id: bigint, limited: boolean>>").alias("out"))
-    folded = load(spark, sf_dir, "events").groupBy("user_id").agg(F.aggregate(tries, begin, step, lambda s: s["out"]).alias("o"))
-    return folded.select(F.explode("o").alias("o")).select("o.*")
+    """A counter per user that starts with a request and is forgotten an hour later."""
+    asked = load(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
+    return cluster.limited(asked, 2).select(F.col("id").alias("event_id"), "limited")
 
 
 @query("H02_tracked_fields", "SELECT event_id, prior IS NULL OR prior <> {'a': event_type, 'b': props, 'c': floor(value), 'd': user_id, 'e': CAST(ts AS DATE), 'f': event_id % 2} AS changed FROM (SELECT *, lag({'a': event_type, 'b': props, 'c': floor(value), 'd': user_id, 'e': CAST(ts AS DATE), 'f': event_id % 2}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prior FROM events)")
@@ -187,3 +179,60 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("conv_id").orderBy("turn")
     rows = load(spark, sf_dir, "conversations").withColumns({"new_version": F.lead("turn").over(w), "next_text": F.lead("text").over(w)})
     return rows.where("new_version = turn + 1").select("conv_id", F.col("turn").alias("old_version"), "new_version", F.md5(F.concat("text", F.lit("|"), "next_text")).alias("h"))
+
+
+# What was left of scalar rules and searches
+@query("D56_markdown_fallback", r"SELECT conv_id, turn, CAST(len(list_filter(string_split(regexp_replace(text, '[.] ', '.' || chr(10) || chr(10), 'g'), chr(10) || chr(10)), lambda x: trim(regexp_replace(x, '\s', '', 'g')) <> '')) AS BIGINT) AS n FROM conversations WHERE NOT contains(text, chr(10))")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph runs, for texts that no Markdown parser takes apart."""
+    from kbspark.operators.chunks import paragraphs
+
+    turns = load(spark, sf_dir, "conversations").where(~F.contains("text", F.lit("\n")))
+    return turns.select("conv_id", "turn", F.size(paragraphs(F.regexp_replace("text", "[.] ", ".\n\n"))).cast("long").alias("n"))
+
+
+@query("E04_image_search", "SELECT * FROM (SELECT vec_id, round(s, 6) AS score FROM (SELECT e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY s DESC, vec_id LIMIT 30) WHERE s >= 0.25 ORDER BY s DESC, vec_id LIMIT 15)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifteen images: twice as many are recalled, 20 at least and 100 at most, then threshold and cut."""
+    from kbspark.operators.retrieval import vector_search
+
+    limit = 15
+    found = vector_search(load(spark, sf_dir, "embeddings"), _probe(spark, sf_dir), min(max(2 * limit, 20), 100), 0.25)
+    return found.orderBy(F.desc("score"), "vec_id").limit(limit).select("vec_id", F.round("score", 6).alias("score"))
+
+
+on("B16_title_stem", "events", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'given' WHEN 1 THEN 'named' ELSE 'report.final' END AS title FROM events",
+    lambda: ["event_id", _title(F.element_at(F.array(F.lit('{"title": "given", "name": "n"}'), F.lit('{"name": "named"}'), F.lit("{}")), (F.col("event_id") % 3 + 1).cast("int"))).alias("title")])
+
+
+def _title(meta) -> object:
+    from kbspark.functions.values import stem
+
+    return F.coalesce(F.get_json_object(meta, "$.title"), F.get_json_object(meta, "$.name"), stem(F.lit("in/box/report.final.pdf")))
+
+
+on("E28_missing_bounds", "part", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 10 WHEN p_size > 40 THEN 15 WHEN p_size < 10 THEN 7 ELSE 10 END AS threshold FROM part",
+    lambda: ["p_partkey", _threshold(F.when(F.col("p_size") % 5 != 0, F.col("p_size"))).alias("threshold")])
+
+
+def _threshold(span) -> object:
+    """Ten; more for wide chunks, less for narrow ones; ten as well where a bound is missing."""
+    return F.when(span.isNull(), 10).when(span > 40, 15).when(span < 10, 7).otherwise(10)
+
+
+on("I04_time_parts", "orders", "SELECT o_orderkey, CAST(86400 * (o_orderkey % 5) + 61 AS BIGINT) AS seconds FROM orders", lambda: ["o_orderkey", (F.unix_timestamp((F.col("o_orderdate") + F.make_dt_interval((F.col("o_orderkey") % 5).cast("int"), F.lit(0), F.lit(1), F.lit(1))).cast("timestamp")) - F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))).alias("seconds")])
+on("I06_epoch_back", "events", "SELECT event_id, date_trunc('second', ts) AS t FROM events", lambda: ["event_id", F.timestamp_seconds(F.unix_timestamp(F.col("ts").cast("timestamp"))).cast("timestamp_ntz").alias("t")])
+on("I17_unique_list", "conversations", "SELECT conv_id, turn, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i), ' ') AS words FROM (SELECT conv_id, turn, string_split(text, ' ') AS k FROM conversations)", lambda: ["conv_id", "turn", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words")])
+on("I16_flatten_nested", "part", "SELECT p_partkey, p_name || '|' || p_brand || '|' || p_type AS s FROM part", lambda: ["p_partkey", F.array_join(F.flatten(F.flatten(F.array(F.array(F.array("p_name"), F.array("p_brand")), F.array(F.array("p_type"))))), "|").alias("s")])
+on("I20_sha512", "part", "SELECT p_partkey, 128 AS n FROM part", lambda: ["p_partkey", F.length(F.sha2("p_name", 512)).alias("n")])
+on("I24_length_rule", "part", "SELECT p_partkey, p_size % 4 <> 0 AS at_least_one, true AS at_least_none FROM part",
+    lambda: ["p_partkey", *[_length_ok(F.when(F.col("p_size") % 4 != 0, F.col("p_name")), least).alias(n) for least, n in ((1, "at_least_one"), (0, "at_least_none"))]])
+
+
+def _length_ok(text, least: int, most: int = 255) -> object:
+    """Inclusive bounds; a null is valid only where nothing is asked for."""
+    return F.coalesce(F.length(text).between(least, most), F.lit(least == 0))
+
+
+on("I26_three_validators", "conversations", "SELECT conv_id, turn, trim(text) <> '' AND length(text) <= 255 AS name_ok, trim(text) <> '' AND length(text) <= 500 AS title_ok, trim(text) <> '' AND length(text) <= 1000 AS query_ok FROM conversations",
+    lambda: ["conv_id", "turn", *[((F.trim("text") != "") & (F.length("text") <= n)).alias(c) for c, n in (("name_ok", 255), ("title_ok", 500), ("query_ok", 1000))]])

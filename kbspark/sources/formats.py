@@ -245,3 +245,76 @@ def pdf_texts(data: bytes | None) -> list[str]:
         if text:
             out.append(text)
     return out
+
+
+# Writers of the same formats, for exports
+def _zip(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as file:
+        for name, text in parts.items():
+            file.writestr(name, f'<?xml version="1.0" encoding="UTF-8"?>{text}')
+    return out.getvalue()
+
+
+def _safe(text: str | None) -> str:
+    """Text for XML: characters that it does not allow become blanks."""
+    plain = re.sub("[^\\t\\n\\r\\x20-\\ud7ff\\ue000-\\ufffd\\U00010000-\\U0010ffff]", " ", text or "")
+    return plain.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+
+
+def write_xlsx(name: str, rows: list[list[str]] | None) -> bytes:
+    """A workbook of one sheet with text cells."""
+
+    def letters(n: int) -> str:
+        return (letters(n // 26 - 1) if n >= 26 else "") + chr(65 + n % 26)
+
+    cells = lambda r, y: "".join(f'<c r="{letters(x)}{y}" t="inlineStr"><is><t xml:space="preserve">{_safe(v)}</t></is></c>' for x, v in enumerate(r))
+    body = "".join(f'<row r="{y}">{cells(r, y)}</row>' for y, r in enumerate(rows or [], 1))
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kinds = "".join(f'<Override PartName="/xl/{p}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.{t}+xml"/>' for p, t in (("workbook", "sheet.main"), ("worksheets/sheet1", "worksheet")))
+    return _zip({
+        "[Content_Types].xml": f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{kinds}</Types>',
+        "_rels/.rels": _relations(rel, "officeDocument", "xl/workbook.xml"), "xl/_rels/workbook.xml.rels": _relations(rel, "worksheet", "worksheets/sheet1.xml"),
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{_safe(name)}" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>',
+    })
+
+
+def _relations(base: str, kind: str, target: str) -> str:
+    return f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{base}/{kind}" Target="{target}"/></Relationships>'
+
+
+def write_docx(title: str | None, paragraphs: list[str] | None) -> bytes:
+    """A document with a heading and paragraphs."""
+    w, rel = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    line = lambda t, style="": f'<w:p>{style}<w:r><w:t xml:space="preserve">{_safe(t)}</w:t></w:r></w:p>'
+    body = line(title, '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>') + "".join(map(line, paragraphs or []))
+    return _zip({
+        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
+        "_rels/.rels": _relations(rel, "officeDocument", "word/document.xml"), "word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>',
+    })
+
+
+def write_pdf(lines: list[str] | None) -> bytes:
+    """A page of Latin lines, without line breaking."""
+    shown = b" T*\n".join(b"(" + re.sub(rb"([()\\])", rb"\\\1", x.replace("\n", " ").encode("latin-1", "replace")) + b") Tj" for x in lines or [])
+    stream = zlib.compress(b"BT /F1 11 Tf 14 TL 50 780 Td\n" + shown + b"\nET")
+    parts = [
+        b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[3 0 R]/Count 1>>",
+        b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 595 842]/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>>",
+        b"<</Length %d/Filter/FlateDecode>>\nstream\n" % len(stream) + stream + b"\nendstream", b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>",
+    ]
+    out, places = b"%PDF-1.4\n", []
+    for i, part in enumerate(parts, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n" % i + part + b"\nendobj\n"
+    table = b"".join(b"%010d 00000 n \n" % p for p in places)
+    return out + b"xref\n0 %d\n0000000000 65535 f \n" % (len(parts) + 1) + table + b"trailer\n<</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % (len(parts) + 1, len(out))
+
+
+def write_pptx(slides: list[tuple[str, str]] | None) -> bytes:
+    """The slides' parts of a presentation: a title and a text box each."""
+    p, a = "http://schemas.openxmlformats.org/presentationml/2006/main", "http://schemas.openxmlformats.org/drawingml/2006/main"
+    box = lambda text, mark: f'<p:sp><p:nvSpPr><p:nvPr>{mark}</p:nvPr></p:nvSpPr><p:txBody>{"".join(f"<a:p><a:r><a:t>{_safe(x)}</a:t></a:r></a:p>" for x in (text or "").split(chr(10)))}</p:txBody></p:sp>'
+    title = '<p:ph type="title"/>'
+    return _zip({f"ppt/slides/slide{i}.xml": f'<p:sld xmlns:p="{p}" xmlns:a="{a}"><p:cSld><p:spTree>{box(t, title)}{box(b, "")}</p:spTree></p:cSld></p:sld>' for i, (t, b) in enumerate(slides or [], 1)})

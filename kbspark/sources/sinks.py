@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from kbspark.operators.retrieval import postings
+from kbspark.sources import formats
 
 
 def write_archive(chunks: DataFrame, path: str) -> None:
@@ -82,3 +84,31 @@ def batches(items: Column, size: int) -> Column:
     """An array in groups of ``size``, the last may be smaller."""
     starts = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.slice(items, i + 1, size))
+
+
+# Files of office formats, one a row
+def xlsx_file(name: Column, rows: Column) -> Column:
+    return F.udf(formats.write_xlsx, "binary", useArrow=True)(name, rows)
+
+
+def docx_file(title: Column, paragraphs: Column) -> Column:
+    return F.udf(formats.write_docx, "binary", useArrow=True)(title, paragraphs)
+
+
+def pptx_file(slides: Column) -> Column:
+    """Of an array of ``struct<title, body>``."""
+    return F.udf(formats.write_pptx, "binary", useArrow=True)(slides)
+
+
+def pdf_file(lines: Column) -> Column:
+    return F.udf(formats.write_pdf, "binary", useArrow=True)(lines)
+
+
+def fetch_chunks(asked: DataFrame, index: DataFrame, table: DataFrame, most: int = 10_000) -> DataFrame:
+    """The chunks of the documents ``asked(doc_id)`` in order, at most ``most`` each: those of the index,
+    and of the table for documents that the index does not have."""
+    found = index.join(asked, "doc_id", "left_semi")
+    rest = table.join(asked, "doc_id", "left_semi").join(index.select("doc_id").distinct(), "doc_id", "left_anti")
+    both = found.unionByName(rest.select(*found.columns))
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("chunk_index"))
+    return both.withColumn("rank_", rank).where(F.col("rank_") <= most).drop("rank_")

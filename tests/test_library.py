@@ -244,3 +244,44 @@ def test_term_counts_equal_tokens(spark):
     got = one(spark, term_counts(F.col("text"), ["the", "cat"]), *[(t,) for t in texts])
     words = [r or [] for r in one(spark, T.tokens(F.col("text")), *[(t,) for t in texts])]
     assert [(r.dl or 0, r.tf0 or 0, r.tf1 or 0) for r in got] == [(len(w), w.count("the"), w.count("cat")) for w in words]
+
+
+def test_short_numbers_fuzzy_terms_similarity(spark):
+    import difflib
+
+    from kbspark.operators.diffs import similarity
+
+    rows = spark.createDataFrame([(999.0,), (1500.0,), (2_500_000.0,), (3e9,), (-5.0,)], "n double")
+    assert [r[0] for r in rows.select(T.format_number(F.col("n"))).collect()] == ["999", "1.5K", "2.5M", "3.0B", "-5"]
+    near = lambda term: one(spark, search.fuzzy(T.tokens(F.col("text")), term), "ab there", "ac thier", "theer abc")
+    assert near("ab") == [True, False, False] and near("there") == [True, False, False] and near("thiere") == [True, True, True]
+    rng = random.Random(9)
+    pairs = [("".join(rng.choices("abc ", k=rng.randrange(30))), "".join(rng.choices("abc ", k=rng.randrange(30)))) for _ in range(60)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(similarity("a", "b")).collect()]
+    assert got == [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+
+
+def test_office_writers_are_read_back(spark):
+    rows = spark.createDataFrame([("x", [["a & b", "", "<c>"], ["1", "2", "3"]], ["one\x00", "two (x)"])], "path string, r array<array<string>>, p array<string>")
+    assert files.xlsx(rows.select("path", sinks.xlsx_file(F.lit("S"), F.col("r")).alias("content"))).first().rows == [["a & b", "", "<c>"], ["1", "2", "3"]]
+    assert [e.text for e in files.docx(rows.select("path", sinks.docx_file(F.lit("T"), F.col("p")).alias("content"))).collect()] == ["T", "one", "two (x)"]
+    assert files.pdf(rows.select("path", sinks.pdf_file(F.array(F.lit("a (b) \\ c"), F.lit("d"))).alias("content"))).first().text == "a (b) \\ c\nd"
+
+
+def test_folds_follow_order_whatever_the_partitions(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(4) or None, i, f"2024-01-01 {rng.randrange(24):02d}:{rng.randrange(60):02d}:00") for i in range(300)]
+    asked = spark.createDataFrame(rows, "key long, id long, t string").withColumn("ts", F.to_timestamp("t"))
+    got = {r.id: (r.granted, r.limited) for r in cluster.limited(cluster.claim(asked.repartition(7), 1800), 2, 3600).collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        until = begun = None
+        n = 0
+        for _, i, t in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            at = int(t[11:13]) * 60 + int(t[14:16])
+            granted = until is None or at >= until
+            until = at + 30 if granted else until
+            begun, n = (at, 1) if begun is None or at >= begun + 60 else (begun, n + 1)
+            want[i] = (granted, n > 2)
+    assert got == want
+    assert cluster.claim(asked.limit(0)).count() == 0
