@@ -84,9 +84,9 @@ def log_context(lines: DataFrame, most: int, by: str = "user_id") -> DataFrame:
     return ranked.where(kept).select(*lines.columns)
 
 
-def health(**shares: Column) -> Column:
+def health(digits: int = 2, **shares: Column) -> Column:
     """The weighted score of ``cpu, memory, disk`` and ``cache`` use in percent; 100 is idle."""
-    return F.round(sum((F.greatest(F.lit(0.0), 100 - shares[k]) * w for k, w in SCORES.items()), F.lit(0.0)), 2)
+    return F.round(sum((F.greatest(F.lit(0.0), 100 - shares[k]) * w for k, w in SCORES.items()), F.lit(0.0)), digits)
 
 
 def health_label(score: Column) -> Column:

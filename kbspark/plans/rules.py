@@ -242,10 +242,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(first, "user_id", "left").select("user_id", "errors", F.coalesce("first_ids", F.lit("")).alias("first_ids"))
 
 
-@query("F23_health", "SELECT user_id, s AS score, CASE WHEN s >= 80 THEN 'excellent' WHEN s >= 60 THEN 'good' WHEN s >= 40 THEN 'warning' ELSE 'critical' END AS label FROM (SELECT user_id, round(greatest(0, 100 - c) * 0.3 + greatest(0, 100 - m) * 0.3 + greatest(0, 100 - d) * 0.2 + greatest(0, 100 - r) * 0.2, 2) AS s FROM (SELECT user_id, max(value) AS c, min(value) AS m, CAST(count(*) AS DOUBLE) % 100 AS d, CAST(user_id % 100 AS DOUBLE) AS r FROM events GROUP BY user_id))")
+@query("F23_health", "SELECT user_id, s AS score, CASE WHEN s >= 80 THEN 'excellent' WHEN s >= 60 THEN 'good' WHEN s >= 40 THEN 'warning' ELSE 'critical' END AS label FROM (SELECT user_id, round(greatest(0, 100 - c) * 0.3 + greatest(0, 100 - m) * 0.3 + greatest(0, 100 - d) * 0.2 + greatest(0, 100 - r) * 0.2, 6) AS s FROM (SELECT user_id, max(value) AS c, min(value) AS m, CAST(count(*) AS DOUBLE) % 100 AS d, CAST(user_id % 100 AS DOUBLE) AS r FROM events GROUP BY user_id))")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     use = load(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("cpu"), F.min("value").alias("memory"), (F.count("*").cast("double") % 100).alias("disk")).withColumn("cache", (F.col("user_id") % 100).cast("double"))
-    scored = use.select("user_id", R.health(**{k: F.col(k) for k in R.SCORES}).alias("score"))
+    scored = use.select("user_id", R.health(6, **{k: F.col(k) for k in R.SCORES}).alias("score"))
     return scored.select("user_id", "score", R.health_label(F.col("score")).alias("label"))
 
 
