@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round draws a random order of the nodes and moves every node to the least of its closed
     neighbourhood, so that the number of nodes at least halves in expectation, also on chains. The
     least neighbour is a partially aggregated minimum, thus a node with very many neighbours costs
-    one row per map task. Only the contracted edges and the node maps are kept, both checkpointed.
+    one row per map task. Its edges are joined to its new name between two plain shuffles, where adaptive
+    execution splits a partition that is too large. Only the contracted edges and the node maps are kept, both checkpointed.
     Nodes without edges do not appear. Self-loops and repeated edges are allowed.
     """
     left, n = counted(edges.select("a", "b").where("a <> b").distinct())

@@ -280,4 +280,5 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(F.transform("base", text), ","), 256).alias("base_sha256"),
         everything.alias("spans"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
