@@ -110,8 +110,8 @@ def counter_rate(samples: DataFrame, width: str, by: list[str], ts: str = "ts",
     the whole new value counts."""
     before = F.lag(value).over(W.partitionBy(*by).orderBy(ts, value))
     up = F.when(F.col(value) >= before, F.col(value) - before).when(before.isNotNull(), F.col(value)).otherwise(F.lit(0.0))
-    seen = samples.withColumn("up_", up).groupBy(*by, F.window(F.col(ts).cast("timestamp"), width).alias("w"))
-    seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
+    seen = samples.withColumn("up_", up).groupBy(*by, F.window(F.col(ts), width).alias("w"))
+    seconds = F.unix_timestamp(F.col("w.end").cast("timestamp")) - F.unix_timestamp(F.col("w.start").cast("timestamp"))
     return seen.agg(F.sum("up_").alias("u")).select(*by, F.col("w.start").alias("start"), (F.col("u") / seconds).alias("rate"))
 
 
