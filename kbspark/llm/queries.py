@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbspark.llm import bpe, imatch, kdshards, licenses, linededup, mixing, pii, secrets, simhash, tokenalign, toxicity, vptree
+from kbspark.llm import bpe, imatch, kdshards, lexical, licenses, linededup, mixing, pii, secrets, simhash, tokenalign, toxicity, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +21,8 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": linededup.op8,
     "op9_toxicity": toxicity.op9,
     "op10_licenses": licenses.op10,
+    "op11_lexical": lexical.op11,
     "op12_token_alignment": tokenalign.op12,
     "op13_kd_shards": kdshards.op13,
 }
-SQL: dict[str, str] = {"op5_vptree": vptree.SQL5}
+SQL: dict[str, str] = {"op5_vptree": vptree.SQL5, "op11_lexical": lexical.SQL11}
