@@ -41,10 +41,17 @@ def is_error_line(line: Column) -> Column:
     t = F.upper(line)
     any_of = lambda parts: t.rlike("|".join(f"\\Q{p}\\E" for p in parts))
     marks = [f"{before}{level}{after}" for level in LEVELS for before, after in ((" ", " "), (" ", ":"), (" ", "]"), ("[", ""))]
-    hit = any_of([*marks, "EXCEPTION", ".ERROR", ".WARN", ".FATAL", "JAVA.LANG.", "CAUSED BY:"]) | t.rlike("^(" + "|".join(LOUD) + ")")
+    hit = any_of([*marks, "EXCEPTION", ".ERROR", ".WARN", ".FATAL", "JAVA.LANG.", "JAVA.NET.", "JAVA.IO.", "CAUSED BY:"]) | t.rlike("^(" + "|".join(LOUD) + ")")
     return F.coalesce(~any_of(NO_ERROR) & hit, F.lit(False))
 
 
+def field_changes(before: Column, after: Column, fields: list[str]) -> Column:
+    """``field:before>after`` of the fields of two structs of strings that differ; none where there is no state before."""
+    value = lambda s, f: F.coalesce(s[f], F.lit(""))
+    each = [F.when(before.isNotNull() & ~before[f].eqNullSafe(after[f]), F.concat(F.lit(f"{f}:"), value(before, f), F.lit(">"), value(after, f))) for f in fields]
+    return F.filter(F.array(*each), lambda x: x.isNotNull())
+
+
 def lockouts(logins: DataFrame) -> DataFrame:
     """``(user_id, id, locked)`` of ``logins(user_id, ts, id, ok)``: from the fifth failure in a row an
     account is locked for half an hour; a success resets it, attempts while locked change nothing.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,12 +94,26 @@ def section_hint(line: Column) -> Column:
 
 def top_terms(words: Column, n: int, least: int = 1) -> Column:
     """``array<struct<term, n>>`` of the most frequent of an array of words that occur ``least`` times,
-    earlier ones first where equal. One document is one row, so nothing is shuffled."""
+    earlier ones first where equal. One document is one row, so nothing is shuffled.
+
+    The words are sorted with their places, so equal ones stand together: a run's start has its
+    first place, and its length is the count. Null words do not count, a null array has none.
+    """
+    held = F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda w: w.isNotNull())
+    ordered = F.array_sort(F.transform(held, lambda w, i: F.struct(w.alias("term"), i.alias("at"))))
+
+    def counted(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+        return _let(starts, lambda a: F.transform(a, lambda i, k: F.struct((i - F.coalesce(F.get(a, k + 1), F.size(s))).alias("less"), F.get(s, i)["at"].alias("at"), F.get(s, i)["term"].alias("term"))))
+
+    best = F.slice(F.array_sort(_let(ordered, counted)), 1, n)
+    return F.transform(F.filter(best, lambda r: -r["less"] >= least), lambda r: F.struct(r["term"].alias("term"), (-r["less"]).cast("long").alias("n")))
 
-    def run(found: list | None) -> list:
-        return [(w, c) for w, c in Counter(found or []).most_common(n) if c >= least]
 
-    return F.udf(run, "array<struct<term: string, n: long>>", useArrow=True)(words)
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def format_bytes(n: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,22 +14,26 @@ from kbspark.operators.retrieval import let
 
 #: Fixed parameters: how many times the limit is recalled, and weights of history search.
 RECALL, LEXICAL, SEMANTIC, NEAREST = 3, 1.0, 1.5, 10
-MOST_QUERIES = 1000
+BLOCK_QUERIES = 1000
 
 
 def knn_join(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, vec_id, rank, score)``: for each of ``queries(query_id, q)`` the ``k`` rows nearest by
     cosine, ties by id.
 
-    The queries are a stated set of at most ``MOST_QUERIES``, counted before they are broadcast; larger
-    sets are to be searched in parts. Ranks are cut before the shuffle, so each task sends k rows a query.
+    The queries are a stated set of any size, broadcast in blocks of about ``BLOCK_QUERIES``, whose number
+    is counted first. Ranks are cut before the shuffle, so each task sends k rows a query. Every
+    query is held against every row; ``operators.cells`` visits only the cells that matter.
     """
-    if (n := queries.limit(MOST_QUERIES + 1).count()) > MOST_QUERIES:
-        raise ValueError(f"{n} or more queries; search them in parts of {MOST_QUERIES}")
-    scored = rows.select(id_col, vec_col).crossJoin(F.broadcast(queries.select("query_id", "q")))
-    scored = scored.select("query_id", id_col, retrieval.cosine(F.col(vec_col), F.col("q")).alias("score"))
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), id_col))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    found = []
+    for i in range(blocks):
+        block = queries.select("query_id", "q").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        scored = rows.select(id_col, vec_col).crossJoin(F.broadcast(block))  # a stated query set, in blocks
+        scored = scored.select("query_id", id_col, retrieval.cosine(F.col(vec_col), F.col("q")).alias("score"))
+        found.append(scored.withColumn("rank", rank).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, found)
 
 
 def rerank(hits: DataFrame, model: Column | None = None, content: str = "content", id_col: str = "doc_id") -> DataFrame:

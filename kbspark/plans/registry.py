@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbspark.plans import documents, files, more_rules, native, operations, rules, search  # noqa: F401  (they register their queries)
+from kbspark.plans import documents, files, indexed, inputs, more_rules, native, operations, rules, search, structures  # noqa: F401  (they register their queries)
 from kbspark.plans.portable import PORTABLE as FIRST
 from kbspark.plans.portable_more import PORTABLE as MORE
 from kbspark.sources.tables import TABLES, load

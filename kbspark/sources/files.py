@@ -47,8 +47,10 @@ def csv_tables(texts: DataFrame) -> DataFrame:
 
 
 def xlsx(files: DataFrame) -> DataFrame:
-    sheets = F.udf(formats.xlsx_sheets, "array<struct<sheet: string, rows: array<array<string>>>>", useArrow=True)
-    return files.select("path", F.posexplode(sheets("content")).alias("sheet_index", "s")).select("path", "sheet_index", "s.sheet", "s.rows")
+    """A row for each sheet in the workbook's order, with its numbers of merged ranges, formulas and images."""
+    flags = "struct<merged: int, formulas: int, images: int>"
+    sheets = F.udf(formats.xlsx_sheets, f"array<struct<sheet: string, rows: array<array<string>>, flags: {flags}>>", useArrow=True)
+    return files.select("path", F.posexplode(sheets("content")).alias("sheet_index", "s")).select("path", "sheet_index", "s.sheet", "s.rows", "s.flags.*")
 
 
 def docx(files: DataFrame) -> DataFrame:
@@ -57,8 +59,9 @@ def docx(files: DataFrame) -> DataFrame:
 
 
 def pptx(files: DataFrame) -> DataFrame:
-    parsed = F.udf(formats.pptx_slides, "array<struct<title: string, body: string>>", useArrow=True)
-    return files.select("path", F.posexplode(parsed("content")).alias("slide", "s")).select("path", "slide", "s.title", "s.body")
+    """A row for each slide in the deck's order, with its speaker's notes and tables."""
+    parsed = F.udf(formats.pptx_slides, "array<struct<title: string, body: string, notes: string, tables: array<array<array<string>>>>>", useArrow=True)
+    return files.select("path", F.posexplode(parsed("content")).alias("slide", "s")).select("path", "slide", "s.*")
 
 
 def pdf(files: DataFrame) -> DataFrame:

@@ -154,47 +154,114 @@ def _text(e: ET.Element) -> str:
     return "".join(x.text or "" for x in e.iter() if _local(x) == "t")
 
 
-def xlsx_sheets(data: bytes | None) -> list[tuple[str, list[list[str]]]]:
-    """``(name, rows)`` of the sheets of a workbook, blank rows left out; a broken file has none."""
+def _related(file: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """``id -> (kind, part)`` of the relations of a part; those that lead out of the file are left out."""
+    folder, name = part.rsplit("/", 1) if "/" in part else ("", part)
+    rels = f"{folder}/_rels/{name}.rels".lstrip("/")
+    if rels not in file.namelist():
+        return {}
+    out = {}
+    for e in ET.fromstring(file.read(rels)):
+        if e.attrib.get("TargetMode") != "External":
+            target = e.attrib.get("Target", "")
+            steps = [] if target.startswith("/") else folder.split("/")
+            for step in target.split("/"):
+                steps = steps[:-1] if step == ".." else [*steps, step] if step not in ("", ".") else steps
+            out[e.attrib.get("Id", "")] = (e.attrib.get("Type", "").rsplit("/", 1)[-1], "/".join(steps))
+    return out
+
+
+def _ordered(file: zipfile.ZipFile, main: str, tag: str, numbered: str) -> list[tuple[dict, str]]:
+    """``(attributes, part)`` of the elements ``tag`` of a main part, in its order, by their relation.
+    Files without relations or main part have their numbered parts in the order of their numbers."""
+    names = sorted((n for n in file.namelist() if re.fullmatch(numbered, n)), key=lambda n: int(re.search("[0-9]+", n)[0]))
+    listed = [e.attrib for e in ET.fromstring(file.read(main)).iter() if _local(e) == tag] if main in file.namelist() else []
+    related = _related(file, main)
+    if related:
+        found = [(a, related.get(next((v for k, v in a.items() if k.endswith("}id")), ""), ("", ""))[1]) for a in listed]
+        return [(a, part) for a, part in found if part in file.namelist()]
+    return list(zip(listed, names, strict=False)) if listed else [({}, n) for n in names]
+
+
+def column_of(reference: str) -> int:
+    """The column's number from 0 of a cell reference as ``AB12``, -1 where it names none."""
+    at = 0
+    for letter in re.match("[A-Z]*", reference)[0]:
+        at = at * 26 + ord(letter) - 64
+    return at - 1
+
+
+def xlsx_sheets(data: bytes | None) -> list[tuple[str, list[list[str]], dict]]:
+    """``(name, rows, flags)`` of the sheets of a workbook in its order, blank rows left out; a broken file has none.
+
+    The cells of a merged range all have the value of its first one. ``flags``: how many merged
+    ranges, formulas and images the sheet has.
+    """
     file = _parts(data)
     if file is None or "xl/workbook.xml" not in file.namelist():
         return []
     shared = [_text(e) for e in ET.fromstring(file.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in file.namelist() else []
-    names = [e.attrib.get("name", "") for e in ET.fromstring(file.read("xl/workbook.xml")).iter() if _local(e) == "sheet"]
-    sheets = sorted((n for n in file.namelist() if re.fullmatch(r"xl/worksheets/sheet[0-9]+\.xml", n)), key=lambda n: int(re.search("[0-9]+", n)[0]))
     out = []
-    for name, sheet in zip(names, sheets, strict=False):
-        rows = []
-        for row in (e for e in ET.fromstring(file.read(sheet)).iter() if _local(e) == "row"):
-            cells: dict[int, str] = {}
+    for attributes, sheet in _ordered(file, "xl/workbook.xml", "sheet", r"xl/worksheets/sheet[0-9]+\.xml"):
+        tree = ET.fromstring(file.read(sheet))
+        merged = [e.attrib.get("ref", "") for e in tree.iter() if _local(e) == "mergeCell"]
+        rows: dict[int, dict[int, str]] = {}
+        for row in (e for e in tree.iter() if _local(e) == "row"):
+            y = int(row.attrib.get("r", len(rows) + 1))
+            cells = rows.setdefault(y, {})
             for c in (e for e in row if _local(e) == "c"):
-                at = 0
-                for letter in re.match("[A-Z]*", c.attrib.get("r", ""))[0]:
-                    at = at * 26 + ord(letter) - 64
+                place = column_of(c.attrib.get("r", ""))
                 value = next((e.text or "" for e in c if _local(e) == "v"), _text(c))
-                place = at - 1 if at else len(cells)
-                cells[place] = shared[int(value)] if c.attrib.get("t") == "s" and value else value
-            if any(v.strip() for v in cells.values()):
-                rows.append([cells.get(i, "") for i in range(max(cells) + 1)])
-        out.append((name, rows))
+                cells[place if place >= 0 else len(cells)] = shared[int(value)] if c.attrib.get("t") == "s" and value else value
+        for ref in merged:
+            (x, y), (to_x, to_y) = ((column_of(r), int(re.search("[0-9]+", r)[0])) for r in (ref.split(":") * 2)[:2])
+            value = rows.get(y, {}).get(x, "")
+            for line in [n for n in rows if y <= n <= to_y]:
+                rows[line].update(dict.fromkeys(range(x, to_x + 1), value))
+        drawn = [part for kind, part in _related(file, sheet).values() if kind == "drawing" and part in file.namelist()]
+        images = sum(kind == "image" for part in drawn for kind, _ in _related(file, part).values())
+        formulas = sum(_local(e) == "f" for e in tree.iter())
+        kept = [[r.get(i, "") for i in range(max(r) + 1)] for _, r in sorted(rows.items()) if any(v.strip() for v in r.values())]
+        out.append((attributes.get("name", ""), kept, {"merged": len(merged), "formulas": formulas, "images": images}))
     return out
 
 
+#: Styles of the lines of a table of contents, as word processors name them.
+TOC_STYLE = re.compile(r"(?i)^(toc|contents|verzeichnis|tdm)[ ]?[0-9]*$|^toc ?heading$")
+
+
 def docx_elements(data: bytes | None) -> list[tuple[str, str, str, list[list[str]]]]:
-    """``(type, style, text, cells)`` of the paragraphs and tables of a document in order."""
+    """``(type, style, text, cells)`` of the paragraphs, tables and images of a document in order; an
+    image's text is the name of its part. Tables of contents, by field or by style, are left out."""
     file = _parts(data)
     if file is None or "word/document.xml" not in file.namelist():
         return []
     body = next((e for e in ET.fromstring(file.read("word/document.xml")) if _local(e) == "body"), [])
+    related = _related(file, "word/document.xml")
     out = []
-    for e in body:
-        if _local(e) == "p":
-            style = next((v for x in e.iter() if _local(x) == "pStyle" for k, v in x.attrib.items() if k.endswith("val")), "")
-            if _text(e).strip():
-                out.append(("text", style, _text(e).strip(), []))
-        elif _local(e) == "tbl":
-            rows = [[_text(c).strip() for c in r if _local(c) == "tc"] for r in e if _local(r) == "tr"]
-            out.append(("table", "", "", rows))
+
+    def images(e: ET.Element) -> None:
+        for x in e.iter():
+            if _local(x) in ("blip", "imagedata"):
+                kind, part = related.get(next((v for k, v in x.attrib.items() if k.endswith(("}embed", "}id"))), ""), ("", ""))
+                if kind == "image":
+                    out.append(("image", "", part, []))
+
+    def visit(blocks) -> None:
+        for e in blocks:
+            if _local(e) == "sdt":  # a block of its own, unless it is a table of contents
+                if not any(_local(x) == "docPartGallery" and "Contents" in "".join(x.attrib.values()) for x in e.iter()):
+                    visit(next((x for x in e if _local(x) == "sdtContent"), []))
+            elif _local(e) == "p":
+                style = next((v for x in e.iter() if _local(x) == "pStyle" for k, v in x.attrib.items() if k.endswith("val")), "")
+                if _text(e).strip() and not TOC_STYLE.match(style):
+                    out.append(("text", style, _text(e).strip(), []))
+                images(e)
+            elif _local(e) == "tbl":
+                out.append(("table", "", "", [[_text(c).strip() for c in r if _local(c) == "tc"] for r in e if _local(r) == "tr"]))
+                images(e)
+
+    visit(body)
     return out
 
 
@@ -208,19 +275,31 @@ def slide_texts(shapes: list[tuple[str, bool]]) -> tuple[str, str]:
     return title, "\n".join(t for i, (t, _) in enumerate(shapes) if i != at)
 
 
-def pptx_slides(data: bytes | None) -> list[tuple[str, str]]:
-    """``(title, body)`` of the slides of a presentation in order."""
+def pptx_slides(data: bytes | None) -> list[tuple[str, str, str, list[list[list[str]]]]]:
+    """``(title, body, notes, tables)`` of the slides of a presentation, in the order of the deck."""
     file = _parts(data)
-    names = [n for n in file.namelist() if re.fullmatch(r"ppt/slides/slide[0-9]+\.xml", n)] if file else []
+    if file is None:
+        return []
     out = []
-    for name in sorted(names, key=lambda n: int(re.search("[0-9]+", n)[0])):
-        shapes = []
-        for shape in (e for e in ET.fromstring(file.read(name)).iter() if _local(e) == "sp"):
-            kinds = [x.attrib.get("type", "") for x in shape.iter() if _local(x) == "ph"]
+    for _, name in _ordered(file, "ppt/presentation.xml", "sldId", r"ppt/slides/slide[0-9]+\.xml"):
+        tree = ET.fromstring(file.read(name))
+        title, body = slide_texts(_shapes(tree))
+        tables = [[[_text(c).strip() for c in r if _local(c) == "tc"] for r in t if _local(r) == "tr"] for t in tree.iter() if _local(t) == "tbl"]
+        noted = [part for kind, part in _related(file, name).values() if kind == "notesSlide" and part in file.namelist()]
+        notes = "\n".join(t.strip() for part in noted for t, kind in _shapes(ET.fromstring(file.read(part)), "body") if t.strip())
+        out.append((title, body, notes, tables))
+    return out
+
+
+def _shapes(tree: ET.Element, only: str | None = None) -> list[tuple[str, bool]]:
+    """``(text, is_title)`` of the shapes with text; with ``only`` those whose place holder is of this kind."""
+    shapes = []
+    for shape in (e for e in tree.iter() if _local(e) == "sp"):
+        kinds = [x.attrib.get("type", "") for x in shape.iter() if _local(x) == "ph"]
+        if only is None or only in kinds:
             words = "\n".join(_text(p) for p in shape.iter() if _local(p) == "p")
             shapes.append((words, any(k in ("title", "ctrTitle") for k in kinds)))
-        out.append(slide_texts(shapes))
-    return out
+    return shapes
 
 
 def pdf_texts(data: bytes | None) -> list[str]:

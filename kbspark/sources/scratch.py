@@ -5,16 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of ``spark.checkpoint.dir``; a temporary folder of this machine
     serves only where Spark runs on this machine alone."""
-    conf = spark.sparkContext.getConf()
-    shared = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="kbspark-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kbspark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` materialised in the shared folder, its partitions and their order kept."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
