@@ -220,12 +220,13 @@ def terms_of(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bounds(touched: DataFrame, weights: DataFrame, n: int, total: int) -> DataFrame:
-    """``(q, shard, bound)``: what no document of the shard surpasses. The greatest contribution of a
-    term in a shard is found from the surpassed-by-none pairs alone, without its list."""
+    """``(q, shard, bound, least_id)``: what no document of the shard surpasses, and the least id in it. The
+    greatest contribution of a term in a shard is found from the surpassed-by-none pairs alone, without its list."""
     part = F.expr(f"transform(arrays_zip(most, least), p -> (1000000000L * p.most) div (1000L * p.most + 8 * (25 + ((75L * p.least * {n}L) div {total}L))))")
     best = touched.where("term <> X''").select("shard", "term", F.array_max(part).alias("best"))
     both = best.join(weights, "term")
-    return both.groupBy("q", "shard").agg(F.sum(F.col("weight") * F.col("best")).alias("bound"))
+    sums = both.groupBy("q", "shard").agg(F.sum(F.col("weight") * F.col("best")).alias("bound"))
+    return sums.join(touched.where("term = X''").select("shard", F.array_min("docs").alias("least_id")), "shard")
 
 
 def scored(touched: DataFrame, asked: DataFrame, weights: dict[int, list[tuple[bytes, int]]], n: int, total: int, k: int) -> DataFrame:
@@ -273,9 +274,9 @@ def best(rows: DataFrame, k: int) -> DataFrame:
 def search_block(held: DataFrame, asked: DataFrame, n: int, total: int, k: int) -> DataFrame:
     """``(q, rank, doc_id, score)`` for a block of items ``asked(q, term, times)``, by rounds of visits.
 
-    An item visits its shards by descending bound. Once the best ``k`` scores found are known, a shard
-    whose bound is below the last of them can be left out, with all that come behind; one whose bound
-    equals it may still hold a lesser id. So the rounds stop exactly.
+    An item visits its shards by descending bound, of equal ones those with the least ids first. Once the best ``k``
+    scores found are known, a shard can be left out whose bound is below the last of them, or equals it
+    while all of the shard's ids are greater. So the rounds stop exactly, also where very many documents score the same.
     """
     spark = held.sparkSession
     touched = stored(held.join(asked.select("term").distinct(), "term", "left_semi").unionByName(held.where("term = X''")))
@@ -288,21 +289,22 @@ def search_block(held: DataFrame, asked: DataFrame, n: int, total: int, k: int)
     if not sent:
         return best(spark.createDataFrame([], f"q long, doc_id {held.schema['docs'].dataType.elementType.simpleString()}, score long"), k)
     limit = stored(bounds(touched, weights, n, total))
-    state = [(q, None, None, 1) for q in sent]  # item, bound and shard visited last, score to reach
-    found, visit = None, FIRST_VISIT
+    kind = held.schema["docs"].dataType.elementType.simpleString()
+    state: list[tuple] = [(q, 1, None) for q in sent]  # item, score to reach, id that has it last
+    found, visited, visit = None, None, FIRST_VISIT
     while True:
-        seen = spark.createDataFrame(state, "q long, last long, shard_ long, reach long")
-        left = limit.join(F.broadcast(seen), "q").where("bound >= reach and (last is null or bound < last or (bound = last and shard > shard_))")
-        order = W.partitionBy("q").orderBy(F.desc("bound"), "shard")
-        asks = cut(left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= visit).select("q", "shard", "bound"))
-        lasts = asks.groupBy("q").agg(F.max(F.struct((-F.col("bound")).alias("b"), "shard")).alias("l")).select("q", (-F.col("l.b")).alias("b"), "l.shard").collect()
-        if not lasts:
-            return found
+        seen = spark.createDataFrame(state, f"q long, reach long, reach_id {kind}")
+        rest = limit if visited is None else limit.join(visited, ["q", "shard"], "left_anti")
+        left = rest.join(F.broadcast(seen), "q").where("bound > reach or (bound = reach and (reach_id is null or least_id < reach_id))")
+        order = W.partitionBy("q").orderBy(F.desc("bound"), F.asc_nulls_last("least_id"), "shard")
+        asks = cut(left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= visit).select("q", "shard"))
+        if asks.isEmpty():
+            return found if found is not None else best(spark.createDataFrame([], f"q long, doc_id {kind}, score long"), k)
         new = scored(touched, asks, sent, n, total, k)
         found = cut(best(new if found is None else new.unionByName(found.select(*new.columns)), k))
-        reach = {r["q"]: r["s"] for r in found.where(F.col("rank") == k).select("q", F.col("score").alias("s")).collect()}
-        state = [(r["q"], r["b"], r["shard"], max(1, reach.get(r["q"], 1))) for r in lasts]
-        visit *= 4
+        reach = {r["q"]: (r["score"], r["doc_id"]) for r in found.where(F.col("rank") == k).collect()}
+        state = [(q, *reach.get(q, (1, None))) for q in sent]
+        visited, visit = asks if visited is None else visited.unionByName(asks), visit * 4
 
 
 def search(held: DataFrame, items: DataFrame, k: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:

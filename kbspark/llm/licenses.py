@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kbspark.llm.common import keyed_text, table, utf8
 from kbspark.llm.bpe import slices
@@ -179,5 +180,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base places, labels of exact and fuzzy finds, and the closest find's score for each document."""
-    return scan(table(spark, sf_dir, "documents")).drop("spans")
+    """Base places, labels of exact and fuzzy finds, and the closest find's score for each document; ``spans`` has
+    what the fuzzy search reports as ``label:first word:last word:errors``, comma-joined."""
+    found = scan(table(spark, sf_dir, "documents"))
+    one = lambda s: F.concat_ws(":", s["label"], s["first"], s["last"], s["errors"])
+    return found.withColumn("spans", F.array_join(F.transform("spans", one), ","))

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from kbspark.llm.bpe import slices
 from kbspark.llm.common import cut, keyed_text, strings, table
@@ -245,12 +246,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     votes, counts = np.array([r["votes"] for r in counted], float), np.array([r["count"] for r in counted], float)
     post, _, _ = reliabilities(votes, counts, kinds=[r["kind"] for r in counted])
     number = {(r["kind"], tuple(r["votes"])): i for i, r in enumerate(counted)}
-    pattern = F.concat_ws(":", "c.kind", F.array_join(F.col("c.votes").cast("array<string>"), ","))
-    rate = F.create_map(*[F.lit(v) for r in counted for v in (f"{r['kind']}:{','.join(map(str, r['votes']))}", min(1.0, FIT_PER_PATTERN / r["count"]))])
-    draw = F.xxhash64("doc_id", "c.start", "c.end", "c.kind").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    sample = each.where(draw < rate[pattern]).select("c.kind", "c.votes", "c.x").collect()
-    if not sample:  # so few candidates that the hash drew none: all of them
-        sample = each.select("c.kind", "c.votes", "c.x").collect()
+    # At most so many of each pattern, by a hash of the place; a row's own number parts repeated rows.
+    rows_ = seen.select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode("cand").alias("c"))
+    order = W.partitionBy("c.kind", "c.votes").orderBy(F.xxhash64("doc_id", "c.start", "c.end", "c.kind"), F.xxhash64("row"))
+    drawn_ = rows_.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIT_PER_PATTERN)
+    sample = drawn_.select("c.kind", "c.votes", "c.x").collect()
     which = np.array([number[r["kind"], tuple(r["votes"])] for r in sample])
     x = design([r["kind"] for r in sample], np.array([r["x"] for r in sample]), np.array([r["votes"] for r in sample], float))
     drawn = np.bincount(which, minlength=len(counts))

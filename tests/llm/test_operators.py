@@ -370,7 +370,34 @@ def test_line_dedup_of_passages_with_scattered_holders(spark):
     assert got[200] == ("own words" + "\n " * 11, 12)
 
 
+def plain_windows(doc):
+    """First and last line of the shortest runs of 20 words from each line on and up to each line, with the
+    count of equal runs before."""
+    words = [len(x.split()) for x in doc]
+    spans = set()
+    for i in range(len(doc)):
+        spans |= {(i, next(j for j in range(i, len(doc)) if sum(words[i : j + 1]) >= 20))} if sum(words[i:]) >= 20 else set()
+        spans |= {(next(j for j in range(i, -1, -1) if sum(words[j : i + 1]) >= 20), i)} if sum(words[: i + 1]) >= 20 else set()
+    seen, out = {}, []
+    for a, z in sorted(spans):
+        run = tuple(doc[a : z + 1])
+        out.append((a, z, (run, seen.get(run, 0))))
+        seen[run] = seen.get(run, 0) + 1
+    return out
+
+
+def longest_rise(found):
+    """The greatest number of shared windows' lines that rise in both documents, by comparing all."""
+    pairs = sorted({(a + k, at + k) for a, z, at in found for k in range(z - a + 1)})
+    best = [1] * len(pairs)
+    for i, (a, at) in enumerate(pairs):
+        best[i] = 1 + max((best[j] for j in range(i) if pairs[j][0] < a and pairs[j][1] < at), default=0)
+    return max(best, default=0)
+
+
 def test_line_dedup_brute_force(spark):
+    """Per partner the aligned blocks rise in both documents, hold equal lines and as many starts of runs as can rise;
+    where nothing crosses they are all that the two have in common."""
     rng = random.Random(5)
     pool = [" ".join(f"l{i}w{k}" for k in range(rng.choice([1, 1, 2, 4, 7, 11, 25]))) for i in range(30)]
     docs = []
@@ -380,39 +407,64 @@ def test_line_dedup_brute_force(spark):
             at = rng.randrange(30)
             doc += pool[at : at + rng.randrange(1, 12)] + [f"own{rng.randrange(10**6)}"] * rng.randrange(2)
         docs.append(doc)
-    want = {}
-    for i, doc in enumerate(docs):
-        gone = set()
-        for earlier in docs[:i]:
-            for a in range(len(doc)):
-                for b in range(len(earlier)):
-                    n = 0
-                    while a + n < len(doc) and b + n < len(earlier) and doc[a + n] == earlier[b + n]:
-                        n += 1
-                    if sum(len(x.split()) for x in doc[a : a + n]) >= linededup.MIN_WORDS:
-                        gone.update(range(a, a + n))
-        want[i] = ("\n".join(x for k, x in enumerate(doc) if k not in gone), len(gone))
     frame = spark.createDataFrame([(i, "\n".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
-    assert {r.doc_id: (r.text, r.n_lines_deleted) for r in linededup.dedup_lines(frame).collect()} == want
+    got = {r.doc_id: r for r in linededup.dedup_lines(frame, blocks=True).collect()}
+    holder, crossed = {}, 0
+    for i, doc in enumerate(docs):
+        pairs = {}
+        for a, z, key in plain_windows(doc):
+            if holder.setdefault(key, (i, a))[0] != i:
+                pairs.setdefault(holder[key][0], []).append((a, z, holder[key][1]))
+        gone, blocks = set(), got[i].deleted_blocks or []
+        for b in blocks:
+            assert doc[b.first : b.last + 1] == docs[b.doc_id][b["at"] : b["at"] + b.last - b.first + 1]
+            gone |= set(range(b.first, b.last + 1))
+        for partner, found in pairs.items():
+            mine = sorted((b.first, b["at"], b.last) for b in blocks if b.doc_id == partner)
+            assert all(x[2] < y[0] and x[1] + x[2] - x[0] < y[1] for x, y in zip(mine, mine[1:], strict=False))
+            pairs = {(a + k, at + k) for a, z, at in found for k in range(z - a + 1)}
+            path = [(a, -at) for a, at in sorted((a, -at) for a, at in pairs)]
+            path = [path[k] for k in linededup.rising([at for _, at in path])]
+            rising = longest_rise(found)
+            assert len(path) == rising and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(path, path[1:], strict=False))
+            deleted = {(f + k, p + k) for f, p, e in mine for k in range(e - f + 1)}
+            assert deleted <= set(path)
+            crossed += rising < len(pairs)
+            if rising == len(pairs):
+                assert deleted == pairs
+        assert (got[i].text, got[i].n_lines_deleted) == ("\n".join(x for k, x in enumerate(doc) if k not in gone), len(gone))
+    assert crossed > 0
 
 
 def test_line_dedup_aligns_pairs(spark):
-    """The lines of a passage occur alone before, blocks are moved, and the source is reported."""
+    """The lines of a passage occur alone before, and the source is reported."""
     line = [" ".join(f"m{i}x{k}" for k in range(8)) for i in range(9)]
-    rows = [(1, line[0]), (2, line[1]), (3, line[2]), (5, "\n".join(line)), (9, "\n".join(["own", *line[6:9], "mid", *line[:3], line[5]]))]
+    rows = [(1, line[0]), (2, line[1]), (3, line[2]), (5, "\n".join(line)), (9, "\n".join(["own", *line[:3], "mid", *line[6:9], line[5]]))]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in linededup.dedup_lines(frame, blocks=True).collect()}
     assert got[9].text == f"own\nmid\n{line[5]}" and got[9].n_lines_deleted == 6
-    assert sorted((b.first, b.last, b.doc_id, b["at"]) for b in got[9].deleted_blocks) == [(1, 3, 5, 6), (5, 7, 5, 0)]
+    assert sorted((b.first, b.last, b.doc_id, b["at"]) for b in got[9].deleted_blocks) == [(1, 3, 5, 0), (5, 7, 5, 6)]
     assert got[5].text == "\n".join(line)
     rng = random.Random(3)
     for _ in range(200):
         places = [rng.randrange(12) for _ in range(rng.randrange(12))]
-        made = linededup.chains(places)
-        assert sorted(i for c in made for i in c) == list(range(len(places)))
-        assert all(a < b and places[a] < places[b] for c in made for a, b in zip(c, c[1:], strict=False))
-        most = max((len(c) for c in _rising(places)), default=0)
-        assert len(made[0] if made else []) == most
+        made = linededup.rising(places)
+        assert all(a < b and places[a] < places[b] for a, b in zip(made, made[1:], strict=False))
+        assert len(made) == max((len(c) for c in _rising(places)), default=0)
+
+
+def test_line_dedup_leaves_what_the_alignment_leaves(spark, monkeypatch):
+    """Of two blocks that cross the longer one is aligned; a passage that comes twice loses one of its places; and
+    without an alignment nothing is deleted."""
+    long_, short = ([" ".join(f"{c}{i}x{k}" for k in range(8)) for i in range(n)] for c, n in (("l", 8), ("s", 4)))
+    rows = [(1, "\n".join([*long_, "between", *short])), (2, "\n".join([*short, "turned", *long_])), (3, "\n".join([*short, "own", *short]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in linededup.dedup_lines(frame, blocks=True).collect()}
+    assert got[2].text == "\n".join([*short, "turned"]) and [(b.doc_id, b["at"]) for b in got[2].deleted_blocks] == [(1, 0)]
+    assert got[3].text == "\n".join(["own", *short]) and [(b.doc_id, b["at"]) for b in got[3].deleted_blocks] == [(1, 9)]
+    assert linededup.align([(5, 2, 0), (6, 2, 1), (0, 2, 7)]) == [(5, 7, 0)]
+    monkeypatch.setattr(linededup, "rising", lambda places: [])
+    assert linededup.align([(5, 2, 0), (6, 2, 1)]) == []
 
 
 def _rising(places):
@@ -422,6 +474,43 @@ def _rising(places):
     return found
 
 
+def test_near_dedup_misses_no_pair_of_a_large_bucket(spark):
+    """Pairs at 0.84 whose texts all have a common core (0.74 to all others): every bucket is large, every
+    text is near one other only."""
+    rng = random.Random(9)
+    core = [f"core{i}" for i in range(170)]
+    rows = []
+    for i in range(800):
+        pair = [f"p{i}x{k}" for k in range(14)]
+        for j in range(2):
+            rows.append((2 * i + j, " ".join([*core, *pair, *[f"own{rng.randrange(10**9)}" for _ in range(12)]])))
+    sets = [shingles.shingles(t.encode(), 5) for _, t in rows[:4]]
+    likeness = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert likeness(sets[0], sets[1]) > 0.82 and likeness(sets[0], sets[2]) < 0.78
+    got = {r.doc_id for r in shingles.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(range(0, 1600, 2))
+
+
+def test_rest_links_find_all_pairs_whatever_the_blocks(spark):
+    rng = np.random.default_rng(4)
+    sets = {i: np.unique(rng.integers(0, 60, 40).astype("<u8")) for i in range(120)}
+    held = spark.createDataFrame([(i, s.tobytes()) for i, s in sets.items()], "node long, shingles binary")
+    keys = {i: sorted({int(k) for k in rng.integers(0, 5, 2)}) for i in sets}
+    members = spark.createDataFrame([(k, i, i % 7) for i in sets for k in keys[i]], "key long, node long, root long")
+    near = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.45 * len(np.union1d(sets[a], sets[b]))
+    want = {frozenset((a % 7, b % 7)) for a in sets for b in sets if a % 7 != b % 7 and set(keys[a]) & set(keys[b]) and near(a, b)}
+    for size in (10**9, 3000):
+        got = {frozenset((r.a, r.b)) for r in shingles.rest_links(members, held, 0.45, size).collect()}
+        assert want <= got
+
+
+def test_pii_fits_on_a_bounded_sample_of_repeated_rows(spark):
+    """Ten thousand equal rows, of no id too: no more than a fixed number of candidates is collected."""
+    frame = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("contact Mr. John Smith, born 1970-01-12").alias("text"))
+    found = pii.find(frame)
+    assert found.count() == 10_000 and found.select(F.to_json("added").alias("a")).distinct().count() == 1
+
+
 def test_lookup_splits_hot_keys(spark):
     from kbspark.llm.common import lookup
 
