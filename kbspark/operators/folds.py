@@ -29,7 +29,8 @@ def fold(rows: DataFrame, key: str, order: list[str], takes: list[str], start: A
     """
     names = rows.columns
     at, given = names.index(key), [names.index(c) for c in takes]
-    held = checkpointed(rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order))
+    slices_ = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = checkpointed(rows.repartitionByRange(slices_, key, *order).sortWithinPartitions(key, *order))
 
     def follow(batches: Iterator[pa.RecordBatch], entry: Any, report: dict) -> Iterator[tuple[pa.RecordBatch, list]]:
         state, last = entry, None

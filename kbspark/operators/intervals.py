@@ -39,7 +39,6 @@ def nearest(asked: DataFrame, points: DataFrame, on: list[str], at: str, to: str
     right = best.select(*on, F.col(to).alias("place_"), F.lit(0).alias("side_"), F.lit(None).cast(left.schema["row_"].dataType).alias("row_"), place.alias("p_"))
     order = W.partitionBy(*on).orderBy("place_", "side_")
     before = F.last("p_", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    behind = F.first("p_", ignorenulls=True).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
     # One running window each way: the second is a running last over the reversed order.
     behind = F.last("p_", ignorenulls=True).over(W.partitionBy(*on).orderBy(F.desc("place_"), "side_").rowsBetween(W.unboundedPreceding, W.currentRow))
     swept = left.unionByName(right).withColumns({"before_": before, "behind_": behind}).where("side_ = 1")

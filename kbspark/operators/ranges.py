@@ -11,9 +11,11 @@ from pyspark.sql import Window as W
 STALE_SECONDS, EDGE = 300, 1.1
 
 
-def seconds(ts: Column) -> Column:
-    """Seconds since 1970 with fractions, of a timestamp with or without a zone."""
-    return F.unix_micros(ts.cast("timestamp")) / F.lit(1_000_000.0)
+def seconds(rows: DataFrame, ts: str) -> Column:
+    """Seconds since 1970 with fractions; of a timestamp without a zone as its own clock counts them."""
+    if rows.schema[ts].dataType.simpleString() == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts)) / F.lit(1_000_000.0)
+    return F.unix_micros(F.col(ts)) / F.lit(1_000_000.0)
 
 
 def grid(samples: DataFrame, by: list[str], step: int, start: float | None = None, end: float | None = None) -> DataFrame:
@@ -24,14 +26,14 @@ def grid(samples: DataFrame, by: list[str], step: int, start: float | None = Non
     if start is None or end is None:
         return samples.select(*by, F.col("s").alias("t")).where("false")
     first, last = -int(-start // step) * step, int(end // step) * step
-    steps = F.sequence(F.lit(first), F.lit(last), F.lit(step)) if last >= first else F.array().cast("array<int>")
-    return samples.select(*by).distinct().select(*by, F.explode(steps).cast("double").alias("t"))
+    steps = F.sequence(*[F.lit(x).cast("long") for x in (first, last, step)]) if last >= first else F.array().cast("array<long>")
+    return samples.select(*by).distinct().select(*by, F.explode(steps).alias("t")).withColumn("t", F.col("t").cast("double"))
 
 
 def numbered(rows: DataFrame, by: list[str], ts: str, value: str) -> DataFrame:
     """``(by, s, v, up, n)``: samples in seconds, the increase of the counter up to each since the first one, and their
     number. A value below the one before is a reset and counts from zero. Of equal times the greatest value counts."""
-    samples = rows.where(F.col(value).isNotNull() & F.col(ts).isNotNull()).groupBy(*by, seconds(F.col(ts)).alias("s")).agg(F.max(value).alias("v"))
+    samples = rows.where(F.col(value).isNotNull() & F.col(ts).isNotNull()).groupBy(*by, seconds(rows, ts).alias("s")).agg(F.max(value).alias("v"))
     order = W.partitionBy(*by).orderBy("s")
     prior = F.lag("v").over(order)
     gain = F.when(prior.isNull(), 0.0).when(F.col("v") >= prior, F.col("v") - prior).otherwise(F.col("v"))
@@ -39,7 +41,7 @@ def numbered(rows: DataFrame, by: list[str], ts: str, value: str) -> DataFrame:
 
 
 def range_rate(rows: DataFrame, by: list[str], window: int, step: int, ts: str = "ts", value: str = "value", start: float | None = None, end: float | None = None) -> DataFrame:
-    """``(by, t, rate)``: the increase a second over the ``window`` seconds before each step, the step included.
+    """``(by, t, rate)``: the increase a second over the ``window`` seconds up to each step, both ends included.
 
     The increase between the first and the last sample of the range, resets counted, is extended to its edges where the
     samples reach near them, by half the mean distance else, and never below a counter of zero.
@@ -57,8 +59,8 @@ def range_rate(rows: DataFrame, by: list[str], window: int, step: int, ts: str =
     points = held.select(*by, F.lit(None).cast("double").alias("t"), F.col("s").alias("place"), F.lit(0).alias("side"), sample.alias("p"))
     rows_ = points.unionByName(probes[0]).unionByName(probes[1])
     upto = F.last("p", ignorenulls=True).over(W.partitionBy(*by).orderBy("place", "side").rowsBetween(W.unboundedPreceding, W.currentRow))
-    # Behind the left edge: in the reversed order the edge comes before samples at its own place.
-    after = F.last("p", ignorenulls=True).over(W.partitionBy(*by).orderBy(F.desc("place"), F.desc("side")).rowsBetween(W.unboundedPreceding, W.currentRow))
+    # From the left edge on: in the reversed order samples at its own place come before it as well.
+    after = F.last("p", ignorenulls=True).over(W.partitionBy(*by).orderBy(F.desc("place"), "side").rowsBetween(W.unboundedPreceding, W.currentRow))
     found = rows_.withColumns({"upto": upto, "after": after}).where("side > 0")
     ends = found.groupBy(*by, "t").agg(F.max(F.when(F.col("side") == 1, F.col("upto"))).alias("z"), F.max(F.when(F.col("side") == 2, F.col("after"))).alias("a"))
     ends = ends.where("z.n > a.n")

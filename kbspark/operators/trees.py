@@ -55,8 +55,8 @@ def subtree_sums(nodes: DataFrame, value: Column, id_col: str = "id", parent_col
     node whose pointer of 2^k steps leads here come next. Nodes on cycles and below are left out.
     """
     sound = levels(nodes, id_col, parent_col).where("root IS NOT NULL").select("id")
-    base = nodes.groupBy(F.col(id_col).alias("id")).agg(F.sum(value).alias("total"), F.min(parent_col).alias("up"))
-    rows = checkpointed(base.join(sound, "id", "left_semi"))
+    base = nodes.groupBy(F.col(id_col).alias("id")).agg(F.sum(value).alias("total"))
+    rows = checkpointed(base.join(sound, "id", "left_semi").join(_known(nodes, id_col, parent_col), "id"))
     while True:
         sums = rows.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("more"), F.count("*").alias("n_"))
         if sums.isEmpty():
@@ -66,7 +66,6 @@ def subtree_sums(nodes: DataFrame, value: Column, id_col: str = "id", parent_col
         moved = join_found(rows.where("up IS NOT NULL"), ups.join(hot, "up"), ["up"], "n_").select("id", "total", F.col("next").alias("up"))
         stay = rows.where("up IS NULL").select("id", "total", "up")
         both = stay.unionByName(moved).join(sums.select("id", "more"), "id", "left")
-        # A pointer to no node at all ends the chain here.
         rows = checkpointed(both.select("id", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"), "up"))
 
 

@@ -15,7 +15,7 @@ from kbspark.plans.more_rules import _han
 from kbspark.plans.native import BM25, TERMS, TOK, _probe, on, query
 from kbspark.plans.rules import _intent
 from kbspark.plans.search import HYBRID, NEAR
-from kbspark.sources import files
+from kbspark.sources import files, pdfpages, sinks
 from kbspark.sources.tables import load
 
 
@@ -90,7 +90,7 @@ def truth(value: Column, number: Column | None = None) -> Column:
 on("I14_truths", "lineitem", "SELECT l_orderkey, l_linenumber, l_tax <> 0 AS by_number, substring(CAST(l_quantity AS VARCHAR), 1, 1) = '1' AS by_digit, l_linestatus = 'O' AS by_word FROM lineitem",
     lambda: ["l_orderkey", "l_linenumber", truth(F.lit("no"), c("l_tax")).alias("by_number"), truth(F.substring(c("l_quantity").cast("string"), 1, 1)).alias("by_digit"), truth(text(c("l_linestatus"), F.when(c("l_linestatus") == "O", "N").otherwise("FF"))).alias("by_word")])
 on("I20_sha512_digest", "part", None, lambda: ["p_partkey", V.hashed(c("p_name"), "sha512").alias("sha512")])
-on("I22_page_files", "pages", r"SELECT page_id, lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1) || '.' || CASE WHEN length(url) % 2 = 0 THEN 'PDF' ELSE 'exe' END, '[^/]\.([^./]+)$', 1)) AS ext, length(url) % 2 = 0 AS allowed FROM pages WHERE regexp_extract(url, '([^/]*)$', 1) <> ''",
+on("I22_page_files", "pages", r"SELECT page_id, lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1) || '.' || CASE WHEN length(url) % 2 = 0 THEN 'PDF' ELSE 'exe' END, '[^/]\.([^./]+)$', 1)) AS ext, length(url) % 2 = 0 AND regexp_extract(url, '([^/]*)$', 1) <> '' AS allowed FROM pages",
     lambda: ["page_id", *[f(text("d/", F.regexp_extract("url", "([^/]*)$", 1), ".", F.when(F.length("url") % 2 == 0, "PDF").otherwise("exe"))).alias(n) for n, f in (("ext", V.extension), ("allowed", V.allowed_type))]])
 on("A14_varied_schemas", "orders", """
     SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '{"properties": {"a": {"items": {"type": "integer"}, "type": "array"}}, "type": "object"}' WHEN 'O' THEN '{"properties": {"s": {"type": "string"}}, "type": "object"}' ELSE '{"properties": {"n": {"type": "number"}}, "type": "object"}' END AS schema FROM orders""",
@@ -124,3 +124,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     least = {"any other": 0.3}
     found = [search.search(docs, rows, " ".join(TERMS), probe, mode, 10, least.get(mode, 0.0)).select(F.lit(mode).alias("mode"), "doc_id", F.round("score", 5).alias("score")) for mode in ("keyword", "vector", "any other", "exact")]
     return reduce(DataFrame.unionByName, found)
+
+
+@query("A10_pdf_pages", r"SELECT conv_id, turn, len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) AS lines, md5(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS h FROM conversations WHERE regexp_matches(text, '[A-Za-z0-9]')")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a page of lines, written and read again in reading order."""
+    turns = load(spark, sf_dir, "conversations").where(c("text").rlike("[A-Za-z0-9]"))
+    made = turns.select(text(c("conv_id"), "/", c("turn")).alias("path"), sinks.pdf_file(F.split("text", "\n")).alias("content"))
+    read = pdfpages.page_lines(made).groupBy("path").agg(F.count("*").alias("lines"), F.array_sort(F.collect_list(F.struct("page", "line", "text"))).alias("l"))
+    body = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["text"]), ""), "[^A-Za-z0-9]", "")
+    part = lambda i: F.split("path", "/")[i].cast("long")
+    return read.select(part(0).alias("conv_id"), part(1).alias("turn"), "lines", F.md5(body).alias("h"))

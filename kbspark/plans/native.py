@@ -22,6 +22,9 @@ STOPS = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    if name in QUERIES:
+        raise ValueError(f"{name} is registered already")
+
     def put(run: Query) -> Query:
         QUERIES[name] = run
         if sql:
@@ -150,7 +153,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("p_brand", "part_index").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_key"))
 
 
-on("D36_first_element", "conversations", "SELECT conv_id, turn FROM conversations WHERE turn = 0", lambda: ["conv_id", "turn"])
 QUERIES["D36_first_element"] = lambda s, d: (
     load(s, d, "conversations").withColumn("rn", F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))).where("rn = 1").select("conv_id", "turn")
 )
@@ -198,9 +200,8 @@ def _time() -> Column:
 
 on("D47_time_estimate", "documents", "SELECT doc_id, CASE WHEN t < 60 THEN CAST(CAST(floor(t) AS BIGINT) AS VARCHAR) || 's' ELSE CAST(CAST(floor(t / 60) AS BIGINT) AS VARCHAR) || 'm' END AS estimate FROM (SELECT doc_id, 10 + n_chars / 1000 AS t FROM documents)", lambda: ["doc_id", F.when(_time() < 60, F.concat(F.floor(_time()).cast("string"), F.lit("s"))).otherwise(F.concat(F.floor(_time() / 60).cast("string"), F.lit("m"))).alias("estimate")])
 on("D48_hashes", "documents", "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents", lambda: ["doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256")])
-on("D49_highlight", "documents", "SELECT doc_id, replace(substring(text, CAST(greatest(strpos(text, 'License') - 30, 1) AS BIGINT), 150), 'License', '<mark>License</mark>') AS fragment FROM documents WHERE contains(text, 'License')", lambda: ["doc_id"])
-QUERIES["D49_highlight"] = lambda s, d: (
-    load(s, d, "documents").where(doc().contains("License")).select("doc_id", F.replace(F.substring(doc(), F.greatest(F.instr(doc(), "License") - 30, F.lit(1)), F.lit(150)), F.lit("License"), F.lit("<mark>License</mark>")).alias("fragment"))
+query("D49_highlight", "SELECT doc_id, replace(substring(text, CAST(greatest(strpos(text, 'License') - 30, 1) AS BIGINT), 150), 'License', '<mark>License</mark>') AS fragment FROM documents WHERE contains(text, 'License')")(
+    lambda s, d: load(s, d, "documents").where(doc().contains("License")).select("doc_id", F.replace(F.substring(doc(), F.greatest(F.instr(doc(), "License") - 30, F.lit(1)), F.lit(150)), F.lit("License"), F.lit("<mark>License</mark>")).alias("fragment"))
 )
 on("D50_literal_highlight", "conversations", "SELECT conv_id, turn, md5(replace(text, 'the', '<em>the</em>')) AS h FROM conversations", lambda: ["conv_id", "turn", F.md5(F.replace(doc(), F.lit("the"), F.lit("<em>the</em>"))).alias("h")])
 on("D51_answer_cleanup", "documents", r"SELECT doc_id, md5(trim(regexp_replace(replace(text, chr(13), ''), '\n{3,}', chr(10) || chr(10), 'g'))) AS h FROM documents", lambda: ["doc_id", F.md5(F.trim(F.regexp_replace(F.replace(doc(), F.lit("\r"), F.lit("")), r"\n{3,}", "\n\n"))).alias("h")])
@@ -298,7 +299,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 on("G24_tag_update", "lineitem", "SELECT l_orderkey, l_linenumber, array_to_string(list_sort(list_distinct(list_filter([l_returnflag, l_linestatus, 'new'], lambda x: x <> 'O'))), ',') AS tags FROM lineitem", lambda: ["l_orderkey", "l_linenumber", F.array_join(F.array_sort(F.array_except(F.array_union(F.array("l_returnflag", "l_linestatus"), F.array(F.lit("new"))), F.array(F.lit("O")))), ",").alias("tags")])
-on("H12_error_lines", "conversations", "SELECT conv_id, turn, NOT contains(upper(text), 'NO ERROR') AND regexp_matches(upper(text), 'ERROR|WARN|FATAL|CRITICAL|EXCEPTION') AS is_error FROM conversations", lambda: ["conv_id", "turn", (~F.upper(doc()).contains("NO ERROR") & F.upper(doc()).rlike("ERROR|WARN|FATAL|CRITICAL|EXCEPTION")).alias("is_error")])
 on("H13_truncate", "documents", "SELECT doc_id, CASE WHEN length(text) > 1000 THEN md5(substring(text, 1, 900) || '... [TRUNCATED ' || CAST(length(text) - 900 AS VARCHAR) || ' chars]') ELSE md5(text) END AS h FROM documents", lambda: ["doc_id", F.md5(F.when(F.length(doc()) > 1000, F.concat(F.substring(doc(), 1, 900), F.lit("... [TRUNCATED "), (F.length(doc()) - 900).cast("string"), F.lit(" chars]"))).otherwise(doc())).alias("h")])
 query("H19_range_buckets", "SELECT epoch(time_bucket(INTERVAL '15 minutes', ts))::BIGINT AS bucket, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1")(
     lambda s, d: load(s, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "15 minutes").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")).select(F.unix_timestamp("w.start").alias("bucket"), "n", "total")
@@ -314,7 +314,6 @@ on("I10_safe_parse", "events", "SELECT event_id, coalesce(TRY_CAST(json_extract_
 on("I14_boolean", "orders", "SELECT o_orderkey, lower(o_orderstatus) IN ('true', '1', 'yes', 'on', 'f') AS b FROM orders", lambda: ["o_orderkey", F.lower("o_orderstatus").isin("true", "1", "yes", "on", "f").alias("b")])
 on("I18_format_bytes", "documents", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.1f B', CAST(n_chars AS DOUBLE)) ELSE printf('%.1f KB', n_chars / 1024) END AS s FROM documents", lambda: ["doc_id", T.format_bytes(F.col("n_chars")).alias("s")])
 query("I19_format_number")(lambda s, d: load(s, d, "customer").select("c_custkey", T.format_number(F.abs("c_acctbal")).alias("s")))
-on("I20_hashes", "part", "SELECT p_partkey, md5(p_name) AS md5, sha1(p_name) AS sha1, sha256(p_name) AS sha256 FROM part", lambda: ["p_partkey", F.md5("p_name").alias("md5"), F.sha1("p_name").alias("sha1"), F.sha2("p_name", 256).alias("sha256")])
 on("I23_required_fields", "labels", "SELECT doc_id, CASE WHEN quality IS NULL THEN 'quality' ELSE '' END AS missing FROM labels", lambda: ["doc_id", F.when(F.col("quality").isNull(), "quality").otherwise("").alias("missing")])
 on("I25_password_rule", "customer", "SELECT c_custkey, length(c_name) >= 8 AND regexp_matches(c_name, '[A-Z]') AND regexp_matches(c_name, '[a-z]') AND regexp_matches(c_name, '[0-9]') AS ok FROM customer", lambda: ["c_custkey", ((F.length("c_name") >= 8) & F.col("c_name").rlike("[A-Z]") & F.col("c_name").rlike("[a-z]") & F.col("c_name").rlike("[0-9]")).alias("ok")])
 

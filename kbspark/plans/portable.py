@@ -221,7 +221,4 @@ PORTABLE: dict[str, str] = {
     "H22_user_rate_limit": "SELECT user_id, CAST(ts AS DATE) AS day, EXTRACT(HOUR FROM ts) AS hour, COUNT(*) AS n, COUNT(*) > 3 AS limited FROM events GROUP BY 1, 2, 3",
     "H24_metrics_history": f"SELECT event_id, ROUND(value, 6) AS value FROM events WHERE ts >= {ANCHOR} - INTERVAL '6' HOUR ORDER BY ts, event_id",
     "H25_consistency": "SELECT d.source, COUNT(*) AS n_docs, COUNT(e.vec_id) AS n_indexed, COUNT(*) = COUNT(e.vec_id) AS consistent FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY d.source",
-    "H28_advice": """
-        WITH advice AS (SELECT * FROM (VALUES ('error', 'check recent changes'), ('view', 'no action')) AS t(kind, solution))
-        SELECT e.event_id, COALESCE(a.solution, 'inspect logs') AS solution FROM events e LEFT JOIN advice a ON a.kind = e.event_type""",
 }

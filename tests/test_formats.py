@@ -2,8 +2,9 @@
 
 import io
 import zipfile
+import zlib
 
-from kbspark.sources import files, formats
+from kbspark.sources import files, formats, pdfpages
 
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 A, P, W, S = (f"http://schemas.openxmlformats.org/{x}/2006/main" for x in ("drawingml", "presentationml", "wordprocessingml", "spreadsheetml"))
@@ -66,3 +67,48 @@ def test_images_stand_in_their_place_and_contents_are_left_out():
     })
     got = [(k, s, t, c) for k, s, t, c in formats.docx_elements(file)]
     assert got == [("text", "Heading1", "Start", []), ("image", "", "word/media/image1.png", []), ("text", "", "in a control", []), ("text", "Body", "tocsin", [])]
+
+
+def pdf(pages, fonts=b""):
+    """A file of pages with these contents; the page tree has them in this order, the file in another."""
+    kids = b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages)))
+    parts = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[%s]/Count %d/Resources<</Font<</F1 3 0 R /F2 4 0 R>>>>>>" % (kids, len(pages)), 3: b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>", 4: fonts or b"<</Type/Font/Subtype/Type1>>"}
+    for i, content in enumerate(pages):
+        packed_ = zlib.compress(content)
+        parts[10 + 2 * i] = b"<</Type/Page/Parent 2 0 R/Contents %d 0 R>>" % (11 + 2 * i)
+        parts[11 + 2 * i] = b"<</Length %d/Filter/FlateDecode>>\nstream\n" % len(packed_) + packed_ + b"\nendstream"
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, parts[n]) for n in sorted(parts, reverse=True))
+
+
+def column(x, y, words, lead=12):
+    return b"BT /F1 10 Tf %d TL 1 0 0 1 %d %d Tm " % (lead, x, y) + b" T* ".join(b"(%s) Tj" % w for w in words) + b" ET\n"
+
+
+def test_two_columns_under_a_title_and_a_running_header(spark):
+    title = b"A title that spans both of the columns of this page and more words to make it wide"
+    made = []
+    for n in range(3):
+        left, right = ([b"%s%d of page %d" % (side, i, n) for i in range(4)] for side in (b"left ", b"right "))
+        # Right column first in the stream; header by a matrix; footer with a number.
+        body = column(320, 700, right) + column(50, 700, left) + b"q 1 0 0 1 50 0 cm BT /F1 10 Tf 0 780 Td (Running) Tj ( header) Tj ET Q\n" + column(50, 30, [b"Page %d" % n])
+        made.append(body + (column(50, 740, [title]) + column(50, 600, [b"a line below that spans both of the columns of this page, again a wide one, end"]) if n == 1 else b""))
+    rows = spark.createDataFrame([("a", bytearray(pdf(made))), ("b", bytearray(b"no pdf")), ("c", None)], "path string, content binary")
+    lines = pdfpages.page_lines(rows)
+    got = {}
+    for r in pdfpages.without_running(lines).orderBy("page", "line").collect():
+        got.setdefault(r.page, []).append(r.text)
+    both = lambda n: [f"{side} {i} of page {n}" for side in ("left", "right") for i in range(4)]
+    assert got[0] == both(0) and got[2] == both(2)
+    assert got[1] == [title.decode(), *both(1), "a line below that spans both of the columns of this page, again a wide one, end"]
+    whole = [r.text for r in lines.where("page = 0").orderBy("line").collect()]
+    assert "Running header" in whole and "Page 0" in whole
+
+
+def test_font_maps_kerning_and_escapes():
+    cmap = zlib.compress(b"1 beginbfchar <0001> <00C9> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<0078> <D83DDE42>] endbfrange")
+    file = pdf([b"BT /F2 10 Tf 1 0 0 1 10 100 Tm <0001001000110012> Tj ET BT /F2 10 Tf 10 80 Td <00200021> Tj ET BT /F1 10 Tf 10 60 Td [(one) -20 (s) -600 (two \\(x\\) \\101)] TJ ET"], b"<</Type/Font/Subtype/Type0/ToUnicode 5 0 R>>")
+    file += b"5 0 obj\n<</Length %d/Filter/FlateDecode>>\nstream\n" % len(cmap) + cmap + b"\nendstream\nendobj\n"
+    pieces = pdfpages.ordered(pdfpages.lines_of([s[1:] for s in pdfpages.spans(file)]))
+    assert [p[4] for p in pieces] == ["Éabc", "x🙂", "ones two (x) A"]
+    assert pdfpages.spans(formats.write_pdf(["plain (a) line", "next"]))[0][5] == "plain (a) line"
+    assert pdfpages.spans(None) == [] and pdfpages.spans(b"%PDF-1.4 1 0 obj <</Type/Catalog>> endobj") == []

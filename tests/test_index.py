@@ -45,27 +45,29 @@ def plain_bm25(rows, terms, k=None):
     return ordered[:k] if k else ordered
 
 
-def compare(spark, index, rows):
-    """All readers against plain versions over the live rows."""
+def compare(spark, index, rows, full=False):
+    """Readers against plain versions over the live rows; all of them if ``full``."""
     words = tokens(rows)
     got = {r["chunk_id"]: (r["source"], r["content"]) for r in segments.rows_of(index).collect()}
     assert got == rows and (index.n, index.total) == (len(rows), sum(map(len, words.values())))
     keys = lambda df: sorted(r["chunk_id"] for r in df.collect())
-    assert keys(indexed.match(index, ["W1", "réseau"])) == sorted(k for k, w in words.items() if {"w1", "réseau"} & set(w))
-    for phrase in (["all", "rights"], ["w1", "w2"], ["w3", "w3"]):
+    for phrase in (["all", "rights"], ["w1", "w2"], ["w3", "w3"])[: 3 if full else 1]:
         assert keys(indexed.phrase(index, phrase)) == sorted(k for k, w in words.items() if f" {' '.join(phrase)} " in f" {' '.join(w)} ")
     assert keys(indexed.boolean(index, "(w1 OR w2) AND NOT w3")) == sorted(k for k, w in words.items() if ("w1" in w or "w2" in w) and "w3" not in w)
-    assert keys(indexed.boolean(index, "NOT w1")) == sorted(k for k, w in words.items() if "w1" not in w)
-    assert keys(indexed.wildcard(index, "lic*se")) == sorted(k for k, w in words.items() if "license" in w)
-    assert keys(indexed.by_pattern(index, "w1[0-3]")) == sorted(k for k, w in words.items() if {"w10", "w11", "w12", "w13"} & set(w))
-    near = lambda w: w in ("licence", "license")
-    assert sorted((r["chunk_id"], r["asked"]) for r in indexed.fuzzy(index, ["licence"]).collect()) == sorted((k, "licence") for k, w in words.items() if any(map(near, w)))
-    for terms in (["w1"], ["w1", "w2", "rights"], ["w5", "unheard"]):
+    for terms in (["w1"], ["w1", "w2", "rights"], ["w5", "unheard"])[:: 1 if full else 3]:
         want = plain_bm25(rows, terms)
         whole = {r["chunk_id"]: r["score"] for r in indexed.bm25(index, terms).collect()}
         assert whole == pytest.approx(dict(want))
         top = [(r["chunk_id"], r["score"]) for r in indexed.bm25(index, terms, 7).collect()]
         assert sorted(s for _, s in top) == pytest.approx(sorted(s for _, s in want[:7])) and all(whole[k] == pytest.approx(s) for k, s in top)
+    if not full:
+        return
+    assert keys(indexed.match(index, ["W1", "réseau"])) == sorted(k for k, w in words.items() if {"w1", "réseau"} & set(w))
+    assert keys(indexed.boolean(index, "NOT w1")) == sorted(k for k, w in words.items() if "w1" not in w)
+    assert keys(indexed.wildcard(index, "lic*se")) == sorted(k for k, w in words.items() if "license" in w)
+    assert keys(indexed.by_pattern(index, "w1[0-3]")) == sorted(k for k, w in words.items() if {"w10", "w11", "w12", "w13"} & set(w))
+    near = lambda w: w in ("licence", "license")
+    assert sorted((r["chunk_id"], r["asked"]) for r in indexed.fuzzy(index, ["licence"]).collect()) == sorted((k, "licence") for k, w in words.items() if any(map(near, w)))
 
 
 def size_of(path):
@@ -85,14 +87,14 @@ def test_readers_through_upserts_deletes_and_compaction(spark, tmp_path, monkeyp
     rows = {k: v for k, v in rows.items() if k not in gone}
     index = segments.delete(index, spark.createDataFrame([(g,) for g in [*gone, "unknown", None]], "chunk_id string"))
     assert [e["kind"] for e in index.entries] == ["segment", "segment", "dead"]
-    compare(spark, index, rows)
+    compare(spark, index, rows, full=True)
     back = {"c25": ("s1", "all rights w1")}
     rows |= back
     index = segments.upsert(index, frame(spark, back))
     compare(spark, index, rows)
     whole = segments.compact(index, all_of_it=True)
     assert len(whole.entries) == 1
-    compare(spark, whole, rows)
+    compare(spark, whole, rows, full=True)
     # Older versions can be read until they are swept.
     assert segments.rows_of(segments.open_index(spark, str(tmp_path), 1)).count() == 402
     assert segments.sweep(whole)
