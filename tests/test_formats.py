@@ -88,7 +88,7 @@ def test_two_columns_under_a_title_and_a_running_header(spark):
     title = b"A title that spans both of the columns of this page and more words to make it wide"
     made = []
     for n in range(3):
-        left, right = ([b"%s%d of page %d" % (side, i, n) for i in range(4)] for side in (b"left ", b"right "))
+        left, right = ([b"%s%d of page %s" % (side, i, b"xyz"[n : n + 1]) for i in range(4)] for side in (b"left ", b"right "))
         # Right column first in the stream; header by a matrix; footer with a number.
         body = column(320, 700, right) + column(50, 700, left) + b"q 1 0 0 1 50 0 cm BT /F1 10 Tf 0 780 Td (Running) Tj ( header) Tj ET Q\n" + column(50, 30, [b"Page %d" % n])
         made.append(body + (column(50, 740, [title]) + column(50, 600, [b"a line below that spans both of the columns of this page, again a wide one, end"]) if n == 1 else b""))
@@ -97,7 +97,7 @@ def test_two_columns_under_a_title_and_a_running_header(spark):
     got = {}
     for r in pdfpages.without_running(lines).orderBy("page", "line").collect():
         got.setdefault(r.page, []).append(r.text)
-    both = lambda n: [f"{side} {i} of page {n}" for side in ("left", "right") for i in range(4)]
+    both = lambda n: [f"{side} {i} of page {'xyz'[n]}" for side in ("left", "right") for i in range(4)]
     assert got[0] == both(0) and got[2] == both(2)
     assert got[1] == [title.decode(), *both(1), "a line below that spans both of the columns of this page, again a wide one, end"]
     whole = [r.text for r in lines.where("page = 0").orderBy("line").collect()]
