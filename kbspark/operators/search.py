@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,26 +17,84 @@ from kbspark.operators.retrieval import let
 
 #: Fixed parameters: how many times the limit is recalled, and weights of history search.
 RECALL, LEXICAL, SEMANTIC, NEAREST = 3, 1.0, 1.5, 10
-BLOCK_QUERIES = 1000
+#: Bounds of a tile of ``knn_join``: its queries, its rows, the queries scored at once, the pairs scored again at once.
+BLOCK_QUERIES, SHARD_ROWS, WALK_QUERIES, PAIRS = 16_384, 8_192, 256, 1 << 16
+SLACK = 1e-9
 
 
 def knn_join(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, vec_id, rank, score)``: for each of ``queries(query_id, q)`` the ``k`` rows nearest by
     cosine, ties by id.
 
-    The queries are a stated set of any size, broadcast in blocks of about ``BLOCK_QUERIES``, whose number
-    is counted first. Ranks are cut before the shuffle, so each task sends k rows a query. Every
-    query is held against every row; ``operators.cells`` visits only the cells that matter.
+    Every query is held against every row: rows are dealt to shards and queries to blocks by a hash, and a
+    task has one of each, both bounded, whose products are one matrix. What these rounded scores cannot
+    rule out is scored again as ``retrieval.cosine`` does, so scores, ties and ranks are its own. A tile
+    sends k rows a query; ``operators.cells`` visits only the cells that matter. Vectors that are null or
+    hold a null come last, with a null score; vectors of several lengths are an error.
     """
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), id_col))
-    found = []
-    for i in range(blocks):
-        block = queries.select("query_id", "q").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        scored = rows.select(id_col, vec_col).crossJoin(F.broadcast(block))  # a stated query set, in blocks
-        scored = scored.select("query_id", id_col, retrieval.cosine(F.col(vec_col), F.col("q")).alias("score"))
-        found.append(scored.withColumn("rank", rank).where(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, found)
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("v"))
+    base = rows.select(F.col(id_col).alias("row_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    usable = F.coalesce(F.forall("v", lambda x: x.isNotNull()), F.lit(False))
+    stats = [f.agg(F.count_if(usable).alias("n"), F.count_if(~usable).alias("bad"), F.array_size(F.min_by("v", F.array_size("v"))).alias("a"), F.array_size(F.max_by("v", F.array_size("v"))).alias("b")).first() for f in (asked, base)]
+    lengths = {r[c] for r in stats for c in "ab"} - {None}
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of lengths {sorted(lengths)}")
+    blocks, shards = (max(1, -(-r["n"] // most)) for r, most in zip(stats, (BLOCK_QUERIES, SHARD_ROWS), strict=True))
+    deal = lambda by, n: F.pmod(F.xxhash64(by, "v"), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = base.where(usable).select(deal("row_id", shards).alias("shard"), spread(blocks).alias("block"), "row_id", "v")
+    right = asked.where(usable).select(spread(shards).alias("shard"), deal("query_id", blocks).alias("block"), "query_id", "v")
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, row_id {base.schema['row_id'].dataType.simpleString()}, score double"
+    key = ["shard", "block"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda x, y: _tile(x, y, k), kinds)
+    none = F.lit(None).cast("double").alias("score")
+    if stats[1]["n"] < k and stats[1]["bad"]:  # rows without a score are needed too, at most k
+        few = base.where(~usable).orderBy("row_id").limit(k).select("row_id")
+        found = found.unionByName(asked.where(usable).crossJoin(F.broadcast(few)).select("query_id", "row_id", none))
+    if stats[0]["bad"]:
+        few = base.orderBy("row_id").limit(k).select("row_id")
+        found = found.unionByName(asked.where(~usable).crossJoin(F.broadcast(few)).select("query_id", "row_id", none))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.select("query_id", F.col("row_id").alias(id_col), "score", "rank")
+
+
+def _tile(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """``(query_id, row_id, score)``: the best ``k`` rows of ``left`` for each query of ``right``."""
+    out = []
+    if left.num_rows and right.num_rows:
+        matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        points, asked = matrix(left), matrix(right)
+        place = pc.rank(left["row_id"].combine_chunks(), "ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+        with np.errstate(all="ignore"):
+            sizes = [np.sqrt(_summed(m, m)) for m in (points, asked)]
+            units = [np.where(s[:, None] > 0, m / s[:, None], 0.0) for m, s in zip((points, asked), sizes, strict=True)]
+            odd = [~np.isfinite(s) for s in sizes]
+            for at in range(0, len(asked), WALK_QUERIES):
+                mine = slice(at, at + WALK_QUERIES)
+                rough = units[1][mine] @ units[0].T
+                rough[:, odd[0]] = np.inf
+                rough[odd[1][mine]] = np.inf
+                floor = np.full(len(rough), -np.inf) if len(points) <= k else np.partition(rough, len(points) - k, axis=1)[:, len(points) - k]
+                q, c = np.nonzero(rough >= (floor - SLACK)[:, None])
+                q += at
+                norms = sizes[0][c] * sizes[1][q]
+                parts = [slice(i, i + PAIRS) for i in range(0, len(q), PAIRS)]
+                score = np.concatenate([np.where(norms[p] == 0, 0.0, _summed(points[c[p]], asked[q[p]]) / norms[p]) for p in parts])
+                order = np.lexsort((place[c], -score, ~np.isnan(score), q))
+                q, c, score = q[order], c[order], score[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+                out.append((q[keep], c[keep], score[keep]))
+    q, c, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return pa.table([right["query_id"].take(pa.array(q)), left["row_id"].take(pa.array(c)), pa.array(score)], ["query_id", "row_id", "score"])
+
+
+def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed in the order of the components."""
+    total = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        total += a[:, j] * b[:, j]
+    return total
 
 
 def rerank(hits: DataFrame, model: Column | None = None, content: str = "content", id_col: str = "doc_id") -> DataFrame:

@@ -285,3 +285,24 @@ def test_folds_follow_order_whatever_the_partitions(spark):
             want[i] = (granted, n > 2)
     assert got == want
     assert cluster.claim(asked.limit(0)).count() == 0
+
+
+def test_knn_join_scores_tiles_as_the_column_does(spark, monkeypatch):
+    from pyspark.sql import Window as W
+
+    from kbspark.operators.retrieval import cosine
+
+    monkeypatch.setattr(search, "SHARD_ROWS", 40)
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 7)
+    rng = random.Random(3)
+    vectors = [[rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)] for _ in range(150)] + [[0.0] * 3, [float("nan"), 1.0, 0.0], None, [1.0, None, 2.0]]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    asked = rows.where("vec_id % 5 = 0 or vec_id > 148").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    scored = asked.crossJoin(rows).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
+    key = lambda r: (r.query_id, r.rank, r.vec_id, str(r.score))
+    for few, k in ((rows, 5), (rows.where("vec_id > 148"), 4)):
+        best = scored.join(few.select("vec_id"), "vec_id").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+        got = search.knn_join(asked, few, k)
+        assert sorted(map(key, got.collect())) == sorted(map(key, best.collect()))
+        if few is rows:  # a null query alone meets rows outside the tiles
+            assert "BroadcastNestedLoopJoin" not in search.knn_join(asked.where("query_id < 100"), few, k)._jdf.queryExecution().executedPlan().toString()
