@@ -130,10 +130,11 @@ def format_bytes(n: Column) -> Column:
     return out
 
 
-def format_number(n: Column) -> Column:
-    return (
-        F.when(n >= 1e9, F.format_string("%.1fB", n / 1e9))
-        .when(n >= 1e6, F.format_string("%.1fM", n / 1e6))
-        .when(n >= 1e3, F.format_string("%.1fK", n / 1e3))
-        .otherwise(n.cast("long").cast("string"))
-    )
+def format_number(n: Column, units: str = "KMB") -> Column:
+    """With one decimal in the largest of ``units`` that it reaches, each a thousand of the one before; whole below."""
+    out = None
+    for power, unit in reversed(list(enumerate(units, 1))):
+        size = float(1000**power)
+        text = F.format_string(f"%.1f{unit}", n / size)
+        out = F.when(n >= size, text) if out is None else out.when(n >= size, text)
+    return out.otherwise(n.cast("long").cast("string"))

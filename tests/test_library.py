@@ -306,3 +306,16 @@ def test_knn_join_scores_tiles_as_the_column_does(spark, monkeypatch):
         assert sorted(map(key, got.collect())) == sorted(map(key, best.collect()))
         if few is rows:  # a null query alone meets rows outside the tiles
             assert "BroadcastNestedLoopJoin" not in search.knn_join(asked.where("query_id < 100"), few, k)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_numbers_beyond_the_tables(spark, tmp_path):
+    import duckdb
+
+    from kbspark.plans import registry
+
+    keys = [1, 1003, 999_999, 1_003_009, 1_003_010, 5_000_001, 36_000_003]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = registry.QUERIES["I19_short_number"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(registry.SQL["I19_short_number"]).fetchall())
