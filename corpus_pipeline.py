@@ -27,8 +27,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents alike in five-word shingles (similarity 0.8) the one of least id stays."""
-    return shingles.representatives(docs)
+    """Of documents connected by SimHash fingerprints (two bits) or five-word shingles (similarity 0.8) the one of least id stays."""
+    return shingles.representatives(docs, distance=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from kbspark.llm.common import cut, lookup, rows, utf8
 from kbspark.llm.components import components
+from kbspark.llm.simhash import links, simhash
 
 #: A pair of similarity s shares a bucket with probability 1 - (1 - s^4)^20: all but 3 in 100,000 at 0.8.
 BANDS, PER_BAND = 20, 4
@@ -46,19 +47,22 @@ def bands(found: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(p.tobytes(), i) - (1 << 63) for i, p in enumerate(parts)]
 
 
-def signed(texts: DataFrame, width: int) -> DataFrame:
-    """``texts`` with ``text`` replaced by ``node``, a hash of its set of shingles, and ``bands``."""
+def signed(texts: DataFrame, width: int, fingerprint: bool = False) -> DataFrame:
+    """``texts`` with ``text`` replaced by ``node``, a hash of its set of shingles, ``bands``, and ``fp``,
+    its SimHash fingerprint if asked for, which is then a part of what ``node`` is a hash of."""
     names = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
-            sets = [shingles(t, width) for t in utf8(b.column("text"))]
-            node = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets], pa.int64())
+            texts_ = utf8(b.column("text"))
+            sets = [shingles(t, width) for t in texts_]
+            fps = np.array([simhash(t) for t in texts_] if fingerprint else [0] * len(texts_), np.uint64)
+            node = pa.array([xxhash.xxh3_64_intdigest(x.tobytes(), int(f)) - (1 << 63) for x, f in zip(sets, fps, strict=True)], pa.int64())
             keys = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], node, keys], [*names, "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], node, keys, pa.array(fps.view(np.int64))], [*names, "node", "bands", "fp"])
 
     kinds = [f"{c} {texts.schema[c].dataType.simpleString()}" for c in names]
-    return texts.mapInArrow(run, ", ".join([*kinds, "node long", "bands array<long>"]))
+    return texts.mapInArrow(run, ", ".join([*kinds, "node long", "bands array<long>", "fp long"]))
 
 
 def sets_of(texts: DataFrame, width: int) -> DataFrame:
@@ -185,11 +189,25 @@ def inverted(roots: list[int], raw: list[bytes]) -> tuple[np.ndarray, ...]:
     return np.array(roots, np.int64), size, vocabulary, np.append(starts, len(hashes)).astype(np.int32), owner[order]
 
 
+def joined_by_fingerprint(placed: DataFrame, distance: int) -> DataFrame:
+    """``placed(node, fp, root)`` with the roots that SimHash fingerprints within ``distance`` bits connect made equal.
+
+    All roots of a component of fingerprints are linked to the least of them, so a large one costs a row a root.
+    """
+    near = cut(components(links(placed.select("fp").distinct(), distance)).withColumnRenamed("root", "over"))
+    named = cut(placed.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("node", "root", F.coalesce("over", "fp").alias("over")))
+    hubs = named.groupBy("over").agg(F.count("*").alias("n"), F.min("root").alias("hub"), F.max("root").alias("last")).where("hub <> last")
+    edges = lookup(named, cut(hubs), ["over"], "n").select(F.col("root").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct()
+    found = components(edges).select(F.col("node").alias("root"), F.col("root").alias("then"))
+    return named.join(found, "root", "left").select("node", F.coalesce("then", "root").alias("root"))
+
+
 def representatives(
-    docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", distance: int | None = None
 ) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of texts connected by pairs whose sets of
-    ``width`` words have a Jaccard similarity of ``least`` or more, the one of least id.
+    ``width`` words have a Jaccard similarity of ``least`` or more, the one of least id. With ``distance``
+    texts whose SimHash fingerprints differ by at most so many bits are connected too.
 
     Blank and null texts are alike. Null ids count as least, rows of one id go by a hash of id and
     text, and of rows equal in both one stays. All columns are kept as they are.
@@ -198,14 +216,17 @@ def representatives(
     both = [F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)), F.hash(F.col(id_col), F.col(text_col))]
     marked = docs.withColumns(dict(zip(keys, both, strict=True)))
     texts = marked.select(F.col(id_col).alias("doc_id"), *keys, F.col(text_col).cast("string").alias("text"))
-    prints = signed(texts, width)
+    prints = signed(texts, width, distance is not None)
     # Texts of equal sets are one node, so a group of copies costs one row.
-    nodes = cut(prints.groupBy("node").agg(F.min(F.struct("doc_id", *keys)).alias("first"), F.first("bands").alias("bands")))
+    nodes = cut(prints.groupBy("node").agg(F.min(F.struct("doc_id", *keys)).alias("first"), F.first("bands").alias("bands"), F.first("fp").alias("fp")))
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     buckets = cut(lookup(keyed, cut(shared.withColumn("size", F.col("n"))), ["key"], "n"))
     asked = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", *[f"first.{c}" for c in keys])
     sets = cut(sets_of(texts.join(asked, keys).dropDuplicates(["node"]), width))
-    rooted = nodes.select("node", "first").join(linked(buckets, sets, least), "node", "left")
-    kept = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select(*[f"first.{c}" for c in keys])
+    rooted = nodes.select("node", "first", "fp").join(linked(buckets, sets, least), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if distance is not None:
+        rooted = cut(rooted)
+        rooted = rooted.drop("root").join(joined_by_fingerprint(rooted, distance), "node")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(*[f"first.{c}" for c in keys])
     return marked.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)

@@ -357,6 +357,23 @@ def test_pipeline_drops_near_copies_as_brute_force(spark):
     assert got == {i for i in sets if top(i) == i} and len(got) < len(rows) - 12
 
 
+def test_pipeline_near_copies_by_fingerprint_and_by_shingles_are_one_graph(spark):
+    """1 and 2 have one fingerprint but few shingles in common, 2 and 3 the shingles but not the fingerprint."""
+    import corpus_pipeline
+
+    body = "one two three four five six seven " * 60
+    tail = lambda n, edits=0: " ".join(f"t{n}x{i}{'e' if i < edits else ''}" for i in range(40))
+    second = body + tail(2)
+    texts = [body + tail(1), second, "one two three four five six seven one two three four five six " + tail(2), "quite another text " + tail(4)]
+    bits = [simhash.simhash(t.encode()) for t in texts]
+    sets = [set(shingles.shingles(t.encode(), 5).tolist()) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert (bits[0] ^ bits[1]).bit_count() <= 2 and alike(0, 1) < 0.8 and alike(0, 2) < 0.8
+    assert alike(1, 2) >= 0.8 and min((bits[i] ^ bits[2]).bit_count() for i in (0, 1)) > 2
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts, 1)], SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, SF).select("doc_id").collect()} == {1, 4}
+
+
 def test_shingle_representatives_on_awkward_rows(spark):
     assert shingles.representatives(awkward(spark)).count() == 5
     assert shingles.representatives(empty(spark)).collect() == []
