@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from kbspark.operators.batches import by_row
+
 #: Fixed kinds of elements.
 SKIPPED, OPENERS = ("Header", "Footer", "PageBreak", "Table"), ("Title", "ListItem")
 CHUNK_MAX, CHUNK_MIN, SHORT = 1000, 500, 60
@@ -141,7 +143,7 @@ def structure_chunks(elements: Column, most: int = CHUNK_MAX, least: int = CHUNK
         chunks = pack(found or [], most, least)
         return merge_small(chunks, most, least) if merge else chunks
 
-    return F.udf(run, f"array<{CHUNK}>", useArrow=True)(elements)
+    return by_row(run, f"array<{CHUNK}>")(elements)
 
 
 def stream_chunks(elements: DataFrame, most: int = CHUNK_MAX, id_col: str = "doc_id") -> DataFrame:
@@ -184,7 +186,7 @@ def merge_short(items: Column, least: int = SHORT) -> Column:
                 out.append((text, left, right, page))
         return out
 
-    return F.udf(run, "array<struct<text: string, left: double, right: double, page_width: double>>", useArrow=True)(items)
+    return by_row(run, "array<struct<text: string, left: double, right: double, page_width: double>>")(items)
 
 
 def merge_tables(tables: Column, gap: float = 8.0) -> Column:
@@ -208,7 +210,7 @@ def merge_tables(tables: Column, gap: float = 8.0) -> Column:
         return [tuple(t) for t in out]
 
     box = "left: double, top: double, right: double, bottom: double, page_width: double"
-    return F.udf(run, f"array<struct<cells: array<array<string>>, {box}>>", useArrow=True)(tables)
+    return by_row(run, f"array<struct<cells: array<array<string>>, {box}>>")(tables)
 
 
 def toc_tree(headings: DataFrame, id_col: str = "doc_id", pos: str = "pos", level: str = "level") -> DataFrame:

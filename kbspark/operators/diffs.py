@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kbspark.operators.batches import by_row
+
 
 def similarity(a: str, b: str) -> Column:
     """Longest-matching-block ratio of two text columns; null counts as empty."""
@@ -65,11 +67,8 @@ def line_diff(a: str, b: str) -> Column:
                 out += [("delete", n + 1, None, old[n]) for n in range(i, j)] + [("insert", None, n + 1, new[n]) for n in range(k, m)]
         return out
 
-    return F.udf(run, DIFF, useArrow=True)(a, b)
+    return by_row(run, DIFF)(a, b)
 
 
 def sentence_chunks(text: Column, size: int = 1000, overlap: int = 100) -> Column:
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([split_sentences(t or "", size, overlap) for t in texts])
-
-    return F.pandas_udf(run, "array<string>")(text)
+    return by_row(lambda t: split_sentences(t or "", size, overlap), "array<string>")(text)

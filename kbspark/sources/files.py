@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.functions import tables as TB
+from kbspark.operators.batches import by_row
 from kbspark.sources import formats
 
 ELEMENT = "struct<type: string, text: string, level: int, path: string, language: string, line_start: int, line_end: int>"
@@ -21,7 +22,7 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def text_of(content: Column) -> Column:
     """Decoded text without byte order mark, with ``\\n`` as line end."""
-    return F.udf(formats.decode, "string", useArrow=True)(content)
+    return by_row(formats.decode, "string")(content)
 
 
 def texts(files: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def texts(files: DataFrame) -> DataFrame:
 
 def markdown(texts: DataFrame) -> DataFrame:
     """``(path, element_index, type, text, level, path_of_headings, language, lines)``."""
-    parsed = F.udf(formats.markdown_elements, f"array<{ELEMENT}>", useArrow=True)(F.col("text"))
+    parsed = by_row(formats.markdown_elements, f"array<{ELEMENT}>")(F.col("text"))
     found = texts.select("path", F.posexplode(parsed).alias("element_index", "e"))
     return found.select("path", "element_index", "e.type", "e.text", "e.level", F.col("e.path").alias("heading_path"), "e.language", "e.line_start", "e.line_end")
 
@@ -38,7 +39,7 @@ def markdown(texts: DataFrame) -> DataFrame:
 def csv_tables(texts: DataFrame) -> DataFrame:
     """``(path, header, names, rows)``: the place of the header row, its cells and the rows behind it.
     Without a header columns are named by number."""
-    seen = texts.select("path", F.udf(formats.csv_rows, "array<array<string>>", useArrow=True)(F.col("text")).alias("all"))
+    seen = texts.select("path", by_row(formats.csv_rows, "array<array<string>>")(F.col("text")).alias("all"))
     seen = seen.withColumn("header", TB.header_row(F.col("all")))
     numbered = F.transform(F.when(TB.width(F.col("all")) > 0, F.sequence(F.lit(1), TB.width(F.col("all")))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit("column_"), i.cast("string")))
     names = F.when(F.col("header").isNull(), numbered).otherwise(F.get("all", F.col("header").cast("int")))
@@ -49,35 +50,35 @@ def csv_tables(texts: DataFrame) -> DataFrame:
 def xlsx(files: DataFrame) -> DataFrame:
     """A row for each sheet in the workbook's order, with its numbers of merged ranges, formulas and images."""
     flags = "struct<merged: int, formulas: int, images: int>"
-    sheets = F.udf(formats.xlsx_sheets, f"array<struct<sheet: string, rows: array<array<string>>, flags: {flags}>>", useArrow=True)
+    sheets = by_row(formats.xlsx_sheets, f"array<struct<sheet: string, rows: array<array<string>>, flags: {flags}>>")
     return files.select("path", F.posexplode(sheets("content")).alias("sheet_index", "s")).select("path", "sheet_index", "s.sheet", "s.rows", "s.flags.*")
 
 
 def docx(files: DataFrame) -> DataFrame:
-    parsed = F.udf(formats.docx_elements, "array<struct<type: string, style: string, text: string, cells: array<array<string>>>>", useArrow=True)
+    parsed = by_row(formats.docx_elements, "array<struct<type: string, style: string, text: string, cells: array<array<string>>>>")
     return files.select("path", F.posexplode(parsed("content")).alias("element_index", "e")).select("path", "element_index", "e.*")
 
 
 def pptx(files: DataFrame) -> DataFrame:
     """A row for each slide in the deck's order, with its speaker's notes and tables."""
-    parsed = F.udf(formats.pptx_slides, "array<struct<title: string, body: string, notes: string, tables: array<array<array<string>>>>>", useArrow=True)
+    parsed = by_row(formats.pptx_slides, "array<struct<title: string, body: string, notes: string, tables: array<array<array<string>>>>>")
     return files.select("path", F.posexplode(parsed("content")).alias("slide", "s")).select("path", "slide", "s.*")
 
 
 def pdf(files: DataFrame) -> DataFrame:
-    parsed = F.udf(formats.pdf_texts, "array<string>", useArrow=True)
+    parsed = by_row(formats.pdf_texts, "array<string>")
     return files.select("path", F.posexplode(parsed("content")).alias("page", "text"))
 
 
 def slide_text(shapes: Column) -> Column:
     """``struct<title, body>`` of an array of ``struct<text, is_title>``."""
-    return F.udf(formats.slide_texts, "struct<title: string, body: string>", useArrow=True)(shapes)
+    return by_row(formats.slide_texts, "struct<title: string, body: string>")(shapes)
 
 
 def preview(name: Column, text: Column) -> Column:
     """The nested form of a JSON or XML text as JSON, null for others and where it is malformed."""
     kind = structured_type(name, text)
-    tree = F.udf(formats.xml_tree, "string", useArrow=True)
+    tree = by_row(formats.xml_tree, "string")
     return F.when(kind == "json", F.when(F.try_parse_json(text).isNotNull(), text)).when(kind == "xml", tree(text))
 
 
@@ -90,7 +91,7 @@ def structured_type(name: Column, text: Column) -> Column:
 
 def json_schema(text: Column) -> Column:
     """The JSON schema of a text: types, properties, and items by the first element."""
-    return F.udf(formats.json_schema, "string", useArrow=True)(text)
+    return by_row(formats.json_schema, "string")(text)
 
 
 # Answers of services

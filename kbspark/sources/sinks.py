@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from kbspark.operators.batches import by_row
 from kbspark.operators.retrieval import postings
 from kbspark.sources import formats
 
@@ -88,20 +89,20 @@ def batches(items: Column, size: int) -> Column:
 
 # Files of office formats, one a row
 def xlsx_file(name: Column, rows: Column) -> Column:
-    return F.udf(formats.write_xlsx, "binary", useArrow=True)(name, rows)
+    return by_row(formats.write_xlsx, "binary")(name, rows)
 
 
 def docx_file(title: Column, paragraphs: Column) -> Column:
-    return F.udf(formats.write_docx, "binary", useArrow=True)(title, paragraphs)
+    return by_row(formats.write_docx, "binary")(title, paragraphs)
 
 
 def pptx_file(slides: Column) -> Column:
     """Of an array of ``struct<title, body>``."""
-    return F.udf(formats.write_pptx, "binary", useArrow=True)(slides)
+    return by_row(formats.write_pptx, "binary")(slides)
 
 
 def pdf_file(lines: Column) -> Column:
-    return F.udf(formats.write_pdf, "binary", useArrow=True)(lines)
+    return by_row(formats.write_pdf, "binary")(lines)
 
 
 def fetch_chunks(asked: DataFrame, index: DataFrame, table: DataFrame, most: int = 10_000) -> DataFrame:

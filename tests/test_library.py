@@ -332,3 +332,25 @@ def test_html_titles_with_open_references(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     got = registry.QUERIES["A05_html_source"](spark, str(tmp_path)).collect()
     assert sorted((int(r.page_id), r.title, r.paragraphs) for r in got) == sorted(con.sql(registry.SQL["A05_html_source"]).fetchall())
+
+
+def test_rules_by_row_hold_few_rows_at_once():
+    """Of a batch of many rows only a slice becomes Python objects before its results leave."""
+    import pyarrow as pa
+
+    from kbspark.operators import batches
+
+    texts = pa.array(["x" * 5000] * 1000)
+    sizes = [len(p[0]) for p in batches.pieces(texts)]
+    assert sum(sizes) == 1000 and max(sizes) <= batches.ROWS
+    big = pa.array(["y" * batches.BYTES, "z", None, "w" * 2 * batches.BYTES])
+    assert [len(p[0]) for p in batches.pieces(big)][0] == 1 and [x for p in batches.pieces(big) for x in p[0].to_pylist()] == big.to_pylist()
+
+
+def test_rules_by_row_are_what_the_plain_rule_gives(spark):
+    from kbspark.operators.batches import by_row
+
+    rows = spark.range(300, numPartitions=1).select("id", F.when(F.col("id") % 7 > 0, F.array(F.struct(F.col("id").cast("string").alias("t"), (F.col("id") % 2 == 0).alias("b")))).alias("l"))
+    rule = by_row(lambda i, l: None if l is None else [(t * 2, b, [i]) for t, b in l], "array<struct<t: string, b: boolean, n: array<long>>>")
+    got = {r.id: r.x for r in rows.select("id", rule("id", "l").alias("x")).collect()}
+    assert len(got) == 300 and all(got[i] == (None if i % 7 == 0 else [(str(i) * 2, i % 2 == 0, [i])]) for i in got)
