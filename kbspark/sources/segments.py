@@ -90,17 +90,17 @@ def open_index(spark: SparkSession, path: str, version: int | None = None) -> In
 
 
 # Segments
-def build_blocks(rows: DataFrame, key: str) -> DataFrame:
-    """Postings of ``rows(key, dl, words)``, a row for each term of each block.
+def build_blocks(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Postings of ``rows(key, dl, text)``, a row for each term of each block.
 
-    Rows of like length come together, so that the best term weight of a block says something; a block
-    is cut from the sorted stream of a task. In each list ``pos`` holds the places of all its documents
+    Rows of like length of a task come together, so that the best term weight of a block says something; a
+    block is cut from the sorted stream. Nothing is shuffled, and texts are tokenised behind the sort. In each list ``pos`` holds the places of all its documents
     in a row, ``tf`` of them for each. ``most`` and ``least`` are the frequencies and lengths of the
     documents that no other one of the list surpasses in both.
     """
     kind = rows.schema[key].dataType
     sizes = rows.withColumn("class", F.floor(2 * F.log2(F.col("dl") + 1)).cast("int"))
-    near = sizes.hint("rebalance", "class").sortWithinPartitions("class", "dl", key).select(key, "dl", "words")
+    near = sizes.sortWithinPartitions("class", "dl", key).select(key, "dl", tokens(F.col(text)).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -160,15 +160,24 @@ def inverted(block: pa.Table, number: int) -> pa.RecordBatch:
 
 
 def write_segment(rows: DataFrame, path: str, key: str, text: str) -> dict:
-    """The files of a segment with one row a key; the greatest row wins where a key comes twice."""
+    """The files of a segment with one row a key; the greatest row wins where a key comes twice.
+
+    Only keys are shuffled to find those, and the rows that have one; the texts of all other rows and the postings are
+    written where they lie, each task's postings in the order of buckets and terms.
+    """
     spark, name = rows.sparkSession, uuid.uuid4().hex
     others = [c for c in rows.columns if c not in (key, "dl")]
-    once = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*others)).alias("r")).select(key, *[f"r.{c}" for c in others])
+    named = rows.where(F.col(key).isNotNull()).select(key, *others)
+    often = named.groupBy(key).agg(F.count("*").alias("n_")).where("n_ > 1").select(key)
+    often.write.parquet(f"{path}/segments/{name}/twice")
+    often, once = spark.read.parquet(f"{path}/segments/{name}/twice"), named
+    if not often.isEmpty():
+        best = named.join(often, key, "left_semi").groupBy(key).agg(F.max(F.struct(*others)).alias("r")).select(key, *[f"r.{c}" for c in others])
+        once = named.join(often, key, "left_anti").unionByName(best)
     once.withColumn("dl", F.coalesce(F.size(tokens(F.coalesce(F.col(text), F.lit("")))), F.lit(0))).write.parquet(f"{path}/segments/{name}/rows")
     held = spark.read.parquet(f"{path}/segments/{name}/rows")
-    words = held.where("dl > 0").select(key, "dl", tokens(F.col(text)).alias("words"))
-    lists = build_blocks(words, key).withColumn("bucket", bucket_of("term"))
-    lists.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/segments/{name}/postings")
+    lists = build_blocks(held.where("dl > 0").select(key, "dl", text), key, text).withColumn("bucket", bucket_of("term"))
+    lists.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/segments/{name}/postings")
     return {"name": name, "kind": "segment", "rows": held.count()}
 
 

@@ -244,3 +244,16 @@ def test_cells_of_nothing(spark, tmp_path):
     index = cells.add(index, spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<double>"))
     assert cells.nearest(index, asked, 5).count() == 1
     assert json.loads(open(tmp_path / "manifest" / "2.json").read())["names"] == index.names
+
+
+def test_a_segment_is_written_without_shuffling_texts(spark, tmp_path):
+    """Twelve rows of unlike texts; two of them have one key."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(12)]
+    rows = spark.createDataFrame([(min(i, 10), t) for i, t in enumerate(texts)], "chunk_id long, content string")
+    index = segments.create(rows, f"{tmp_path}/i")
+    kept = {r.chunk_id: r.content for r in segments.rows_of(index).collect()}
+    assert kept == {i: t for i, t in enumerate(texts[:10])} | {10: max(texts[10:])}
+    held = spark.read.parquet(f"{tmp_path}/i/segments/{index.entries[0]['name']}/rows")
+    blocks = segments.build_blocks(held.select("chunk_id", "dl", "content"), "chunk_id", "content")
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
+    assert {r.chunk_id for r in indexed.match(index, ["w3x7", "w11x0", "w10x0"]).collect()} == {3, 10}
