@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -20,16 +21,17 @@ from kbspark.llm.licenses import WORD_BYTES
 #: Bounds of the labelled sample that is learnt from: documents of each class, and their length.
 TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_CHARS = 3_000, 3_000, 20_000
 #: Words of a window, bytes of the dictionaries, and the score from which a document counts as toxic.
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES, THRESHOLD = 24, 65_536, 512, 0.7
+WINDOW, ORDINARY_BYTES, TOXIC_BYTES, THRESHOLD = 24, 65_536, 1024, 0.7
 #: Segment and matching lengths of the library's trainer for the toxic dictionary. Its samples are
 #: short words; segments of several words keep most of them whole.
 SEGMENT, MATCH = 64, 6
 #: What ends the tables of a trained dictionary (RFC 8878): three offsets; its content follows.
 OFFSETS = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))
 STEMS = range(3, 8)
+MARK = b"\x01"
 #: By how much a false alarm among ordinary texts weighs more than a miss among toxic ones.
 FALSE_COST = 2.0
-#: Share of the toxic documents in which a word must occur to be a sample of their dictionary.
+#: Share of the toxic documents in which a telling stem must occur to be a sample of their dictionary.
 COMMON = 0.05
 
 
@@ -43,12 +45,6 @@ def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, len(words), size)]
 
 
-def stems(text: bytes) -> set[bytes]:
-    """Beginnings of the words of a text, and the whole words with an end mark."""
-    words = set(text.split())
-    return {w[:n] for w in words for n in STEMS if len(w) >= n} | {w + b"$" for w in words}
-
-
 @lru_cache(maxsize=8)
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     """Frames without header fields, so that sizes differ by content only."""
@@ -80,13 +76,14 @@ class Model:
     ordinary dictionary, and with the same one followed by the content of the toxic dictionary.
     """
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.ordinary, self.toxic = ordinary, toxic
+    def __init__(self, ordinary: bytes, toxic: bytes, telling: Sequence[bytes] = ()):
+        self.ordinary, self.toxic, self.telling = ordinary, toxic, list(telling)
+        self.marker = marker(set(telling)) if telling else None
         self.weights: np.ndarray | None = None
 
     def gains(self, texts: list[bytes]) -> list[np.ndarray]:
         """For each text, by how many bytes the toxic dictionary shortens each window more."""
-        cut = [windows(normal(t)) for t in texts]
+        cut = [windows(marked(normal(t), self.marker)) for t in texts]
         flat = [w for c in cut for w in c]
         gain = lengths(self.ordinary, flat) - lengths(self.ordinary + self.toxic, flat)
         return np.split(gain, np.cumsum([len(c) for c in cut])[:-1]) if cut else []
@@ -148,36 +145,58 @@ def unlike(texts: list[bytes], share: float = 0.3) -> list[bytes]:
 
 
 def telling_stems(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
-    """Stems that occur in far more toxic documents than ordinary ones lead to expect."""
-    t, o = (Counter(s for x in texts for s in stems(x)) for texts in (toxic, ordinary))
-    scale = len(toxic) / max(len(ordinary), 1)
-    expected = {s: (o.get(s, 0) + 1) * scale for s in t}
-    return {s for s, n in t.items() if n >= 4 and n > 3 * expected[s] and n - expected[s] >= 5 * expected[s] ** 0.5}
+    """Words (with an end mark) and stems that occur in enough toxic documents, and in far more of them than
+    ordinary ones lead to expect. Longer ones come first, and a shorter one counts only in words that none of
+    those tells: the beginning of a telling word says nothing by itself."""
+    scale, least = len(toxic) / max(len(ordinary), 1), max(4, len(toxic) * COMMON)
+    left, found = [[set(x.split()) for x in c] for c in (toxic, ordinary)], set()
+    for n in (None, *reversed(STEMS)):
+        part = lambda w, n=n: w + b"$" if n is None else w[:n]
+        t, o = (Counter(s for words in c for s in {part(w) for w in words if len(w) >= (n or 1)}) for c in left)
+        expected = {s: (o.get(s, 0) + 1) * scale for s, k in t.items() if k >= least}
+        tells = {s for s, e in expected.items() if t[s] > 3 * e and t[s] - e >= 5 * e**0.5}
+        left = [[{w for w in words if part(w) not in tells} for words in c] for c in left]
+        found |= tells
+    return found
+
+
+def marker(telling: set[bytes]) -> re.Pattern[bytes]:
+    """Finds telling words and stems at the beginning of a word, the longest first."""
+    each = [re.escape(s[:-1]) + b"(?= )" if s.endswith(b"$") else re.escape(s) for s in sorted(telling, key=lambda s: (not s.endswith(b"$"), -len(s), s))]
+    return re.compile(b"(?<= )(?:" + b"|".join(each) + b")")
+
+
+def marked(text: bytes, telling: re.Pattern[bytes] | None) -> bytes:
+    """A normal text with its telling words and stems in capitals, after ``MARK``. It has neither elsewhere,
+    so that no part of an ordinary word looks like a telling one."""
+    return text if telling is None else telling.sub(lambda m: MARK + m[0].upper(), b" " + text + b" ").strip(b" ")
 
 
 def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     """Dictionaries from the even documents of each class, calibration on the odd ones.
 
     Both dictionaries come from the library's trainer: the ordinary one from the windows of ordinary
-    documents, the toxic one from the toxic part of toxic documents, that is their words with
-    telling stems. Without samples of both classes the model scores everything 0.
+    documents without telling stems, the toxic one from the toxic part of toxic documents, that is
+    their words with telling stems. Inflected forms are each rare, so stems are counted. Without
+    samples of both classes the model scores everything 0.
     """
     toxic, ordinary = [[normal(x) for x in c] for c in (toxic, ordinary)]
-    parts = [w for x in ordinary[::2] for w in windows(x, 24)]
     learnt = unlike(toxic[::2])
-    telling = telling_stems(learnt, unlike(ordinary))
-    known = Counter(w for x in learnt for w in set(x.split()))
-    often = max(3, len(learnt) * COMMON)
-    words = [[w for w in x.split() if known[w] >= often and (w + b"$" in telling or any(w[:n] in telling for n in STEMS))] for x in learnt]
-    samples = [b" " + b" ".join(w) + b" " for w in words if w]
+    common = telling_stems(learnt, unlike(ordinary))
+    if not common:
+        return Model(b"", b"")
+    telling = marker(common)
+    held = lambda x, tells: [w for w in marked(x, telling).split() if w.startswith(MARK) == tells]
+    parts = [w for x in ordinary[::2] for w in windows(b" ".join(held(x, False)), 24)]
+    samples = [b" " + b" ".join(w) + b" " for x in learnt if (w := held(x, True))]
     if len(parts) < 50 or not samples:
         return Model(b"", b"")
     try:
-        held = zstandard.train_dictionary(max(1024, min(ORDINARY_BYTES, sum(map(len, parts)) // 8)), parts).as_bytes()
+        usual = zstandard.train_dictionary(max(1024, min(ORDINARY_BYTES, sum(map(len, parts)) // 8)), parts).as_bytes()
         toxic_held = zstandard.train_dictionary(TOXIC_BYTES, samples, k=SEGMENT, d=MATCH).as_bytes()
     except zstandard.ZstdError:  # fewer samples than the library trains on
         return Model(b"", b"")
-    model = Model(held, b" " + toxic_held[toxic_held.index(OFFSETS) + len(OFFSETS) :] + b" ")
+    model = Model(usual, b" " + toxic_held[toxic_held.index(OFFSETS) + len(OFFSETS) :] + b" ", sorted(common))
     model.fit(toxic[1::2] + ordinary[1::2], np.repeat([1.0, 0.0], [len(toxic[1::2]), len(ordinary[1::2])]))
     return model
 
@@ -204,11 +223,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         rows = sorted((r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("toxic", "place", "th", "text")], strict=True)))
         model = train(*[[t.encode() for kind, _, _, t in rows if kind == value] for value in (1, 0)])
         weights = [] if model.weights is None else model.weights.tolist()
-        yield pa.RecordBatch.from_pydict({"ordinary": [model.ordinary], "toxic": [model.toxic], "weights": [weights]}, pa.schema([("ordinary", pa.binary()), ("toxic", pa.binary()), ("weights", pa.list_(pa.float64()))]))
+        kinds = pa.schema([("ordinary", pa.binary()), ("toxic", pa.binary()), ("telling", pa.list_(pa.binary())), ("weights", pa.list_(pa.float64()))])
+        yield pa.RecordBatch.from_pydict({"ordinary": [model.ordinary], "toxic": [model.toxic], "telling": [model.telling], "weights": [weights]}, kinds)
 
     one = samples[0].unionByName(samples[1]).repartition(1)
-    found = one.mapInArrow(run, "ordinary binary, toxic binary, weights array<double>").first()
-    model = Model(bytes(found["ordinary"]), bytes(found["toxic"])) if found else Model(b"", b"")
+    found = one.mapInArrow(run, "ordinary binary, toxic binary, telling array<binary>, weights array<double>").first()
+    model = Model(bytes(found["ordinary"]), bytes(found["toxic"]), [bytes(s) for s in found["telling"]]) if found else Model(b"", b"")
     model.weights = np.array(found["weights"]) if found and found["weights"] else None
     return model
 
@@ -221,11 +241,11 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     of a class are missing altogether, all scores are 0.
     """
     model = learn(keyed_text(docs, id_col, text_col), labels)
-    sent, at = (model.ordinary, model.toxic, model.weights), docs.columns.index(text_col)
+    sent, at = (model.ordinary, model.toxic, model.telling, model.weights), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = Model(*sent[:2])
-        here.weights = sent[2]
+        here = Model(*sent[:3])
+        here.weights = sent[3]
         for b in slices(batches, text=at, chars=2_000_000):
             score = pa.array(here.scores(utf8(b.column(at))), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, score], [*b.schema.names, to])

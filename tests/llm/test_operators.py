@@ -282,6 +282,21 @@ def test_mixing_to_given_targets_and_by_either_join(spark, monkeypatch):
     assert abs(mass.sum() / near.mix_tokens.sum() - 0.2) < 1e-6
 
 
+def test_toxicity_counts_stems_not_forms():
+    """A language with a fifth of the toxic texts, whose telling words have an ending each time, is learnt too."""
+    rng = random.Random(8)
+    parts = {"x": ["ka", "lo", "mi", "ner", "pus", "tor", "vel", "zan"], "y": ["ба", "до", "жи", "ку", "ле", "мя", "ре", "хо"]}
+    word = lambda lang: "".join(rng.choices(parts[lang], k=rng.randint(1, 3)))
+    say = lambda lang, n: " ".join(word(lang) for _ in range(n))
+    bad = {"x": lambda: rng.choice(["worthless", "idiot", "scum", "moron"]), "y": lambda: "щяфэ" + rng.choice(parts["y"]) + rng.choice(parts["y"])}
+    text = lambda lang, toxic: " ".join(say(lang, 12) + (" " + bad[lang]() if toxic else "") for _ in range(5)).encode()
+    kinds = ["x", "x", "x", "x", "y"] * 40
+    model = toxicity.train([text(k, True) for k in kinds], [text(k, False) for k in kinds * 4])
+    for lang in "xy":
+        hit, left = (model.scores([text(lang, toxic) for _ in range(40)]) >= toxicity.THRESHOLD for toxic in (True, False))
+        assert hit.mean() >= 0.9 and left.mean() <= 0.1, (lang, hit.mean(), left.mean())
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = random.Random(2)
     words = ["".join(rng.choices("aeioulmnrst", k=rng.randint(3, 8))) for _ in range(3000)]
