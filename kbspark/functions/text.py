@@ -1,10 +1,16 @@
-"""Text functions as Spark columns; all run inside the JVM."""
+"""Text functions as Spark columns; all but ``counted_terms`` run inside the JVM."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kbspark.operators.batches import by_row
+
 #: Fixed word lists and patterns.
 STOP_WORDS = (
     "the a an and or but in on at to for of with by is are was were be been being have has had do does did will would "
@@ -92,28 +98,20 @@ def section_hint(line: Column) -> Column:
     )
 
 
-def top_terms(words: Column, n: int, least: int = 1) -> Column:
-    """``array<struct<term, n>>`` of the most frequent of an array of words that occur ``least`` times,
-    earlier ones first where equal. One document is one row, so nothing is shuffled.
+def counted_terms(text: Column, n: int | None = None, least: int = 1, token: str = r"\w+", word: str | None = None, longer: int = 0, drop: Iterable[str] = ()) -> Column:
+    """``array<struct<term, n>>`` of the matches of ``token`` in a text and how often each occurs: those that match
+    ``word`` as a whole, have more than ``longer`` characters, are not in ``drop`` and occur ``least`` times. With ``n``
+    the most frequent, earlier ones first where equal. Python's ``\\w`` is ``TOKEN``.
 
-    The words are sorted with their places, so equal ones stand together: a run's start has its
-    first place, and its length is the count. Null words do not count, a null array has none.
+    A hash table for each document, in Python: sorting the words in Spark's array functions costs far more.
     """
-    held = F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda w: w.isNotNull())
-    ordered = F.array_sort(F.transform(held, lambda w, i: F.struct(w.alias("term"), i.alias("at"))))
-
-    def counted(s: Column) -> Column:
-        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
-        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
-        return _let(starts, lambda a: F.transform(a, lambda i, k: F.struct((i - F.coalesce(F.get(a, k + 1), F.size(s))).alias("less"), F.get(s, i)["at"].alias("at"), F.get(s, i)["term"].alias("term"))))
-
-    best = F.slice(F.array_sort(_let(ordered, counted)), 1, n)
-    return F.transform(F.filter(best, lambda r: -r["less"] >= least), lambda r: F.struct(r["term"].alias("term"), (-r["less"]).cast("long").alias("n")))
+    find, whole, out = re.compile(token), word and re.compile(word), frozenset(drop)
 
+    def rule(value: str | None) -> list[tuple[str, int]]:
+        found = [(w, k) for w, k in Counter(find.findall(value or "")).items() if k >= least and len(w) > longer and w not in out and (not whole or whole.fullmatch(w))]
+        return found if n is None else sorted(found, key=lambda x: -x[1])[:n]
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return by_row(rule, "array<struct<term string, n long>>")(text)
 
 
 def format_bytes(n: Column) -> Column:

@@ -145,9 +145,9 @@ on("D04_han_keywords", "conversations", "SELECT conv_id, turn, CASE WHEN turn %
 
 
 def _han(text) -> object:
-    from kbspark.functions.text import top_terms
+    from kbspark.functions.text import counted_terms
 
-    return top_terms(F.regexp_extract_all(text, F.lit("([一-鿿]{2,4})"), F.lit(1)), 10, 2)
+    return counted_terms(text, 10, 2, token="[一-鿿]{2,4}")
 
 
 on("I14_to_boolean", "orders", "SELECT o_orderkey, o_orderkey % 6 < 4 AS flag FROM orders", lambda: ["o_orderkey", F.lower(F.element_at(F.array(*map(F.lit, ("true", "1", "YES", "On", "f", "no"))), (F.col("o_orderkey") % 6 + 1).cast("int"))).isin("true", "1", "yes", "on").alias("flag")])

@@ -75,8 +75,8 @@ on("D02_bare", "documents", r"SELECT doc_id, md5(trim(regexp_replace(regexp_repl
     c AS (SELECT doc_id, term, count(*) AS n, min(pos) AS first_pos FROM e WHERE length(term) > 2 AND NOT list_contains({STOPS}, term) GROUP BY ALL)
     SELECT doc_id, term, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS rn FROM c) WHERE rn <= 5""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(T.tokens(doc()), lambda w: (F.length(w) > 2) & ~w.isin(*T.STOP_WORDS))
-    return load(spark, sf_dir, "documents").select("doc_id", F.explode(T.top_terms(words, 5)).alias("t")).select("doc_id", "t.term", "t.n")
+    found = T.counted_terms(F.lower(doc()), 5, longer=2, drop=T.STOP_WORDS)
+    return load(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("t")).select("doc_id", "t.term", "t.n")
 
 
 SHORT = "[" + ", ".join(f"'{w}'" for w in T.SHORT_STOP_WORDS) + "]"
@@ -88,8 +88,8 @@ SHORT = "[" + ", ".join(f"'{w}'" for w in T.SHORT_STOP_WORDS) + "]"
     c AS (SELECT doc_id, term, count(*) AS n, min(pos) AS first_pos FROM e WHERE NOT list_contains({SHORT}, term) GROUP BY ALL)
     SELECT doc_id, term, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS rn FROM c) WHERE rn <= 10 AND n > 1""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(T.tokens(doc()), lambda w: w.rlike("^[a-z]{2,10}$") & ~w.isin(*T.SHORT_STOP_WORDS))
-    found = load(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(T.top_terms(words, 10, 2)).alias("t"))
+    terms = T.counted_terms(F.lower(doc()), 10, 2, word="[a-z]{2,10}", drop=T.SHORT_STOP_WORDS)
+    found = load(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(terms).alias("t"))
     return found.select("doc_id", "t.term", "t.n")
 
 

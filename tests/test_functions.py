@@ -68,3 +68,16 @@ def test_diff_counts(spark):
     rows = spark.createDataFrame([("a\nb\nc", "a\nx\nc\nd"), (None, None)], "p string, q string")
     got = rows.select(diff_counts("p", "q").alias("d"), similarity("p", "q").alias("s")).collect()
     assert [tuple(r.d) for r in got] == [(2, 1, 1, 0.75), (0, 0, 0, 0.0)] and got[1].s == 1.0
+
+
+def test_counted_terms_once_for_each_text(spark):
+    """Counted in a table for each text: no array function sorts its words."""
+    docs = spark.createDataFrame([(1, "b a1 b ça ça a x1 _y"), (2, ""), (3, None), (4, "kk Kk" * 3)], "id long, text string")
+    top = docs.select("id", T.counted_terms(F.lower("text"), 2, 2, drop=["x1"]).alias("t"))
+    assert {r.id: [tuple(t) for t in r.t] for r in top.collect()} == {1: [("b", 2), ("ça", 2)], 2: [], 3: [], 4: [("kk", 2), ("kkkk", 2)]}
+    every = docs.where("id = 1").select(T.counted_terms("text", word="[a-z]+", longer=0).alias("t")).first().t
+    assert sorted(map(tuple, every)) == [("a", 1), ("b", 2)]
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["D05_keywords_en"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "arraysort" not in plan
