@@ -29,7 +29,20 @@ def levels(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", mos
     parent is a cycle of one. Of several parents of an id the least counts; a parent that is no node
     counts as none.
     """
-    rows = checkpointed(_known(nodes, id_col, parent_col).select("id", "up", F.when(F.col("up").isNull(), F.col("id")).alias("root"), F.when(F.col("up").isNull(), 1).alias("level"), F.lit(1).cast("long").alias("span")))
+    return _levels(*_peeled(_known(nodes, id_col, parent_col)), most_rounds).select("id", "root", "level")
+
+
+def _peeled(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``(id, up, n_)`` that others hang on, with how many those are, and ``(id, up)`` of the leaves. Leaves are
+    often nearly all nodes and need no rounds: what they need is with their parent."""
+    held = checkpointed(known)
+    below = checkpointed(held.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.count("*").alias("n_")))
+    return held.join(below, "id"), held.join(below, "id", "left_anti")
+
+
+def _levels(inner: DataFrame, leaves: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """``(id, root, level, first)``; ``first`` is the node's parent."""
+    rows = checkpointed(inner.select("id", "up", F.when(F.col("up").isNull(), F.col("id")).alias("root"), F.when(F.col("up").isNull(), 1).alias("level"), F.lit(1).cast("long").alias("span"), F.col("up").alias("first"), F.col("n_").alias("below")))
     total = rows.count()
     for i in range(most_rounds):
         open_ = rows.where("root IS NULL")
@@ -37,10 +50,14 @@ def levels(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", mos
             break
         asked = open_.groupBy("up").agg(F.count("*").alias("n_"))
         known = rows.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("root").alias("its_root"), F.col("level").alias("its_level"), F.col("span").alias("its_span"))
-        found = join_found(open_.select("id", "up", "span"), known.join(asked, "up"), ["up"], "n_")
-        moved = found.select("id", F.col("next").alias("up"), F.col("its_root").alias("root"), (F.col("its_level") + F.col("span")).cast("int").alias("level"), (F.col("span") + F.col("its_span")).alias("span"))
+        found = join_found(open_.select("id", "up", "span", "first", "below"), known.join(asked, "up"), ["up"], "n_")
+        moved = found.select("id", F.col("next").alias("up"), F.col("its_root").alias("root"), (F.col("its_level") + F.col("span")).cast("int").alias("level"), (F.col("span") + F.col("its_span")).alias("span"), "first", "below")
         rows = checkpointed(rows.where("root IS NOT NULL").unionByName(moved.select(*rows.columns)))
-    return rows.select("id", "root", "level")
+    over = rows.select(F.col("id").alias("up"), "root", F.col("level").alias("its_level"), F.col("below").alias("n_"))
+    hung = join_found(leaves.where("up IS NOT NULL").select("id", "up"), over, ["up"], "n_")
+    tops = leaves.where("up IS NULL").select("id", F.col("id").alias("root"), F.lit(1).alias("level"), F.col("up").alias("first"))
+    ended = hung.select("id", "root", (F.col("its_level") + 1).cast("int").alias("level"), F.col("up").alias("first"))
+    return rows.select("id", "root", "level", "first").unionByName(tops).unionByName(ended)
 
 
 def cycles(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent") -> DataFrame:
@@ -54,13 +71,19 @@ def subtree_sums(nodes: DataFrame, value: Column, id_col: str = "id", parent_col
     After k rounds a node has the sum of what is less than 2^k steps below; those that far below a
     node whose pointer of 2^k steps leads here come next. Nodes on cycles and below are left out.
     """
-    sound = levels(nodes, id_col, parent_col).where("root IS NOT NULL").select("id")
+    inner, leaves = _peeled(_known(nodes, id_col, parent_col))
+    sound = _levels(inner, leaves).where("root IS NOT NULL").select("id", F.col("first").alias("up"))
     base = nodes.groupBy(F.col(id_col).alias("id")).agg(F.sum(value).alias("total"))
-    rows = checkpointed(base.join(sound, "id", "left_semi").join(_known(nodes, id_col, parent_col), "id"))
+    all_ = checkpointed(base.join(sound, "id").join(inner.select("id", F.lit(True).alias("inner")), "id", "left"))
+    ends = all_.where("inner IS NULL")
+    # A leaf is its own sum, and adds to its parent's once.
+    added = ends.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("more"))
+    own = all_.where("inner").join(added, "id", "left")
+    rows = checkpointed(own.select("id", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"), "up"))
     while True:
         sums = rows.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("more"), F.count("*").alias("n_"))
         if sums.isEmpty():
-            return rows.select("id", "total")
+            return rows.select("id", "total").unionByName(ends.select("id", "total"))
         ups = rows.select(F.col("id").alias("up"), F.col("up").alias("next"))
         hot = sums.select(F.col("id").alias("up"), "n_")
         moved = join_found(rows.where("up IS NOT NULL"), ups.join(hot, "up"), ["up"], "n_").select("id", "total", F.col("next").alias("up"))

@@ -189,3 +189,17 @@ def test_cascade_over_two_links(spark):
     left = trees.cascade(tables, [("b", "k", "a", "k"), ("c", "i", "b", "i"), ("c", "k", "a", "k")], "a", one([(1,), (5,)], "k long"))
     rows = {n: sorted(map(tuple, d.collect()), key=str) for n, d in left.items()}
     assert rows == {"a": [(2,), (None,)], "b": [(11, 2), (12, None)], "c": [(11, 2), (None, 2)]}
+
+
+def test_leaves_take_no_part_in_rounds(spark, monkeypatch):
+    """What is written in the rounds of a flat tree grows with its inner nodes; leaves are written a fixed number of times."""
+    rows = [("t", None, 1)] + [(f"m{i}", "t", 2) for i in range(3)] + [(f"l{i}", f"m{i % 3}", 3) for i in range(300)] + [("a", "b", 5), ("b", "a", 5), ("c", "b", 7), ("s", "s", 9), ("o", "none", 4)]
+    nodes = spark.createDataFrame(rows, "id string, parent string, value long")
+    written, kept = [], trees.checkpointed
+    monkeypatch.setattr(trees, "checkpointed", lambda df: written.append(kept(df)) or written[-1])
+    got = {r.id: r.total for r in trees.subtree_sums(nodes, F.col("value")).collect()}
+    assert got == {"t": 907, "o": 4} | {f"m{i}": 302 for i in range(3)} | {f"l{i}": 3 for i in range(300)}
+    assert sum(w.count() > 100 for w in written) <= 2
+    found = {r.id: (r.root, r.level) for r in trees.levels(nodes).collect()}
+    assert found["t"] == ("t", 1) and found["m1"] == ("t", 2) and found["l299"] == ("t", 3) and found["o"] == ("o", 1) and len(found) == len(rows)
+    assert all(found[x] == (None, None) for x in "abcs")
