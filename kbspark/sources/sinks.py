@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from kbspark.functions.text import counted_terms
 from kbspark.operators.batches import by_row
-from kbspark.operators.retrieval import postings
 from kbspark.sources import formats
 
 
@@ -34,6 +34,12 @@ def upsert(old: DataFrame | None, new: DataFrame, keys: list[str], newest: Colum
     return last if old is None else old.join(last.select(*keys), keys, "left_anti").unionByName(last.select(*old.columns))
 
 
+def chunk_postings(chunks: DataFrame) -> DataFrame:
+    """``(term, doc_id, tf)`` of chunks with one row each: counted where they lie, nothing is shuffled."""
+    found = chunks.select(F.col("chunk_id").alias("doc_id"), F.explode(counted_terms(F.lower("content"))).alias("t"))
+    return found.select("t.term", "doc_id", F.col("t.n").alias("tf"))
+
+
 def write_index(chunks: DataFrame, path: str, old: str | None = None, part: str = "source") -> None:
     """The tables ``chunks``, ``postings`` and ``doc_len`` of the search index, split by ``part``, and
     ``stats``; with ``old``, the index there is carried on and rows of equal ``chunk_id`` replaced."""
@@ -41,7 +47,12 @@ def write_index(chunks: DataFrame, path: str, old: str | None = None, part: str
     rows = upsert(spark.read.parquet(f"{old}/chunks").select(*chunks.columns) if old else None, chunks, ["chunk_id"])
     rows.write.mode("overwrite").partitionBy(part).parquet(f"{path}/chunks")
     held = spark.read.parquet(f"{path}/chunks")
-    terms = postings(held, "chunk_id", "content")
+    if old:  # only what came is tokenised
+        keys = chunks.select("chunk_id").distinct()
+        kept = spark.read.parquet(f"{old}/postings").join(keys.withColumnRenamed("chunk_id", "doc_id"), "doc_id", "left_anti")
+        terms = kept.unionByName(chunk_postings(held.join(keys, "chunk_id", "left_semi")))
+    else:
+        terms = chunk_postings(held)
     terms.write.mode("overwrite").parquet(f"{path}/postings")
     lengths = spark.read.parquet(f"{path}/postings").groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     lengths.write.mode("overwrite").parquet(f"{path}/doc_len")

@@ -354,3 +354,20 @@ def test_rules_by_row_are_what_the_plain_rule_gives(spark):
     rule = by_row(lambda i, l: None if l is None else [(t * 2, b, [i]) for t, b in l], "array<struct<t: string, b: boolean, n: array<long>>>")
     got = {r.id: r.x for r in rows.select("id", rule("id", "l").alias("x")).collect()}
     assert len(got) == 300 and all(got[i] == (None if i % 7 == 0 else [(str(i) * 2, i % 2 == 0, [i])]) for i in got)
+
+
+def test_index_carried_on_tokenises_only_what_came(spark, tmp_path, monkeypatch):
+    """Postings of chunks that stay are those of the old index, marked here; the new ones replace those of their chunks."""
+    from kbspark.sources import sinks
+
+    docs = spark.createDataFrame([(1, "s", "red red fox"), (2, "s", "red dog"), (3, "t", None)], "chunk_id long, source string, content string")
+    first, second = (str(tmp_path / x) for x in ("a", "b"))
+    sinks.write_index(docs, first)
+    found = {(r.term, r.doc_id, r.tf) for r in spark.read.parquet(f"{first}/postings").collect()}
+    assert found == {("red", 1, 2), ("fox", 1, 1), ("red", 2, 1), ("dog", 2, 1)}
+    seen, inner = [], sinks.chunk_postings
+    monkeypatch.setattr(sinks, "chunk_postings", lambda d: seen.extend(r.chunk_id for r in d.select("chunk_id").collect()) or inner(d))
+    sinks.write_index(docs.where("chunk_id = 2").selectExpr("chunk_id", "source", "'new cat cat' AS content"), second, first)
+    found = {(r.term, r.doc_id, r.tf) for r in spark.read.parquet(f"{second}/postings").collect()}
+    assert found == {("red", 1, 2), ("fox", 1, 1), ("new", 2, 1), ("cat", 2, 2)} and seen == [2]
+    assert {(r.doc_id, r.dl) for r in spark.read.parquet(f"{second}/doc_len").collect()} == {(1, 3), (2, 3)}
