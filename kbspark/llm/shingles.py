@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ BANDS, PER_BAND = 20, 4
 BEFORE = 8
 #: Texts of a bucket that are put in order in one task.
 SIDE_BY_SIDE = 256
-#: Bytes of sets that are held against the rest of their buckets at once.
+#: Bytes of sets that one task holds against as many of their buckets.
 BLOCK_BYTES = 16_000_000
 SEED = 42
 BLOCK = 1 << 12  # shingles that are spread over all hash functions at once
@@ -136,47 +136,45 @@ def rest_links(members: DataFrame, sets: DataFrame, least: float, block_bytes: i
     ``members(key, node, root)``. None where every bucket is connected.
 
     Only texts outside the largest connected part of a bucket need to be compared, with every text of the bucket. They are
-    a query set that goes out in blocks of about ``block_bytes``; each block is held against the texts of its buckets
-    as they lie, by an inverted list of its hashes, so neither side is shuffled by pairs.
+    dealt to blocks of about ``block_bytes``, and the texts of a block's buckets to parts of that size. Each block meets
+    each of its parts in a task, by an inverted list of its hashes: pairs are not shuffled, and the driver gets no set.
     """
     parts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
-    held = cut(members.join(main.select("key", F.col("m.root").alias("main")), "key"))
-    rest = held.where("root <> main").select("key", "node", "root")
-    sized = cut(rest.join(sets.select("node", F.length("shingles").alias("bytes")), "node"))
-    total = sized.agg(F.sum("bytes")).first()[0]
+    held = cut(members.join(main.select("key", F.col("m.root").alias("main")), "key").join(sets.select("node", F.length("shingles").alias("bytes")), "node"))
+    rest = held.where("root <> main")
+    total = rest.agg(F.sum("bytes")).first()[0]
     if total is None:
         return None
-    blocks = -(-total // block_bytes)
-    per_key = sized.groupBy("key").agg(F.ceil(F.sum("bytes") / block_bytes).cast("int").alias("shares"))
-    dealt = cut(sized.join(per_key, "key").withColumn("block", F.pmod(F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("shares"))), F.lit(blocks)).cast("int")))
-    spark, found = members.sparkSession, []
-    for i in range(blocks):
-        mine = dealt.where(F.col("block") == i)
-        block = mine.select("node", "root").distinct().join(sets, "node").toArrow()
-        if not block.num_rows:
-            continue
-        asked = spark.sparkContext.broadcast(inverted(block.column("root").to_pylist(), block.column("shingles").to_pylist()))
-        others = held.join(mine.select("key").distinct(), "key", "left_semi").select("node", "root").distinct().join(sets, "node")
-
-        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            roots, size, vocabulary, starts, owners = asked.value
-            for b in rows(batches):
-                one, two = [], []
-                for root, raw in zip(b.column("root").to_pylist(), b.column("shingles").to_pylist(), strict=True):
-                    mine = np.frombuffer(raw, "<u8")
-                    at = np.searchsorted(vocabulary, mine)
-                    at = at[(at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == mine)] if len(vocabulary) else at[:0]
-                    lists = [owners[starts[k] : starts[k + 1]] for k in at]
-                    both = np.bincount(np.concatenate(lists), minlength=len(roots)) if lists else np.zeros(len(roots), int)
-                    hit = np.unique(roots[(both >= least * (len(mine) + size - both)) & (roots != root)])
-                    one += [root] * len(hit)
-                    two += hit.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
-
-        found.append(cut(others.mapInArrow(run, "a long, b long").distinct()))
-        asked.destroy()
-    return reduce(DataFrame.unionByName, found) if found else None
+    blocks = max(1, -(-total // block_bytes))
+    per_key = rest.groupBy("key").agg(F.ceil(F.sum("bytes") / block_bytes).cast("int").alias("shares"))
+    share = F.pmod(F.xxhash64("node"), F.greatest("shares", F.lit(1)))
+    dealt = cut(rest.join(per_key, "key").select("key", "node", F.pmod(F.xxhash64("key", share), F.lit(blocks)).cast("int").alias("block")))
+    all_ = held.join(dealt.select("key", "block").distinct(), "key").select("block", "node", "root", "bytes").distinct()
+    met = cut(all_.join(dealt.select("block", "node").distinct().withColumn("asks", F.lit(True)), ["block", "node"], "left"))
+    count = met.groupBy("block").agg(F.greatest(F.ceil(F.sum("bytes") / block_bytes), F.lit(1)).cast("int").alias("parts"))
+    places = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.array(F.struct(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("asks")))
+    to = F.concat(own, F.transform(places, lambda p: F.struct(p.alias("part"), F.lit(True).alias("asks"))))
+    sent = met.join(F.broadcast(count), "block").select("block", "node", "root", to.alias("to")).join(sets, "node").select("block", "root", "shingles", F.explode("to").alias("to"))
+
+    def run(group: pa.Table) -> pa.Table:
+        asks, one, two = group.column("asks"), [], []
+        asked = group.filter(asks)
+        roots, size, vocabulary, starts, owners = inverted(asked.column("root").to_pylist(), asked.column("shingles").to_pylist())
+        for b in rows(group.filter(pc.invert(asks)).to_batches()):
+            for root, raw in zip(b.column("root").to_pylist(), b.column("shingles").to_pylist(), strict=True):
+                mine = np.frombuffer(raw, "<u8")
+                at = np.searchsorted(vocabulary, mine)
+                at = at[(at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == mine)] if len(vocabulary) else at[:0]
+                lists = [owners[starts[k] : starts[k + 1]] for k in at]
+                both = np.bincount(np.concatenate(lists), minlength=len(roots)) if lists else np.zeros(len(roots), int)
+                hit = np.unique(roots[(both >= least * (len(mine) + size - both)) & (roots != root)])
+                one += [root] * len(hit)
+                two += hit.tolist()
+        return pa.table([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
+
+    return cut(sent.select("block", "to.part", "to.asks", "root", "shingles").groupBy("block", "part").applyInArrow(run, "a long, b long").distinct())
 
 
 def inverted(roots: list[int], raw: list[bytes]) -> tuple[np.ndarray, ...]:

@@ -699,3 +699,16 @@ def test_toxic_stage_keeps_what_the_score_says(spark):
     scores = {r.doc_id: r.score for r in toxicity.op9(spark, SF).collect()}
     kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, SF).collect()}
     assert kept == {i for i, s in scores.items() if s < toxicity.THRESHOLD}
+
+
+def test_rest_links_send_no_sets_through_the_driver(spark, monkeypatch):
+    sets = {i: np.unique(np.array([*range(20), 100 + i], "<u8")) for i in range(12)}
+    members = spark.createDataFrame([(1, i, 0 if i < 6 else i) for i in sets], "key long, node long, root long")
+    held = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "node long, shingles binary")
+
+    def refuse(*_):
+        raise AssertionError("sets in the driver")
+
+    monkeypatch.setattr(type(held), "toArrow", refuse)
+    got = {frozenset((r.a, r.b)) for r in shingles.rest_links(members, held, 0.8, 300).collect()}
+    assert got == {frozenset((a, b)) for a in [0, *range(6, 12)] for b in [0, *range(6, 12)] if a != b}
