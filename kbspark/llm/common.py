@@ -37,10 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: for frames with whole texts."""
+    """``df`` written as Parquet in the shared folder and read again: for frames with whole texts, and in loops with joins."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def strings(column: pa.Array) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import cut
+from kbspark.llm.common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,9 @@ def components(edges: DataFrame) -> DataFrame:
     neighbourhood, so that the number of nodes at least halves in expectation, also on chains. The
     least neighbour is a partially aggregated minimum, thus a node with very many neighbours costs
     one row per map task. Its edges are joined to its new name between two plain shuffles, where adaptive
-    execution splits a partition that is too large. Only the contracted edges and the node maps are kept, both checkpointed.
+    execution splits a partition that is too large. Only the contracted edges and the node maps are kept, both as tables in the
+    shared folder: a table has the size of its files, while a checkpoint keeps the size that Spark estimates for its plan, which
+    joins multiply, so that it would have three times as many digits after each round and soon fill the driver.
     Nodes without edges do not appear. Self-loops and repeated edges are allowed.
     """
     left, n = counted(edges.select("a", "b").where("a <> b").distinct())
@@ -24,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         seed = F.lit(len(maps))
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         order = lambda c: F.struct(F.xxhash64(seed, F.col(c)).alias("o"), F.col(c).alias("n"))
-        moved = cut(
+        moved = stored(
             both.groupBy("a")
             .agg(F.min(order("b")).alias("least"))
             .select(F.col("a").alias("node"), F.least(order("a"), F.col("least"))["n"].alias("root"))
@@ -48,7 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``df`` materialised, and the number of its rows, counted while it is written."""
+    """``df`` as a table in the shared folder, and the number of its rows, counted while it is written."""
     seen = Observation()
-    held = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    held = stored(df.observe(seen, F.count(F.lit(1)).alias("n")))
     return held, seen.get["n"]

@@ -712,3 +712,12 @@ def test_rest_links_send_no_sets_through_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(held), "toArrow", refuse)
     got = {frozenset((r.a, r.b)) for r in shingles.rest_links(members, held, 0.8, 300).collect()}
     assert got == {frozenset((a, b)) for a in [0, *range(6, 12)] for b in [0, *range(6, 12)] if a != b}
+
+
+def test_contraction_keeps_the_estimated_size_small(spark):
+    """The estimate had three times as many digits after each round, and the driver's memory with it."""
+    chain = spark.range(1, 1500).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    found = components(chain)
+    size = int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size.bit_length() < 1000
+    assert {(r.n, r.roots) for r in found.agg(F.count("*").alias("n"), F.countDistinct("root").alias("roots")).collect()} == {(1500, 1)}
